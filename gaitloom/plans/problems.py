@@ -50,7 +50,7 @@ c as (select recording, frame, k - 1 as kp, pose[k][1] as x, pose[k][2] as y, co
 idx as (select lower(regexp_replace(trim(name), '\.[A-Za-z0-9]{1,5}$', '')) as rec, min(rig) as rig from recording_index where name is not null group by 1),
 recs as (select distinct recording from frames where recording is not null),
 meta as (select r.recording, coalesce(i.rig, (select min(g.rig) from rigs g where contains(lower(r.recording), g.rig))) as rig from recs r left join idx i on i.rec = lower(regexp_replace(trim(r.recording), '\.[A-Za-z0-9]{1,5}$', ''))),
-hits as (select rig, x, y, count(distinct recording) as recs, count(*) as n from (select m.rig, r.recording, u.p[1] as x, u.p[2] as y from frames r join meta m using (recording), unnest(r.pose) as u(p)) where x = floor(x) and y = floor(y) group by 1, 2, 3),
+hits as (select rig, x, y, count(distinct recording) as recs, count(*) as n from (select m.rig, r.recording, u.p[1] as x, u.p[2] as y from frames r join meta m using (recording), unnest(r.pose) as u(p)) where not isnan(x) and not isnan(y) and x = floor(x) and y = floor(y) group by 1, 2, 3),
 tot as (select m.rig, count(distinct r.recording) as recs, sum(coalesce(len(r.pose), 0)) as cells from frames r join meta m using (recording) group by 1),
 pairs as (select rig, x, y from (select h.*, row_number() over (partition by h.rig order by h.recs desc, h.n desc, h.x desc, h.y desc) as rn from hits h join tot t using (rig) where h.recs >= 0.25 * t.recs and h.n >= 0.001 * t.cells and h.n >= 3) where rn = 1)
 """
