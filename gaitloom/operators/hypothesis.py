@@ -25,10 +25,10 @@ def tie_terms(values: DataFrame) -> DataFrame:
 def kruskal(ranks: DataFrame) -> DataFrame:
     """Per syllable the tie-corrected H statistic."""
     per = ranks.groupBy("syllable", "group").agg(F.sum("rk").alias("r"), F.count(F.lit(1)).alias("m"))
-    h = per.groupBy("syllable").agg(F.sum(F.pow("r", 2) / F.col("m")).alias("q"), F.sum("m").alias("n"))
+    h = per.groupBy("syllable").agg(F.sum(F.pow("r", 2) / F.col("m")).alias("q"))
     h = h.join(tie_terms(ranks), "syllable")
-    raw = F.lit(12.0) / (F.col("n") * (F.col("n") + 1)) * F.col("q") - 3 * (F.col("n") + 1)
-    correction = 1 - F.col("ties") * 12 * (F.col("n") - 1) / (F.pow(F.col("n"), 3) - F.col("n"))
+    raw = F.lit(12.0) / (F.col("N") * (F.col("N") + 1)) * F.col("q") - 3 * (F.col("N") + 1)
+    correction = 1 - F.col("ties") * 12 * (F.col("N") - 1) / (F.pow(F.col("N"), 3) - F.col("N"))
     return h.select("syllable", F.try_divide(raw, correction).alias("h"))
 
 

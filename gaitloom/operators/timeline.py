@@ -53,8 +53,8 @@ def states(results: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return positions(rows)
 
 
-def runs(rows: DataFrame, label: str = "syllable") -> DataFrame:
-    """Run-length encoding: recording, run (0, 1, ...), ``label``, start, end (positions, half open), n (rows of the recording)."""
+def run_numbers(rows: DataFrame, label: str = "syllable") -> DataFrame:
+    """recording, pos, n, ``label`` and the number of the run each row lies in (0, 1, ...)."""
     w = course()
     marked = chunked(rows.select("recording", "pos", "n", label), 1, 0)
     new = F.coalesce((F.col(label) != F.lag(label).over(w)).cast("int"), F.lit(1))
@@ -64,8 +64,12 @@ def runs(rows: DataFrame, label: str = "syllable") -> DataFrame:
     before = Window.partitionBy("recording").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row per chunk
     per = per.select(F.col("recording").alias("_k"), F.col("chunk").alias("_b"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
     numbered = marked.withColumn("_l", local).join(per, (F.col("recording") == F.col("_k")) & (F.col("chunk") == F.col("_b")))
-    numbered = numbered.withColumn("run", F.col("_o") + F.col("_l") - 1)
-    return numbered.groupBy("recording", "run").agg(F.first(label).alias(label), F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), F.first("n").alias("n"))
+    return numbered.select("recording", "pos", "n", label, (F.col("_o") + F.col("_l") - 1).alias("run"))
+
+
+def runs(rows: DataFrame, label: str = "syllable") -> DataFrame:
+    """Run-length encoding: recording, run (0, 1, ...), ``label``, start, end (positions, half open), n (rows of the recording)."""
+    return run_numbers(rows, label).groupBy("recording", "run").agg(F.min(label).alias(label), F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), F.max("n").alias("n"))
 
 
 def successors(run_rows: DataFrame, n: int, label: str = "syllable") -> DataFrame:

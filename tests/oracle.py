@@ -18,7 +18,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def plain(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
         return None
     if hasattr(v, "tolist"):
         v = v.tolist()
