@@ -15,11 +15,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaitloom.operators import spike_kernel as K
 from gaitloom.operators.missing import flat_pose, no_nan, placeholder_frame, placeholder_pairs
+from gaitloom.session import spread
 from gaitloom.tables import BLOCK, recording_meta
 
 #: Isolation forest: trees, readings drawn per tree, and how much above its recording's usual score a reading must lie.
@@ -155,7 +156,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 scores += s[over].tolist()
                 run = K.decode(c)[:, 2 + 1]
                 by = np.argsort(run)
-                runs.append(float(2 ** run[by][np.searchsorted(np.cumsum(w[by]), 0.75 * w.sum())] - 1))
+                runs.append(float(2 ** run[by][np.searchsorted(np.cumsum(w[by]), 0.5 * w.sum())] - 1))
             for key, v in zip(out, (name, apart, scores, *runs)):
                 out[key].append(v)
         yield pa.RecordBatch.from_pydict(out, pa.schema([("recording", pa.string()), ("apart", pa.list_(pa.int32())), ("scores", pa.list_(pa.float64())), ("pose_run", pa.float64()), ("conf_run", pa.float64())]))
@@ -248,13 +249,8 @@ def implausible_readings(frames: DataFrame, index: DataFrame, rigs: DataFrame, k
     pairs = placeholder_pairs(frames, meta)
     base = _blocks(frames, keypoints)
     blocks = base.mapInArrow(_profile(keypoints, sorted({(x, y) for _, x, y in pairs})), "recording string, block int, first int, n bigint, pose_usual double, conf_usual double, codes array<int>, counts array<bigint>")
-    hist = (
-        blocks.select("recording", F.explode(F.arrays_zip("codes", "counts")).alias("z"))
-        .groupBy("recording", F.col("z.codes").alias("code"))
-        .agg(F.sum("z.counts").alias("n"))
-        .groupBy("recording")
-        .agg(F.collect_list(F.struct("code", "n")).alias("hist"))  # at most 2 * CODES entries
-    )
+    counts = blocks.select("recording", F.explode(F.arrays_zip("codes", "counts")).alias("z")).groupBy("recording", F.col("z.codes").alias("code")).agg(F.sum("z.counts").alias("n"))
+    hist = spread(counts, "recording").groupBy("recording").agg(F.collect_list(F.struct("code", "n")).alias("hist"))  # at most 2 * CODES entries
     forest = hist.mapInArrow(_forest, "recording string, apart array<int>, scores array<double>, pose_run double, conf_run double")
     usual = blocks.groupBy("recording").agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum(F.when(F.col(c).isNotNull(), F.col("n")))).alias(c) for c in ("pose_usual", "conf_usual")])
     known = placeholder_frame(meta, pairs).select("recording", "width", "height", "px", "py")
