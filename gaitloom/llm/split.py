@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaitloom.session import spread
 from gaitloom.tables import by_block, in_force
 
 #: Maximal pieces per chunk of one recording.
@@ -146,6 +147,6 @@ def split_recordings(frames: DataFrame, limits: DataFrame) -> DataFrame:
     spread = runs.withColumn("chunk", F.explode(F.sequence(F.greatest(first, F.lit(0).cast("bigint")), final)))
     parts = spread.join(borders, [*key, "chunk"]).where((F.col("i0") <= F.col("hi")) & (F.col("i0") + F.col("n") > F.col("lo")))
     parts = parts.select(*key, F.col("chunk").cast("int").alias("chunk"), "i0", "n", "f0", "seen", "max_frames", "overlap", "least", "lo", "hi")
-    found = parts.groupBy(*key, "chunk").applyInPandas(_pieces, SCHEMA)
+    found = spread(parts, *key, "chunk").groupBy(*key, "chunk").applyInPandas(_pieces, SCHEMA)
     order = Window.partitionBy(*key).orderBy("chunk", "local")  # at most 2**32 / (max_frames - overlap) pieces
     return found.select(*key, (F.row_number().over(order) - 1).alias("piece"), "first_frame", "last_frame", "n_frames", "natural_start", "natural_end")
