@@ -144,8 +144,8 @@ def split_recordings(frames: DataFrame, limits: DataFrame) -> DataFrame:
     borders = borders.select(*key, F.col("c").alias("chunk"), F.col("lo0").alias("lo"), F.coalesce(nxt, F.col("total") - 1).alias("hi"))
     # a stretch goes to every chunk it may touch (blocks bound its length)
     first, final = F.floor(F.col("i0") / size) - 1, F.floor((F.col("i0") + F.col("n") + F.col("max_frames")) / size)
-    spread = runs.withColumn("chunk", F.explode(F.sequence(F.greatest(first, F.lit(0).cast("bigint")), final)))
-    parts = spread.join(borders, [*key, "chunk"]).where((F.col("i0") <= F.col("hi")) & (F.col("i0") + F.col("n") > F.col("lo")))
+    laid = runs.withColumn("chunk", F.explode(F.sequence(F.greatest(first, F.lit(0).cast("bigint")), final)))
+    parts = laid.join(borders, [*key, "chunk"]).where((F.col("i0") <= F.col("hi")) & (F.col("i0") + F.col("n") > F.col("lo")))
     parts = parts.select(*key, F.col("chunk").cast("int").alias("chunk"), "i0", "n", "f0", "seen", "max_frames", "overlap", "least", "lo", "hi")
     found = spread(parts, *key, "chunk").groupBy(*key, "chunk").applyInPandas(_pieces, SCHEMA)
     order = Window.partitionBy(*key).orderBy("chunk", "local")  # at most 2**32 / (max_frames - overlap) pieces
