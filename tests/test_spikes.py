@@ -46,10 +46,10 @@ def test_blocks_and_versions_do_not_matter(spark):
     name, t, pose, conf = course(seed=3, start=1900)
     pose[140:160, 0] = pose[140, 0]  # over the border of a block at 2048
     df = table(spark, (name, t, pose, conf))
-    wrong = df.where("frame < 2000").selectExpr("recording", "frame", "transform(pose, p -> array(-5000D, 9D)) as pose", "conf", "cast(null as timestamp) as loaded_at")
+    wrong = df.where("frame < 2000").selectExpr("recording", "frame", "transform(pose, p -> array(-5000.5D, 9D)) as pose", "conf", "cast(null as timestamp) as loaded_at")
     got = flags(implausible_readings(df.union(wrong).union(df), index(spark), rigs(spark), 4))
     assert {(name, f, 0, "pose") for f in range(2041, 2060)} <= set(got) and len(got) <= 21
-    later = df.where("frame = 1950").selectExpr("recording", "frame", "transform(pose, p -> array(-5000D, 9D)) as pose", "conf", f"timestamp'{T1}' as loaded_at")
+    later = df.where("frame = 1950").selectExpr("recording", "frame", "transform(pose, p -> array(-5000.5D, 9D)) as pose", "conf", f"timestamp'{T1}' as loaded_at")
     got = flags(implausible_readings(df.union(later), index(spark), rigs(spark), 4))
     assert {(name, 1950, k, "pose") for k in range(4)} <= set(got)
 
