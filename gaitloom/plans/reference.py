@@ -381,9 +381,9 @@ from i window w1 as (partition by recording, kp order by frame rows between unbo
 lin as (select recording, frame, kp, conf, f is null as filled, case when f is not null then x when pf is not null and nf is not null then px + (nx - px) * (frame - pf) / (nf - pf) else coalesce(px, nx, 0) end as x, case when f is not null then y when pf is not null and nf is not null then py + (ny - py) * (frame - pf) / (nf - pf) else coalesce(py, ny, 0) end as y from j)"""
 
 
-@query(f"with {_P}, " + _INT.format(src="pts") + " select recording, frame, cast(kp as int) as kp, round(x, 5) as x, round(y, 5) as y, filled from lin")
+@query(f"with {_P}, " + _INT.format(src="pts") + f" select recording, frame, cast(kp as int) as kp, round(x + {NUDGE!r}, 5) as x, round(y + {NUDGE!r}, 5) as y, filled from lin")
 def interpolate_keypoints(s, d):
-    return signal.interpolate(_points(s, d)).select("recording", "frame", "kp", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"), "filled")
+    return signal.interpolate(_points(s, d)).select("recording", "frame", "kp", F.round(F.col("x") + NUDGE, 5).alias("x"), F.round(F.col("y") + NUDGE, 5).alias("y"), "filled")
 
 
 @query(f"with {_P}, g as (select recording, frame, median(x) as cx, median(y) as cy, avg(case when kp in (0, 1) then x end) as ax, avg(case when kp in (0, 1) then y end) as ay, avg(case when kp in (6, 7) then x end) as bx, avg(case when kp in (6, 7) then y end) as by_ from pts group by 1, 2) select recording, frame, round(cx, 5) as cx, round(cy, 5) as cy, round(atan2(by_ - ay, bx - ax) + pi(), 5) as heading from g")
@@ -403,9 +403,9 @@ def medoid_outliers(s, d):
     return signal.medoid_outliers(_points(s, d)).where("outlier").select("recording", "frame", "kp", F.round("distance", 4).alias("distance"))
 
 
-@query("with " + _OUT + ", blank as (select recording, frame, kp, case when not outlier then x end as x, case when not outlier then y end as y, case when outlier then 0 else conf end as conf from outl), " + _INT.format(src="blank") + " select recording, frame, cast(kp as int) as kp, round(x, 4) as x, round(y, 4) as y, conf from lin where filled")
+@query("with " + _OUT + ", blank as (select recording, frame, kp, case when not outlier then x end as x, case when not outlier then y end as y, case when outlier then 0 else conf end as conf from outl), " + _INT.format(src="blank") + f" select recording, frame, cast(kp as int) as kp, round(x + {NUDGE!r}, 5) as x, round(y + {NUDGE!r}, 5) as y, conf from lin where filled")
 def outlier_removal(s, d):
-    return signal.remove_outliers(_points(s, d)).where("filled").select("recording", "frame", "kp", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "conf")
+    return signal.remove_outliers(_points(s, d)).where("filled").select("recording", "frame", "kp", F.round(F.col("x") + NUDGE, 5).alias("x"), F.round(F.col("y") + NUDGE, 5).alias("y"), "conf")
 
 
 @query(_W + ", " + _taps(-15, 14, "b.cx as x, b.cy as y") + """, fl as (select recording, pos, list_sort(list(x))[16] as fx, list_sort(list(y))[16] as fy from taps group by 1, 2),

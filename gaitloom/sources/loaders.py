@@ -38,7 +38,7 @@ def recording_name(path: Column | str, path_in_name: bool = False, sep: str = "-
 
 def _numbered(spark: SparkSession, paths, pattern: str) -> DataFrame:
     """(path, line, row): lines of text files with their number; one file's lines stay together."""
-    df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").text(paths)
+    df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(paths, wholetext=True)
     return df.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("row", "line")).where("line <> ''")
 
 
@@ -89,7 +89,7 @@ def keypoint_csv(spark: SparkSession, paths, pattern: str = "*.csv", **name) ->
 def freipose_json(spark: SparkSession, paths, pattern: str = "*.json", **name) -> DataFrame:
     """Lists of {kp_xyz: [[[x, y, z], ...]]}; conf is 1, body parts are numbered."""
     schema = "kp_xyz array<array<array<double>>>"
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").text(paths)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(paths, wholetext=True)
     docs = raw.select(F.col("_metadata.file_path").alias("path"), F.from_json("value", f"array<struct<{schema.replace(' ', ':', 1)}>>").alias("d"))
     frames = docs.select("path", F.posexplode(F.flatten(F.transform("d", lambda e: e["kp_xyz"]))).alias("frame", "pts"))
     pts = frames.select("path", "frame", F.posexplode("pts").alias("k", "p"))
