@@ -7,15 +7,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaitloom.operators.signal import grouped_median
+
 
 def eligible(run_rows: DataFrame, pre: int = 30, post: int = 60, min_duration: int = 3, min_frequency: float = 0.0, min_instances: int = 0) -> DataFrame:
     """Runs long enough, with ``pre`` rows before and ``post`` after their start, of syllables used and seen often enough."""
-    total = F.count(F.lit(1)).over(Window.partitionBy())  # over one row per label
     usage = run_rows.groupBy("syllable").agg(F.count(F.lit(1)).alias("_n"))
-    usage = usage.withColumn("_f", F.col("_n") / F.sum("_n").over(Window.partitionBy()))
+    usage = usage.withColumn("_f", F.col("_n") / F.sum("_n").over(Window.partitionBy()))  # one row per label
     ok = run_rows.where((F.col("end") - F.col("start") >= min_duration) & (F.col("start") >= pre) & (F.col("start") < F.col("n") - post))
     many = ok.groupBy("syllable").agg(F.count(F.lit(1)).alias("_i")).join(usage, "syllable").where((F.col("_i") >= min_instances) & (F.col("_f") >= min_frequency)).select("syllable")
-    del total
     return ok.join(many, "syllable", "left_semi").select("recording", "syllable", "start", "end")
 
 
@@ -37,11 +37,9 @@ def egocentric(instances: DataFrame, points: DataFrame, onsets: DataFrame, pre:
 
 
 def typical(trajectories: DataFrame) -> DataFrame:
-    """Median trajectory per syllable: syllable, rel, kp, x, y.
-
-    Exact medians while a (syllable, rel, kp) group is small; beyond, sampled instances go in.
-    """
-    return trajectories.groupBy("syllable", "rel", "kp").agg(F.median("x").alias("x"), F.median("y").alias("y"))
+    """Median trajectory per syllable: syllable, rel, kp, x, y. Exact, and no syllable is gathered in one task."""
+    by = ["syllable", "rel", "kp"]
+    return grouped_median(trajectories, by, "x", "x").join(grouped_median(trajectories, by, "y", "y"), by, "full")
 
 
 def similarity(typicals: DataFrame, metric: str = "cosine") -> DataFrame:

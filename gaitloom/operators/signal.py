@@ -117,12 +117,13 @@ def centroid_heading(points: DataFrame, anterior: list[int], posterior: list[int
 
 
 def grouped_median(rows: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """Exact median of non-negative values per group without gathering a group.
+    """Exact median per group without gathering a group.
 
     Values are counted in bins of about two per cent; only the bins that hold the middle ranks are
     ranked, each on its own.
     """
-    bins = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), F.floor(F.ln(F.col(value) + 1e-6) * 50).alias("_bin"))
+    size = F.floor(F.ln(F.abs(value) + 1e-6) * 50) + 1000
+    bins = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), F.when(F.col(value) < 0, -size).otherwise(size).alias("_bin"))
     w = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # bins: bounded by the range of doubles
     per = bins.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_c"))
     per = per.withColumn("_below", F.coalesce(F.sum("_c").over(w), F.lit(0))).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
