@@ -9,8 +9,9 @@ Evidence, all of it counted over the whole corpus of different texts:
 * remains: half a character, entity or tag, or a mark or link text that the source put behind the cut.
 
 Plan. Texts are tokenised in Arrow batches; contexts are 64-bit rolling hashes. Only contexts whose
-last two tokens end some suspect text are counted (a semi join on their hash), so what is shuffled
-follows the suspects, not the corpus. The trie is a table of prefixes with the words below them.
+last two tokens may end some suspect text are counted: a bitmap of fixed size over hash buckets tells
+(what it lets through in excess costs work, not exactness). Counts are added inside a batch, then
+inside a task, before they are shuffled. The trie is a table of prefixes with the words below them.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaitloom.session import durable
+
 #: Longest context, in tokens.
 ORDER = 7
 #: A context decides if it was seen so often; a single token needs more.
@@ -34,6 +37,8 @@ SEEN, SEEN_ONE = 3, 30
 ENDS, ENDS_ONE = 0.2, 0.03
 #: A length is a limit if so many texts have it, and so large a share of those up to WINDOW shorter.
 PILE, PILE_SHARE, WINDOW = 4, 0.4, 30
+#: Hash buckets of a bitmap (a power of two): at most so many numbers reach the driver and go out to the tasks.
+BUCKETS = 1 << 22
 #: What sources put behind a cut, and beginnings of entities.
 LINKS = ["read more", "show all", "show more", "see more", "view more", "continue reading", "more", "mehr", "mehr lesen", "weiterlesen", "alles anzeigen", "lire la suite", "voir plus", "afficher plus", "plus", "leer más", "ver más", "mostrar más", "más", "続きを読む", "もっと見る", "すべて表示"]
 BARE_LINKS = [x for x in LINKS if " " in x or x in ("weiterlesen", "続きを読む", "もっと見る", "すべて表示")]
@@ -120,34 +125,62 @@ def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, of = contexts(lists, ids)
         last = np.flatnonzero(np.r_[of[1:] != of[:-1], True])
         yield pa.RecordBatch.from_arrays(
-            [b.column("text_id").take(pa.array(keep)), *[pa.array([r[j] for r in rows]) for j in range(5)], pa.array(hashes[last].view(np.int64).tolist(), pa.list_(pa.int64()))],
+            [b.column("text_id").take(pa.array(keep)), *[pa.array([r[j] for r in rows]) for j in range(5)], _lists(hashes[last])],
             names=["text_id", "broken", "link", "ellipsis", "ended", "word", "h"],
         )
 
 
-def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, ending, closing) of every position of every different text: whether a sentence, or the text, ends after it."""
-    ids: dict[str, int] = {}
-    for b in batches:
-        lists = [tokens(tail(t)[0]) for t in b.column("text").to_pylist()]
-        if len(ids) > 2_000_000:
-            ids.clear()
-        hashes, of = contexts(lists, ids)
-        mark = np.array([m for t in lists for m in [False, *(bool(_END.search(w)) for w in t)]], bool)
-        final = np.r_[of[1:] != of[:-1], True] if len(of) else np.zeros(0, bool)
-        follows = np.r_[mark[1:], False] & ~final
-        first = np.r_[True, of[1:] != of[:-1]] if len(of) else np.zeros(0, bool)
-        use = ~mark & ~first
-        yield pa.RecordBatch.from_arrays([pa.array(hashes[use].view(np.int64).tolist(), pa.list_(pa.int64())), pa.array(follows[use]), pa.array(final[use])], names=["h", "ending", "closing"])
+def _lists(h: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * h.shape[1]), pa.array(np.ascontiguousarray(h).view(np.int64).ravel()))
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, texts): of each batch, in how many texts a word stands with something after it."""
-    for b in batches:
-        n: Counter[str] = Counter()
-        for t in b.column("text").to_pylist():
-            n.update({w for w in tokens(tail(t)[0])[:-1] if w[0].isalpha()})
-        yield pa.RecordBatch.from_pydict({"word": list(n), "texts": list(n.values())}, pa.schema([("word", pa.string()), ("texts", pa.int64())]))
+def _evidence(asked: list[np.ndarray]):
+    """Kernel: counts of contexts and words in every batch of different texts.
+
+    Rows (k, g, word, n, ends, closes). k 1 to ORDER: context g of k tokens, how often, before how many
+    sentence ends and how many ends of the text; only contexts whose last token (k 1) or last two
+    tokens (longer ones) are marked in ``asked``, bitmaps over hash buckets. k 0: in how many texts
+    ``word`` stands with something after it.
+    """
+    schema = pa.schema([("k", pa.int32()), ("g", pa.int64()), ("word", pa.string()), ("n", pa.int64()), ("ends", pa.int64()), ("closes", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: dict[str, int] = {}
+        for b in batches:
+            if len(ids) > 2_000_000:
+                ids.clear()
+            lists = [tokens(tail(t)[0]) for t in b.column("text").to_pylist()]
+            if not lists:
+                continue
+            words: Counter[str] = Counter()
+            for t in lists:
+                words.update({w for w in t[:-1] if w[0].isalpha()})
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(words), np.int32)), pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64()), *[pa.array(np.zeros(len(words), np.int64))] * 2], schema=schema)
+            hashes, of = contexts(lists, ids)
+            mark = np.array([m for t in lists for m in [False, *(bool(_END.search(w)) for w in t)]], bool)
+            edge = of[1:] != of[:-1]
+            final, first = np.r_[edge, True], np.r_[True, edge]
+            follows = np.r_[mark[1:], False] & ~final
+            use = ~mark & ~first
+            for k in range(ORDER):
+                key = hashes[:, min(k, 1)] % np.uint64(BUCKETS)
+                at = np.flatnonzero(use & asked[min(k, 1)][key])
+                if not len(at):
+                    continue
+                g, where, n = np.unique(hashes[at, k], return_inverse=True, return_counts=True)
+                ends, closes = (np.bincount(where, v[at], len(g)).astype(np.int64) for v in (follows, final))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k + 1, np.int32)), pa.array(g.view(np.int64)), pa.nulls(len(g), pa.string()), pa.array(n.astype(np.int64)), pa.array(ends), pa.array(closes)], schema=schema)
+
+    return run
+
+
+def _marked(suspects: DataFrame, order: int) -> np.ndarray:
+    """Bitmap of the hash buckets of the suspects' last ``order`` tokens: of fixed size, however many there are."""
+    h = F.get("h", F.lit(order - 1))
+    got = suspects.select(h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).where("b is not null").distinct().toPandas()["b"].to_numpy()
+    bits = np.zeros(BUCKETS, bool)
+    bits[got] = True
+    return bits
 
 
 def limits_of(documents: DataFrame) -> DataFrame:
@@ -171,21 +204,19 @@ def truncated(documents: DataFrame) -> DataFrame:
     """
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "source", "text", F.xxhash64("text").alias("text_id"))
     texts = docs.groupBy("text_id").agg(F.min("text").alias("text"))
-    sus = texts.mapInArrow(_suspects, "text_id bigint, broken boolean, link boolean, ellipsis boolean, ended boolean, word string, h array<bigint>")
-    positions = texts.select("text").mapInArrow(_positions, "h array<bigint>, ending boolean, closing boolean")
-    asked = sus.select(F.get("h", F.lit(0)).alias("_h1")).distinct()
-    # contexts that share a suspect's last token; then every order that some suspect asks for
-    near = positions.join(asked, F.get("h", F.lit(0)) == F.col("_h1"), "left_semi")
-    grams = near.select(F.posexplode("h").alias("k", "g"), "ending", "closing").where("g is not null")
-    wanted = sus.select("text_id", F.posexplode("h").alias("k", "g"))
-    seen = grams.join(wanted.select("k", "g").distinct(), ["k", "g"], "left_semi").groupBy("k", "g").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ending").cast("int")).alias("ends"), F.sum(F.col("closing").cast("int")).alias("closes"))
+    sus = durable(texts.mapInArrow(_suspects, "text_id bigint, broken boolean, link boolean, ellipsis boolean, ended boolean, word string, h array<bigint>"))
+    found = texts.select("text").mapInArrow(_evidence([_marked(sus, 1), _marked(sus, 2)]), "k int, g bigint, word string, n bigint, ends bigint, closes bigint")
+    counts = found.groupBy("k", "g", "word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.sum("closes").alias("closes"))
+    counts = durable(counts.where((F.col("k") == 0) | (F.col("n") > 1)))  # a context seen once is the suspect's own
+    wanted = sus.select("text_id", F.posexplode("h").alias("k", "g")).select("text_id", (F.col("k") + 1).alias("k"), "g")
+    seen = counts.where("k > 0").drop("word")
     # the suspect's own end is no witness
-    known = wanted.join(seen, ["k", "g"]).select("text_id", (F.col("k") + 1).alias("k"), (F.col("n") - 1).alias("n"), (F.col("ends") + F.col("closes") - 1).alias("ends"))
+    known = wanted.join(seen, ["k", "g"]).select("text_id", "k", (F.col("n") - 1).alias("n"), (F.col("ends") + F.col("closes") - 1).alias("ends"))
     known = known.where((F.col("n") >= F.when(F.col("k") == 1, SEEN_ONE).otherwise(SEEN)))
     best = known.groupBy("text_id").agg(F.max(F.struct("k", "n", "ends")).alias("b"))
-    two = wanted.join(seen, ["k", "g"]).where("k = 1").select(F.col("text_id").alias("_t2"), (F.col("n") - 1).alias("pair_seen"))
+    two = wanted.join(seen, ["k", "g"]).where("k = 2").select(F.col("text_id").alias("_t2"), (F.col("n") - 1).alias("pair_seen"))
 
-    words = texts.select("text").mapInArrow(_words, "word string, texts bigint").groupBy("word").agg(F.sum("texts").alias("texts"))
+    words = counts.where("k = 0").select("word", F.col("n").alias("texts"))
     trie = words.where("texts >= 2 and length(word) > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("word"), "texts").groupBy("word").agg(F.sum("texts").alias("below"))
     finals = sus.select("word").distinct().join(words, "word", "left").join(trie, "word", "left")
     unknown = finals.where("coalesce(texts, 0) < 2 and below is not null").select(F.col("word").alias("_w"))
