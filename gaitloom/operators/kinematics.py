@@ -76,3 +76,18 @@ def dense_pivot(stats: DataFrame, stat: str) -> DataFrame:
     """The (group, name) x syllable table of ``stat`` in long form, 0 where absent."""
     labels = stats.select("syllable").distinct()
     return stats.select("group", "name").distinct().join(F.broadcast(labels), how="cross").join(stats.select("group", "name", "syllable", F.col(stat).alias("value")), ["group", "name", "syllable"], "left").na.fill({"value": 0.0})  # labels: the model's fixed set
+
+
+def bootstrap_interval(stats: DataFrame, stat: str, replicates: int = 200, level: float = 0.68, seed: int = 0) -> DataFrame:
+    """group, syllable, low, high: percentile interval of the mean over resampled recordings.
+
+    Each recording enters a replicate as often as a hash of (seed, replicate, name) says, about a
+    Poisson count of mean 1, so replicates are sums and nothing is gathered.
+    """
+    u = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("rep").cast("string"), "name")), 1, 8), 16, 10).cast("double") / 2**32
+    poisson = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]  # cumulative, mean 1
+    times = reduce(lambda a, c: a + c, [(u >= c).cast("int") for c in poisson])
+    rows = stats.select("group", "name", "syllable", F.col(stat).alias("v")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", times)
+    means = rows.groupBy("group", "syllable", "rep").agg((F.sum(F.col("v") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    a = (1 - level) / 2
+    return means.groupBy("group", "syllable").agg(F.percentile("m", F.lit(a)).alias("low"), F.percentile("m", F.lit(1 - a)).alias("high"))

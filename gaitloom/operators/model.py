@@ -310,4 +310,23 @@ def noise(rows: DataFrame, level: float, seed: int, key: list[str]) -> DataFrame
     return rows.withColumn("x", F.col("x") + (u * 2 - 1) * level)
 
 
+def reconstruct(rows: DataFrame, loadings: np.ndarray, keypoints: int) -> DataFrame:
+    """Adds ``pose``: keypoints of a row's latent state ``x`` at centroid ``v`` and heading ``h``.
 
+    ``loadings`` is (keypoints * 2, dims + 1), the last column the mean pose.
+    """
+    m = [[float(w) for w in r] for r in loadings]
+    dot = lambda r: F.aggregate(F.zip_with(F.concat("x", F.array(F.lit(1.0))), F.array(*[F.lit(w) for w in m[r]]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    flat = F.array(*[dot(i) for i in range(2 * keypoints)])
+    c, s = F.cos("h"), F.sin("h")
+
+    def place(k):
+        x, y = F.get("_y", 2 * k), F.get("_y", 2 * k + 1)
+        return F.array(c * x - s * y + F.get("v", F.lit(0)), s * x + c * y + F.get("v", F.lit(1)))
+
+    return rows.withColumn("_y", flat).withColumn("pose", F.transform(F.sequence(F.lit(0), F.lit(keypoints - 1)), place)).drop("_y")
+
+
+def history(snapshots: DataFrame, recording: str, start: int, length: int) -> DataFrame:
+    """The same stretch of one recording over all snapshots: iter, pos, syllable."""
+    return snapshots.where((F.col("recording") == recording) & (F.col("pos") >= start) & (F.col("pos") < start + length)).select("iter", "pos", "syllable")

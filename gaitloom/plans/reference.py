@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaitloom.operators import graph, hypothesis, instances, kinematics, model, sequence, signal
+from gaitloom.operators import clustering, graph, hypothesis, instances, kinematics, model, sequence, signal
 from gaitloom.operators.timeline import run_numbers, runs, states
 from gaitloom.session import durable
 from gaitloom.sources import sinks
@@ -730,5 +731,38 @@ def stream_sessions(s, d):
 
 
 
+@query(_W + ", x as (select q.recording, q.run, q.syllable, min(frame) as first_frame, max(frame) as last_frame, count(*) as n from q group by 1, 2, 3), l as (select recording, max(run) as m from x group by 1) select x.recording, syllable, first_frame, last_frame, n from x join l using (recording) where run < m")
+def stream_rle(s, d):
+    """Runs a stream has closed after all files: every recording's last run is still open."""
+    source = s.readStream.schema(read(s, d, "results").schema).parquet(f"{d}/result[s].parquet")
+    return streams.with_state_store(s, lambda: streams.run_to_table(streams.stream_runs(source), "gaitloom_runs"))
+
+
+@query()
+def stream_filtering(s, d):
+    """Online state probabilities under fixed parameters."""
+    source = s.readStream.schema(read(s, d, "results").schema).parquet(f"{d}/result[s].parquet")
+    x = source.where("recording is not null and frame is not null and latent_state is not null").withColumnRenamed("latent_state", "x")
+    return streams.with_state_store(s, lambda: streams.run_to_table(streams.stream_filter(x, model.initial(_HYPER, 3, 1)), "gaitloom_filter"))
+
+
+@query()
+def syllable_dendrogram(s, d):
+    return clustering.dendrogram(instances.similarity(instances.typical(_ego(s, d))))
+
+
+@query()
+def bootstrap_intervals(s, d):
+    return kinematics.bootstrap_interval(_frequencies(s, d), "value")
+
+
+@query()
+def pose_reconstruction(s, d):
+    """Poses of every frame's latent state under a fixed set of loadings."""
+    r = states(read(s, d, "results"), ["latent_state", "centroid", "heading"]).where("latent_state is not null and centroid is not null")
+    rows = r.select("recording", "frame", F.col("latent_state").alias("x"), F.col("centroid").alias("v"), F.coalesce("heading", F.lit(0.0)).alias("h"))
+    return model.reconstruct(rows, np.random.default_rng(0).normal(size=(16, 4)), 8).select("recording", "frame", "pose")
+
+
 QUERIES = Q
 

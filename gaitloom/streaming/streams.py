@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
+
+from gaitloom.operators.model import log_likelihoods
 
 RUN_SCHEMA = "recording string, syllable int, first_frame bigint, last_frame bigint, n bigint"
 
@@ -26,7 +29,7 @@ class _Runs(StatefulProcessor):
         self.open = handle.getValueState("open", StructType([StructField("syllable", IntegerType()), StructField("first", LongType()), StructField("last", LongType()), StructField("n", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("frame")
+        batch = pd.concat(list(rows)).sort_values(["frame", "loaded_at"], na_position="first").drop_duplicates("frame", keep="last")  # one recording's part of a micro-batch
         run = self.open.get() if self.open.exists() else None
         out = []
         for s, f in zip(batch["syllable"], batch["frame"]):
@@ -48,7 +51,55 @@ class _Runs(StatefulProcessor):
 
 def stream_runs(stream: DataFrame) -> DataFrame:
     """Closed runs of an ordered state stream; each recording's last run stays open until its label changes."""
-    return stream.where("recording is not null and frame is not null").select("recording", "frame", "syllable").groupBy("recording").transformWithStateInPandas(statefulProcessor=_Runs(), outputStructType=RUN_SCHEMA, outputMode="Append", timeMode="None")
+    return stream.where("recording is not null and frame is not null").select("recording", "frame", "syllable", "loaded_at").groupBy("recording").transformWithStateInPandas(statefulProcessor=_Runs(), outputStructType=RUN_SCHEMA, outputMode="Append", timeMode="None")
+
+
+class _Filter(StatefulProcessor):
+    """Holds each recording's filtered state probabilities and last latent rows."""
+
+    def __init__(self, params) -> None:
+        self.p = params
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", StructType([StructField("prob", ArrayType(DoubleType())), StructField("past", ArrayType(ArrayType(DoubleType())))]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("frame")
+        prob, past = self.held.get() if self.held.exists() else (None, [])
+        past = [list(x) for x in past]
+        prob = None if prob is None else np.array(prob)
+        out, lags, n = [], self.p.hyper.lags, self.p.hyper.states
+        for f, x in zip(batch["frame"], batch["x"]):
+            past.append([float(v) for v in x])
+            if len(past) > lags:
+                ll = log_likelihoods(self.p, np.array(past[-lags - 1 :]))[0]
+                w = (np.full(n, 1 / n) if prob is None else prob @ self.p.pi) * np.exp(ll - ll.max())
+                prob = w / w.sum()
+                out.append((key[0], int(f), int(prob.argmax()), float(prob.max())))
+            past = past[-lags:]
+        self.held.update(([] if prob is None else prob.tolist(), past)) if prob is not None else None
+        yield pd.DataFrame(out, columns=["recording", "frame", "syllable", "probability"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_filter(stream: DataFrame, params) -> DataFrame:
+    """Most probable state of every row given the rows so far, under fixed model parameters. ``stream``: recording, frame, x."""
+    return stream.select("recording", "frame", "x").groupBy("recording").transformWithStateInPandas(statefulProcessor=_Filter(params), outputStructType="recording string, frame bigint, syllable int, probability double", outputMode="Append", timeMode="None")
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def with_state_store(spark: SparkSession, run):
+    """``run()`` under the state store that keyed state needs; the session's setting is put back."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return run()
+    finally:
+        spark.conf.set(STATE_STORE, before) if before else spark.conf.unset(STATE_STORE)
 
 
 def window_usage(stream: DataFrame, ts: str, label: str, width: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:

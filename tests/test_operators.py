@@ -113,15 +113,22 @@ def test_model_recovers_states(spark, tmp_path):
 
 
 def test_stream_of_runs(spark, tmp_path):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        for i, part in enumerate(([("a", 0, 1), ("a", 1, 1), ("b", 0, 2)], [("a", 2, 1), ("a", 3, 4), ("b", 1, None), ("b", 2, 2)], [("b", 3, 5), ("a", 4, 4)])):
-            results(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-            if i == 0:
-                schema_ready = True
-        assert schema_ready
-        out = streams.run_to_table(streams.stream_runs(streams.state_stream(spark, str(tmp_path / "in"))), "closed_runs", checkpoint=str(tmp_path / "c"))
-        assert {tuple(r) for r in out.collect()} == {("a", 1, 0, 2, 3), ("b", 2, 0, 2, 2)}
-    finally:
-        spark.conf.unset(key)
+    for part in ([("a", 0, 1), ("a", 1, 1), ("b", 0, 2)], [("a", 2, 1), ("a", 3, 4), ("b", 1, None), ("b", 2, 2)], [("b", 3, 5), ("a", 4, 4)]):
+        results(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: streams.run_to_table(streams.stream_runs(streams.state_stream(spark, str(tmp_path / "in"))), "closed_runs", checkpoint=str(tmp_path / "c"))
+    assert {tuple(r) for r in streams.with_state_store(spark, run).collect()} == {("a", 1, 0, 2, 3), ("b", 2, 0, 2, 2)}
+
+
+def test_clustering():
+    from gaitloom.operators.clustering import leaf_order, linkage
+
+    d = np.abs(np.subtract.outer([0.0, 1.0, 10.0, 12.0], [0.0, 1.0, 10.0, 12.0]))
+    m = linkage(d)
+    assert [(a, b, h) for a, b, h, _ in m] == [(0, 1, 1.0), (2, 3, 2.0), (4, 5, 12.0)] and leaf_order(m, 4) == [0, 1, 2, 3]
+    assert linkage(d, "single")[-1][2] == 9.0 and linkage(d, "average")[-1][2] == 10.5
+
+
+def test_reconstruction(spark):
+    df = spark.createDataFrame([([2.0], [10.0, 20.0], float(np.pi / 2))], "x array<double>, v array<double>, h double")
+    pose = model.reconstruct(df, np.array([[1.0, 0.5], [0.0, 1.0]]), 1).first().pose
+    assert np.allclose(pose, [[10 - 1.0, 20 + 2.5]])
