@@ -197,12 +197,13 @@ def fill_missing(frames: DataFrame, index: DataFrame, rigs: DataFrame, keypoints
         F.map_from_entries(F.collect_list(F.when(F.col("field") == "conf", F.struct("kp", F.struct("x", "method", "distance"))))).alias("cf"),
     ).select(F.col("recording").alias("_r"), F.col("block").alias("_b"), F.col("frame").alias("_f"), "pf", "cf")
     rows = _latest(base, "p_i", "p_d", "c_i", "c_d").join(per, (F.col("recording") == F.col("_r")) & (F.col("block") == F.col("_b")) & (F.col("frame") == F.col("_f")), "left")
-    got = lambda m, k: F.try_element_at(F.col(m), F.lit(k))
-    pick = lambda m, k, f, own: F.when(got(m, k).isNotNull(), got(m, k)[f]).otherwise(own)
+    ids = F.sequence(F.lit(0), F.lit(keypoints - 1))
+    got = lambda m, k: F.try_element_at(F.col(m), k)
+    pose = F.transform(ids, lambda k: F.when(got("pf", k).isNotNull(), F.array(got("pf", k)["x"], got("pf", k)["y"])).otherwise(F.array(_unpack("p", k * 2, POSE_SCALE), _unpack("p", k * 2 + 1, POSE_SCALE))))
+    conf = F.transform(ids, lambda k: F.when(got("cf", k).isNotNull(), got("cf", k)["x"]).otherwise(_unpack("c", k, CONF_SCALE)))
     marks = lambda m: F.coalesce(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.struct(e["key"].alias("kp"), e["value"]["method"].alias("method"), e["value"]["distance"].alias("distance"))), F.array().cast("array<struct<kp:int,method:string,distance:int>>"))
     return rows.select(
         "recording", "frame",
-        F.array(*[F.array(pick("pf", k, "x", _unpack("p", 2 * k, POSE_SCALE)), pick("pf", k, "y", _unpack("p", 2 * k + 1, POSE_SCALE))) for k in range(keypoints)]).alias("pose"),
-        F.array(*[pick("cf", k, "x", _unpack("c", k, CONF_SCALE)) for k in range(keypoints)]).alias("conf"),
+        pose.alias("pose"), conf.alias("conf"),
         marks("pf").alias("pose_filled"), marks("cf").alias("conf_filled"),
     )
