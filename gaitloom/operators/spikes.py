@@ -1,9 +1,9 @@
 """Implausible readings per source: isolation forests, exact checks, physical limits (problem 4).
 
-Plan. Frames are hashed once by (recording, time block); both passes read that one exchange.
-Pass 1 turns every reading into a code of its logarithmic features and counts codes per block.
-The counts are summed per recording (map-side first) and an isolation forest is grown for each
-recording on a sample drawn from all its readings; it scores every code, hence every reading.
+Plan. Frames are hashed by (recording, time block), in the same compact rows for either pass.
+Pass 1 turns every reading into a code of its logarithmic features and counts codes per block; the
+counts are written once. They are summed per recording (map-side first) and an isolation forest is grown
+for each recording on a sample drawn from all its readings; it scores every code, hence every reading.
 Pass 2 recomputes the features block by block and keeps the readings that the forest sets apart
 and an exact check confirms, and those outside physical limits. No task ever holds more than one
 block of a recording, and what is joined to a block is a few hundred bytes.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from gaitloom.operators import spike_kernel as K
 from gaitloom.operators.missing import flat_pose, no_nan, placeholder_frame, placeholder_pairs
-from gaitloom.session import spread
+from gaitloom.session import durable, spread
 from gaitloom.tables import BLOCK, recording_meta
 
 #: Isolation forest: trees, readings drawn per tree, and how much above its recording's usual score a reading must lie.
@@ -46,7 +46,7 @@ def _blocks(frames: DataFrame, k: int) -> DataFrame:
     return rows.repartition("recording", "block").sortWithinPartitions("recording", "block", "frame", "loaded")
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table, np.ndarray], pa.RecordBatch | None], least: int = 20_000) -> Iterator[pa.RecordBatch]:
+def _grouped(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table, np.ndarray], pa.RecordBatch | None], least: int = 10_000) -> Iterator[pa.RecordBatch]:
     """Feed ``work`` tables of whole (recording, block) groups and the group number of every row."""
 
     def numbers(t: pa.Table) -> np.ndarray:
@@ -248,7 +248,7 @@ def implausible_readings(frames: DataFrame, index: DataFrame, rigs: DataFrame, k
     meta = recording_meta(frames, index, rigs)
     pairs = placeholder_pairs(frames, meta)
     base = _blocks(frames, keypoints)
-    blocks = base.mapInArrow(_profile(keypoints, sorted({(x, y) for _, x, y in pairs})), "recording string, block int, first int, n bigint, pose_usual double, conf_usual double, codes array<int>, counts array<bigint>")
+    blocks = durable(base.mapInArrow(_profile(keypoints, sorted({(x, y) for _, x, y in pairs})), "recording string, block int, first int, n bigint, pose_usual double, conf_usual double, codes array<int>, counts array<bigint>"))
     counts = blocks.select("recording", F.explode(F.arrays_zip("codes", "counts")).alias("z")).groupBy("recording", F.col("z.codes").alias("code")).agg(F.sum("z.counts").alias("n"))
     hist = spread(counts, "recording").groupBy("recording").agg(F.collect_list(F.struct("code", "n")).alias("hist"))  # at most 2 * CODES entries
     forest = hist.mapInArrow(_forest, "recording string, apart array<int>, scores array<double>, pose_run double, conf_run double")
