@@ -294,6 +294,33 @@ def expected_likelihoods(rows: DataFrame, models: list[Params]) -> DataFrame:
     return _groups(rows, work, "model int, ll double").groupBy("model").agg(F.avg("ll").alias("score"), (F.stddev_samp("ll") / F.sqrt(F.count(F.lit(1)))).alias("standard_error"))
 
 
+def permute(p: Params, order: list[int]) -> Params:
+    """The same model with its states renumbered: state ``order[i]`` becomes i."""
+    o = np.asarray(order)
+    return Params(p.pi[np.ix_(o, o)], p.ab[o], p.q[o], p.hyper)
+
+
+def snapshots(spark, folder: str) -> list[int]:
+    """Iterations that were saved, rising."""
+    return sorted(r.iter for r in spark.read.parquet(folder).select("iter").distinct().collect())  # one per snapshot
+
+
+def truncate(spark, folder: str, last: int) -> list[int]:
+    """Delete the snapshots after iteration ``last``, as a restart from there does; returns those deleted."""
+    gone = [i for i in snapshots(spark, folder) if i > last]
+    jvm = spark.sparkContext._jvm
+    for i in gone:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/iter={i}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
+def relabel_snapshots(spark, folder: str, hyper: Hyper, order: list[int]) -> None:
+    """Renumber the states of every saved snapshot."""
+    for i in snapshots(spark, folder):
+        save(spark, permute(load(spark, folder, hyper, i), order), folder, i)
+
+
 def kappa_summary(snapshots: DataFrame) -> DataFrame:
     """Median run length per (kappa, iter). ``snapshots``: kappa, iter, recording, pos, n, syllable."""
     from gaitloom.operators.timeline import runs

@@ -101,6 +101,10 @@ def test_model_recovers_states(spark, tmp_path):
     assert trace[-1] > trace[0]
     back = model.load(spark, str(tmp_path / "s"), h)
     assert np.allclose(back.ab, p.ab) and model.load(spark, str(tmp_path / "s"), h, 4).pi.shape == (2, 2)
+    assert model.snapshots(spark, str(tmp_path / "s")) == [4, 8]
+    model.relabel_snapshots(spark, str(tmp_path / "s"), h, [1, 0])
+    assert np.allclose(model.load(spark, str(tmp_path / "s"), h).ab, p.ab[::-1]) and np.allclose(model.load(spark, str(tmp_path / "s"), h).pi, p.pi[::-1, ::-1])
+    assert model.truncate(spark, str(tmp_path / "s"), 4) == [8] and model.snapshots(spark, str(tmp_path / "s")) == [4]
     z = np.array([r.syllable for r in model.apply(df, p).orderBy("pos").collect()])
     agree = (z == np.array(truth)).mean()
     assert max(agree, 1 - agree) > 0.9
