@@ -4,11 +4,11 @@ Within a recording the donor is the same keypoint's nearest observed reading bef
 frame number. Where a recording never observes the keypoint, the donor is a reading of a comparable
 recording: same rig, nearest recording day. Every filled cell carries its donor's distance.
 
-Plan. Rows are hashed once by (recording, time block) in a compact lossless form with the list of
-their missing cells. Narrow rows (frame and list) are sorted inside each block; only missing cells
-are exploded, and consecutive ones form stretches whose neighbours are the donors. What lies beyond
-a block's edge comes from one summary row per block and cell (bounded by the 32-bit frame number,
-see ``tables.BLOCK``). Values are fetched for donors only, from the same exchange. Recordings
+Plan. Rows take a compact lossless form with the list of their missing cells. Narrow rows (frame and
+list), hashed by (recording, time block), are sorted inside each block; only missing cells are
+exploded, and consecutive ones form stretches whose neighbours are the donors. What lies beyond a
+block's edge comes from one summary row per block and cell (bounded by the 32-bit frame number, see
+``tables.BLOCK``). Values are fetched for donors only, from rows hashed by single frames. Recordings
 without a donor of their own use per-(rig, day) representatives, bounded by the calendar.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaitloom.operators.missing import flat_pose, no_nan, placeholder_frame, placeholder_pairs
-from gaitloom.tables import block_of, by_block, recording_meta
+from gaitloom.tables import block_of, recording_meta
 
 #: Positions are usually written with two decimals, confidences with three: arrays for which that
 #: holds exactly travel as integers, all others as they are.
@@ -38,8 +38,8 @@ def _unpack(name: str, i: Column | int, scale: float) -> Column:
     return F.coalesce(F.get(f"{name}_i", i) / F.lit(scale), F.get(f"{name}_d", i))
 
 
-def _base(frames: DataFrame, keypoints: int, pairs: list[tuple[float, float]]) -> DataFrame:
-    """Compact rows by (recording, block): values, cells without value, cells that hold a placeholder pair.
+def _compact(frames: DataFrame, keypoints: int, pairs: list[tuple[float, float]]) -> DataFrame:
+    """Compact rows with their block, not yet hashed: values, cells without value, cells that hold a placeholder pair.
 
     ``void`` lists cells, ``held`` keypoint + keypoints * (number of the pair). The arrays are built by
     functions over arrays: written out per cell they would exceed what the JVM compiles.
@@ -59,23 +59,31 @@ def _base(frames: DataFrame, keypoints: int, pairs: list[tuple[float, float]]) -
 
     held = [holds(j, x, y) for j, (x, y) in enumerate(pairs)]
     loaded = F.coalesce(F.unix_micros(F.col("loaded_at").cast("timestamp")), F.lit(-(2**62)))
-    return by_block(rows.select("recording", "frame", loaded.alias("loaded"), void.alias("void"), (F.concat(*held) if held else F.array().cast("array<int>")).alias("held"), *_pack("p", POSE_SCALE, "p"), *_pack("c", CONF_SCALE, "c")))
+    rows = rows.where("recording is not null and frame is not null")
+    return rows.select("recording", "frame", block_of().alias("block"), loaded.alias("loaded"), void.alias("void"), (F.concat(*held) if held else F.array().cast("array<int>")).alias("held"), *_pack("p", POSE_SCALE, "p"), *_pack("c", CONF_SCALE, "c"))
 
 
-def _latest(base: DataFrame, *columns: str) -> DataFrame:
-    """One row per frame: of repeated frames the one loaded last."""
+def _latest(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row per frame, by (recording, block): of repeated frames the one loaded last."""
     w = Window.partitionBy("recording", "block").orderBy("frame", "loaded")
-    rows = base.select("recording", "block", "frame", "loaded", *columns).withColumn("_next", F.lead("frame").over(w))
+    rows = rows.select("recording", "block", "frame", "loaded", *columns).repartition("recording", "block").withColumn("_next", F.lead("frame").over(w))
     return rows.where("_next is null or _next <> frame").drop("_next")
 
 
+def _values(rows: DataFrame) -> DataFrame:
+    """Values of the rows in force, hashed by (recording, block, frame) as the joins with single frames want them."""
+    w = Window.partitionBy("recording", "block", "frame").orderBy(F.desc("loaded"))
+    wide = rows.select("recording", "block", "frame", "loaded", "p_i", "p_d", "c_i", "c_d").repartition("recording", "block", "frame")
+    return wide.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank", "loaded")
+
+
 def _donors(base: DataFrame, known: DataFrame, keypoints: int) -> DataFrame:
     """Every missing cell with its donor: recording, block, frame, cell, method, distance, donor_recording, donor_frame.
 
     cell: keypoint for a position, keypoints + keypoint for a confidence.
     """
     rows = _latest(base, "void", "held")
-    places = base.groupBy("recording", "block").agg(F.count(F.lit(1)).alias("_n")).join(known.select("recording", "pair"), "recording", "left")
+    places = rows.groupBy("recording", "block").agg(F.count(F.lit(1)).alias("_n")).join(known.select("recording", "pair"), "recording", "left")
     places = places.select(F.col("recording").alias("_r"), F.col("block").alias("_b"), "pair")
     here = (F.col("recording") == F.col("_r")) & (F.col("block") == F.col("_b"))
     k = F.lit(keypoints)
@@ -164,13 +172,13 @@ def fill_cells(frames: DataFrame, index: DataFrame, rigs: DataFrame, keypoints:
     by_rig = placeholder_pairs(frames, meta)
     pairs = sorted({(x, y) for _, x, y in by_rig})
     known = placeholder_frame(meta, by_rig).withColumn("pair", reduce(lambda a, p: F.when((F.col("px") == p[1][0]) & (F.col("py") == p[1][1]), F.lit(p[0])).otherwise(a), enumerate(pairs), F.lit(None).cast("int")))
-    return _valued(_base(frames, keypoints, pairs), known, keypoints)
+    return _valued(_compact(frames, keypoints, pairs), known, keypoints)
 
 
 def _valued(base: DataFrame, known: DataFrame, keypoints: int) -> DataFrame:
     cells = _donors(base, known, keypoints)
     cells = cells.withColumn("donor_block", block_of("donor_frame"))
-    wide = _latest(base, "p_i", "p_d", "c_i", "c_d").select(F.col("recording").alias("_r"), F.col("block").alias("_b"), F.col("frame").alias("_f"), "p_i", "p_d", "c_i", "c_d")
+    wide = _values(base).select(F.col("recording").alias("_r"), F.col("block").alias("_b"), F.col("frame").alias("_f"), "p_i", "p_d", "c_i", "c_d")
     full = cells.join(wide, (F.col("donor_recording") == F.col("_r")) & (F.col("donor_block") == F.col("_b")) & (F.col("donor_frame") == F.col("_f")), "left")
     pose = F.col("cell") < keypoints
     kp = F.when(pose, F.col("cell")).otherwise(F.col("cell") - keypoints)
@@ -190,13 +198,13 @@ def fill_missing(frames: DataFrame, index: DataFrame, rigs: DataFrame, keypoints
     meta = recording_meta(frames, index, rigs)
     by_rig = placeholder_pairs(frames, meta)
     pairs = sorted({(x, y) for _, x, y in by_rig})
-    base = _base(frames, keypoints, pairs)
+    base = _compact(frames, keypoints, pairs)
     fills = fill_cells(frames, index, rigs, keypoints).withColumn("block", block_of())
     per = fills.groupBy("recording", "block", "frame").agg(
         F.map_from_entries(F.collect_list(F.when(F.col("field") == "pose", F.struct("kp", F.struct("x", "y", "method", "distance"))))).alias("pf"),
         F.map_from_entries(F.collect_list(F.when(F.col("field") == "conf", F.struct("kp", F.struct("x", "method", "distance"))))).alias("cf"),
     ).select(F.col("recording").alias("_r"), F.col("block").alias("_b"), F.col("frame").alias("_f"), "pf", "cf")
-    rows = _latest(base, "p_i", "p_d", "c_i", "c_d").join(per, (F.col("recording") == F.col("_r")) & (F.col("block") == F.col("_b")) & (F.col("frame") == F.col("_f")), "left")
+    rows = _values(base).join(per, (F.col("recording") == F.col("_r")) & (F.col("block") == F.col("_b")) & (F.col("frame") == F.col("_f")), "left")
     ids = F.sequence(F.lit(0), F.lit(keypoints - 1))
     got = lambda m, k: F.try_element_at(F.col(m), k)
     pose = F.transform(ids, lambda k: F.when(got("pf", k).isNotNull(), F.array(got("pf", k)["x"], got("pf", k)["y"])).otherwise(F.array(_unpack("p", k * 2, POSE_SCALE), _unpack("p", k * 2 + 1, POSE_SCALE))))
