@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaitloom.operators.signal import grouped_median
+from gaitloom.session import durable
 
 
 def eligible(run_rows: DataFrame, pre: int = 30, post: int = 60, min_duration: int = 3, min_frequency: float = 0.0, min_instances: int = 0) -> DataFrame:
@@ -58,30 +59,46 @@ def draw(rows: DataFrame, by: list[str], key: list[str], n: int, seed: int) -> D
     return rows.withColumn("_h", h).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_h", "_k")
 
 
-def density_exemplars(vectors: DataFrame, neighbours: int = 50, dims: int = 4, sample: int = 50_000, seed: int = 0) -> DataFrame:
+def _nearest(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """For every row of ``a`` its ``k`` smallest distances to rows of ``b``, rising; fewer if ``b`` has fewer."""
+    k, parts = min(k, len(b)), [np.zeros((0, min(k, len(b))))]
+    for i in range(0, len(a), 64):
+        d = sum((a[i : i + 64, j, None] - b[None, :, j]) ** 2 for j in range(a.shape[1]))
+        parts.append(np.sqrt(np.sort(np.partition(d, k - 1, 1)[:, :k], 1)))
+    return np.concatenate(parts)
+
+
+def density_exemplars(vectors: DataFrame, neighbours: int = 50, dims: int = 4, sample: int = 50_000, seed: int = 0, block: int = 8192) -> DataFrame:
     """Per label the vector that is densest among its own against all: label, id, local, overall.
 
-    ``vectors``: id, label, v. Directions come from at most ``sample`` vectors drawn by hash (that
-    bound is the reference data's size too); every vector is projected and compared with that drawn
-    set, the vector itself included.
+    ``vectors``: id (unique), label, v. Directions and the neighbours among all come from at most
+    ``sample`` vectors drawn by hash, as in the reference; the neighbours among its own from every
+    vector of the label, the vector itself included. Labels are cut by hash into blocks of about
+    ``block`` vectors: a task meets one pair of blocks, and a vector's nearest over the pairs are merged.
     """
-    drawn = vectors.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string")))).orderBy("_h", "id").limit(sample).select("id", "label", "v").toPandas().sort_values("id")
+    drawn = vectors.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string")))).orderBy("_h", "id").limit(sample).select("id", "v").toPandas().sort_values("id")
     x = np.array(drawn["v"].tolist(), float).reshape(len(drawn), -1)
     mean = x.mean(0) if len(x) else 0.0
     axes = np.linalg.svd(x - mean, full_matrices=False)[2][:dims].T if len(x) else np.zeros((0, 0))
-    ref, labels = (x - mean) @ axes if len(x) else x, drawn["label"].to_numpy()
+    ref = (x - mean) @ axes if len(x) else x
 
-    def score(batches):
+    def project(batches):
         for b in batches:
             q = (np.array(b["v"].tolist(), float).reshape(len(b), -1) - mean) @ axes
-            local, overall = np.full(len(b), np.nan), np.full(len(b), np.nan)
-            for a in range(0, len(b), 256):
-                d = np.sqrt(np.maximum(((q[a : a + 256, None] - ref[None]) ** 2).sum(-1), 0))
-                overall[a : a + 256] = 1 / np.maximum(np.sort(d, 1)[:, :neighbours].mean(1), 1e-12)
-                for i, lab in enumerate(b["label"].iloc[a : a + 256]):
-                    own = np.sort(d[i][labels == lab])[:neighbours]
-                    local[a + i] = 1 / max(own.mean(), 1e-12) if len(own) else np.nan
-            yield pd.DataFrame({"id": b["id"], "label": b["label"], "local": local, "overall": overall})
-
-    scored = vectors.select("id", "label", "v").mapInPandas(score, "id bigint, label int, local double, overall double")
+            yield pd.DataFrame({"id": b["id"], "label": b["label"], "q": list(q), "overall": 1 / np.maximum(_nearest(q, ref, neighbours).mean(1), 1e-12)})
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        near = _nearest(np.array(a["q"].tolist(), float), np.array(b["_oq"].tolist(), float), neighbours) if len(a) and len(b) else []
+        return pd.DataFrame({"id": a["id"], "label": a["label"], "overall": a["overall"], "near": list(near)}) if len(near) else pd.DataFrame({"id": [], "label": [], "overall": [], "near": []})
+
+    points = durable(vectors.select("id", "label", "v").mapInPandas(project, "id bigint, label int, q array<double>, overall double"))
+    sizes = points.groupBy(F.col("label").alias("_l")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
+    cut = points.join(F.broadcast(sizes), F.col("label").eqNullSafe(F.col("_l"))).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))  # one row per label
+    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    ask = cut.select("id", "label", "q", "overall", F.col("_b").alias("i"), every.alias("j")).groupBy("label", "i", "j")
+    own = cut.select(F.col("label").alias("_ol"), F.col("q").alias("_oq"), F.col("_b").alias("_oj"), every.alias("_oi")).groupBy("_ol", "_oi", "_oj")
+    met = ask.cogroup(own).applyInPandas(meet, "id bigint, label int, overall double, near array<double>")
+    merged = met.groupBy("id", "label").agg(F.first("overall").alias("overall"), F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, neighbours).alias("near"))
+    mean_near = F.aggregate("near", F.lit(0.0), lambda s, v: s + v) / F.size("near")
+    scored = merged.select("id", "label", (1 / F.greatest(mean_near, F.lit(1e-12))).alias("local"), "overall")
     return scored.groupBy("label").agg(F.max_by(F.struct("id", "local", "overall"), F.struct(F.round(F.col("local") / F.col("overall"), 9), -F.col("id"))).alias("t")).select("label", "t.id", "t.local", "t.overall")

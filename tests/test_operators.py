@@ -5,7 +5,7 @@ import pytest
 from fixtures import clash, frames, results
 from pyspark.sql import functions as F
 
-from gaitloom.operators import hypothesis, model, sequence, signal
+from gaitloom.operators import hypothesis, instances, model, sequence, signal
 from gaitloom.operators.timeline import runs, states
 from gaitloom.streaming import streams
 
@@ -136,3 +136,15 @@ def test_reconstruction(spark):
     df = spark.createDataFrame([([2.0], [10.0, 20.0], float(np.pi / 2))], "x array<double>, v array<double>, h double")
     pose = model.reconstruct(df, np.array([[1.0, 0.5], [0.0, 1.0]]), 1).first().pose
     assert np.allclose(pose, [[10 - 1.0, 20 + 2.5]])
+
+
+def test_local_density_counts_every_vector_of_the_label(spark):
+    rng = np.random.default_rng(4)
+    v, labels = rng.normal(size=(300, 3)), np.r_[np.zeros(240, int), np.ones(58, int), [2, 2]]
+    df = spark.createDataFrame([(i, int(k), [float(c) for c in x]) for i, (k, x) in enumerate(zip(labels, v))], "id bigint, label int, v array<double>")
+    for cut in ({}, {"block": 64}):
+        got = {r.label: r for r in instances.density_exemplars(df, neighbours=10, dims=3, sample=20, **cut).collect()}
+        assert sorted(got) == [0, 1, 2]
+        for k, r in got.items():
+            d = np.sort(np.linalg.norm(v[labels == k] - v[r.id], axis=1))[:10]
+            assert abs(r.local - 1 / d.mean()) < 1e-9
