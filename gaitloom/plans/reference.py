@@ -501,6 +501,17 @@ def melt_stats(s, d):
     return wide.unpivot(["name"], ["s0", "s1", "s2"], "variable", "value").select("name", "variable", F.round("value", 9).alias("value"))
 
 
+@query(_W + ", " + _FREQ + " select name, 's' || cast(syllable as varchar) as variable, round(value, 9) as value from dense")
+def melt_stats_all(s, d):
+    """As melt_stats, over every label: the label set, bounded by the model's, is read first."""
+    long = _frequencies(s, d)
+    labels = sorted(r.syllable for r in _runs(s, d).select("syllable").distinct().collect())
+    if not labels:
+        return long.select("name", F.lit("").alias("variable"), "value")
+    wide = long.groupBy("name").pivot("syllable", labels).agg(F.max("value")).withColumnsRenamed({str(k): f"s{k}" for k in labels})
+    return wide.unpivot(["name"], [f"s{k}" for k in labels], "variable", "value").select("name", "variable", F.round("value", 9).alias("value"))
+
+
 # --- tests -----------------------------------------------------------------------------------
 
 _RANK = _FREQ + """, rk as (select *, rank() over (partition by syllable order by value) + (count(*) over (partition by syllable, value) - 1) / 2.0 as rk from dense),

@@ -148,3 +148,11 @@ def test_local_density_counts_every_vector_of_the_label(spark):
         for k, r in got.items():
             d = np.sort(np.linalg.norm(v[labels == k] - v[r.id], axis=1))[:10]
             assert abs(r.local - 1 / d.mean()) < 1e-9
+
+
+def test_melt_holds_every_label(spark, sf, duck):
+    from gaitloom.plans import reference
+
+    labels = {f"s{r[0]}" for r in duck.sql("select distinct syllable from results where recording is not null and frame is not null and syllable is not null").fetchall()}
+    got = {r.variable for r in reference.QUERIES["melt_stats_all"](spark, sf).select("variable").distinct().collect()}
+    assert len(got) > 3 and got <= labels and got == {f"s{r.syllable}" for r in reference.QUERIES["pivot_stats"](spark, sf).select("syllable").distinct().collect()}
