@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaitloom.session import spread
+
 
 def average_ranks(values: DataFrame) -> DataFrame:
     """Adds ``rk``: rank of ``value`` within its syllable, ties sharing their mean rank. ``values``: group, name, syllable, value."""
@@ -96,7 +98,7 @@ def permutation_test(ranks: DataFrame, n_perm: int = 10_000, seed: int = 42) ->
                 rows.append((s, names[i], names[j], float(z), (hits + 1) / n_perm))
         return pd.DataFrame(rows, columns=["syllable", "a", "b", "statistic", "p"])
 
-    return ranks.groupBy("syllable").applyInPandas(test, schema)
+    return spread(ranks, "syllable").groupBy("syllable").applyInPandas(test, schema)
 
 
 def significant_pairs(tests: DataFrame, threshold: float = 0.05) -> DataFrame:

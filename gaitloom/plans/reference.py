@@ -548,12 +548,12 @@ def fdr_bh(s, d):
 
 @query()
 def permutation_pvalue(s, d):
-    return hypothesis.permutation_test(hypothesis.average_ranks(_frequencies(s, d)), n_perm=1000)
+    return hypothesis.permutation_test(hypothesis.average_ranks(_frequencies(s, d)))
 
 
 @query()
 def significant_pairs(s, d):
-    return hypothesis.significant_pairs(hypothesis.permutation_test(hypothesis.average_ranks(_frequencies(s, d)), n_perm=1000))
+    return hypothesis.significant_pairs(hypothesis.permutation_test(hypothesis.average_ranks(_frequencies(s, d))))
 
 
 # --- joins -----------------------------------------------------------------------------------

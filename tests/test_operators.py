@@ -156,3 +156,10 @@ def test_melt_holds_every_label(spark, sf, duck):
     labels = {f"s{r[0]}" for r in duck.sql("select distinct syllable from results where recording is not null and frame is not null and syllable is not null").fetchall()}
     got = {r.variable for r in reference.QUERIES["melt_stats_all"](spark, sf).select("variable").distinct().collect()}
     assert len(got) > 3 and got <= labels and got == {f"s{r.syllable}" for r in reference.QUERIES["pivot_stats"](spark, sf).select("syllable").distinct().collect()}
+
+
+def test_queries_permute_ten_thousand_times(spark, sf):
+    from gaitloom.plans import reference
+
+    p = [r.p for r in reference.QUERIES["permutation_pvalue"](spark, sf).collect()]
+    assert any(abs(x * 1000 - round(x * 1000)) > 1e-6 for x in p) and all(abs(x * 10_000 - round(x * 10_000)) < 1e-6 for x in p)
