@@ -12,9 +12,12 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaitloom.session import durable, spread
+
 
 def segment_length(lengths: list[int], most: int = 10_000, padding: float = 50.0, least: int = 4) -> int:
     """Longest common segment length whose padding stays within ``padding`` per cent and whose rests are at least ``least``."""
@@ -157,17 +160,44 @@ def marginals(p: Params, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _statistics(p: Params, x: np.ndarray, z: np.ndarray) -> np.ndarray:
-    past, now = _design(x, p.hyper.lags)
-    n, f, d = p.hyper.states, past.shape[1], now.shape[1]
-    trans = np.zeros((n, n))
-    np.add.at(trans, (z[:-1], z[1:]), 1)
-    parts = [trans.ravel()]
+def _sweep(p: Params, xs: list[np.ndarray], draws: list[np.random.Generator]) -> np.ndarray:
+    """Sufficient statistics of one draw of the states of several segments, and last their log likelihood.
+
+    Step t is one matrix product over all segments that are that long; the draws are those of :func:`sample_states`.
+    """
+    order = sorted(range(len(xs)), key=lambda i: -len(xs[i]))
+    parts = [_design(xs[i], p.hyper.lags) for i in order]
+    past, now = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+    n, d, size = p.hyper.states, now.shape[1], np.array([len(b) for _, b in parts])
+    at, u = np.r_[0, np.cumsum(size)[:-1]], np.concatenate([draws[i].random(k) for i, k in zip(order, size)])
+    c = np.linalg.inv(np.linalg.cholesky(p.q))
+    w = np.concatenate([-c @ p.ab, c], 2)  # whitened residuals as one product
+    both = np.concatenate([past, now], 1)
+    ll = -0.5 * sum((both @ w[:, j].T) ** 2 for j in range(d)) + np.log(np.diagonal(c, axis1=1, axis2=2)).sum(1) - 0.5 * d * np.log(2 * np.pi)
+    m = ll.max(1)
+    a, total = np.exp(ll - m[:, None]), m.sum()
+    live = [int((size > t).sum()) for t in range(size[0])]
+    prev = np.full((len(size), n), 1 / n)
+    for t, k in enumerate(live):
+        v = (prev[:k] if t == 0 else prev[:k] @ p.pi) * a[at[:k] + t]
+        s = v.sum(1, keepdims=True)
+        total += np.log(s).sum()
+        prev = a[at[:k] + t] = v / s
+    z, to = np.empty(len(now), np.int64), np.ascontiguousarray(p.pi.T)
+    for t in range(size[0] - 1, -1, -1):
+        k, on = live[t], live[t + 1] if t + 1 < size[0] else 0
+        v = a[at[:k] + t]
+        v[:on] *= to[z[at[:on] + t + 1]]
+        v = np.cumsum(v, 1)
+        z[at[:k] + t] = np.minimum((v < (u[at[:k] + t] * v[:, -1])[:, None]).sum(1), n - 1)
+    trans, step = np.zeros((n, n)), np.ones(len(z), bool)
+    step[at] = False
+    np.add.at(trans, (z[:-1][step[1:]], z[1:][step[1:]]), 1)
+    out = [trans.ravel()]
     for k in range(n):
-        m = z == k
-        parts += [(past[m].T @ past[m]).ravel(), (now[m].T @ past[m]).ravel(), (now[m].T @ now[m]).ravel(), [m.sum()]]
-    del f, d
-    return np.concatenate(parts)
+        f, g = past[z == k], now[z == k]
+        out += [(f.T @ f).ravel(), (g.T @ f).ravel(), (g.T @ g).ravel(), [len(g)]]
+    return np.concatenate([*out, [total]])
 
 
 def draw_params(h: Hyper, stats: np.ndarray, dims: int, rng: np.random.Generator) -> Params:
@@ -175,6 +205,7 @@ def draw_params(h: Hyper, stats: np.ndarray, dims: int, rng: np.random.Generator
     n, d, f = h.states, dims, dims * h.lags + 1
     trans = stats[: n * n].reshape(n, n)
     pi = np.stack([rng.dirichlet(trans[i] + h.alpha / n + h.kappa * (np.arange(n) == i)) for i in range(n)])
+    pi = np.maximum(pi, 1e-200)  # with many states a share may round to 0 and leave a row without any way on
     ab, q, at = np.empty((n, d, f)), np.empty((n, d, d)), n * n
     m0 = np.zeros((d, f))
     m0[:, d * (h.lags - 1) : d * h.lags] = np.eye(d)
@@ -212,28 +243,41 @@ def _x(g: pd.DataFrame) -> np.ndarray:
     return np.array(g["x"].tolist(), float)
 
 
-def fit(rows: DataFrame, hyper: Hyper, dims: int, iterations: int, seed: int = 0, start: Params | None = None, save_every: int = 0, folder: str | None = None) -> tuple[Params, list[float]]:
+def fit(rows: DataFrame, hyper: Hyper, dims: int, iterations: int = 50, seed: int = 0, start: Params | None = None, save_every: int = 0, folder: str | None = None) -> tuple[Params, list[float]]:
     """Gibbs sampling over ``rows`` (recording, seg, pos, x): the last parameters and each iteration's log likelihood.
 
-    ``rows`` should be persisted. With ``folder`` the parameters are written every ``save_every``
-    iterations as parquet partitions iter=<n>.
+    Segments are gathered once, a row each. A task adds its statistics up, and so do the tasks in a
+    fixed order. With ``folder`` the parameters are written every ``save_every`` iterations as parquet
+    partitions iter=<n>.
     """
     p, trace = start or initial(hyper, dims, seed), []
+    n, f = hyper.states, dims * hyper.lags + 1
+    width = n * n + n * (f * f + dims * f + dims * dims + 1) + 1
+    lines = spread(rows.select("recording", "seg", "pos", "x"), "recording", "seg").groupBy("recording", "seg").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda r: r["x"]).alias("x"))
+    lines = durable(lines.where(F.size("x") > hyper.lags + 1).sortWithinPartitions("recording", "seg"))
     for it in range(iterations):
         q = p
 
-        def work(rec: str, seg: int, g: pd.DataFrame, q=q, it=it) -> pd.DataFrame:
-            x = _x(g)
-            if len(x) <= hyper.lags + 1:
-                return pd.DataFrame({"s": [], "ll": []})
-            rng = np.random.default_rng([seed, it, seg, *rec.encode()[-8:]])
-            _, ll = forward(q, log_likelihoods(q, x))
-            return pd.DataFrame({"s": [_statistics(q, x, sample_states(q, x, rng)).tolist()], "ll": [ll]})
-
-        stats = _groups(rows, work, "s array<double>, ll double")
-        sums = stats.select(F.posexplode("s")).groupBy("pos").agg(F.sum("col").alias("s")).sort("pos").collect()  # fixed length
-        trace.append(float(stats.agg(F.sum("ll")).first()[0] or 0.0))
-        p = draw_params(hyper, np.array([r.s for r in sums]), dims, np.random.default_rng([seed, it]))
+        def work(batches, q=q, it=it):
+            total, xs, draws, held = np.zeros(width), [], [], 0
+            for b in batches:
+                for rec, seg, x in zip(b["recording"], b["seg"], b["x"]):
+                    xs.append(np.array(x.tolist(), float))
+                    draws.append(np.random.default_rng([seed, it, int(seg), *rec.encode()[-8:]]))
+                    held += len(x)
+                    if held >= 20_000:
+                        total, xs, draws, held = total + _sweep(q, xs, draws), [], [], 0
+            if xs:
+                total = total + _sweep(q, xs, draws)
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "s": [total]})
+
+        def add(g: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"part": [g["part"].min()], "s": [np.sum(np.stack(g.sort_values("part")["s"].tolist()), 0)]})
+
+        parts = lines.mapInPandas(work, "part int, s array<double>").groupBy(F.pmod("part", F.lit(8))).applyInPandas(add, "part int, s array<double>").collect()  # at most 8 rows
+        sums = sum((np.array(r.s) for r in sorted(parts, key=lambda r: r.part)), np.zeros(width))
+        trace.append(float(sums[-1]))
+        p = draw_params(hyper, sums[:-1], dims, np.random.default_rng([seed, it]))
         if folder and save_every and (it + 1) % save_every == 0:
             save(rows.sparkSession, p, folder, it + 1)
     return p, trace

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from gaitloom.operators import clustering, graph, hypothesis, instances, kinematics, model, sequence, signal
 from gaitloom.operators.timeline import run_numbers, runs, states
-from gaitloom.session import durable
 from gaitloom.sources import sinks
 from gaitloom.sources.loaders import recording_name
 from gaitloom.streaming import streams
@@ -687,29 +686,32 @@ def _latent(s, d) -> DataFrame:
     return r.select("recording", "pos", F.floor(F.col("pos") / 1000).alias("seg"), F.col("latent_state").alias("x"))
 
 
-_HYPER = model.Hyper(states=6, lags=1, kappa=20.0)
+_HYPER = model.Hyper(states=100, lags=3, kappa=20.0)  # the size of the configuration
+
+
+def _fitted(s, d) -> model.Params:
+    return model.fit(_latent(s, d), _HYPER, 3, seed=1)[0]
 
 
 @query()
 def arhmm_fit(s, d):
-    p, trace = model.fit(durable(_latent(s, d)), _HYPER, 3, iterations=3, seed=1)
-    del p
+    trace = model.fit(_latent(s, d), _HYPER, 3, seed=1)[1]
     return s.createDataFrame([(i, float(v)) for i, v in enumerate(trace)], "iteration int, log_likelihood double")
 
 
 @query()
 def arhmm_apply(s, d):
-    return model.apply(_latent(s, d), model.initial(_HYPER, 3, 1))
+    return model.apply(_latent(s, d), _fitted(s, d))
 
 
 @query()
 def state_marginals(s, d):
-    return model.state_marginals(_latent(s, d), model.initial(_HYPER, 3, 1))
+    return model.state_marginals(_latent(s, d), _fitted(s, d))
 
 
 @query()
 def model_likelihood(s, d):
-    return model.expected_likelihoods(_latent(s, d), [model.initial(_HYPER, 3, i) for i in (1, 2)])
+    return model.expected_likelihoods(_latent(s, d), [model.fit(_latent(s, d), _HYPER, 3, seed=i)[0] for i in (1, 2)])
 
 
 @query(_W + """, snap as (select k as kappa, 1 as iter, recording, pos, syllable // k as syllable from r, (select unnest([1, 4]) as k)),
@@ -751,10 +753,11 @@ def stream_rle(s, d):
 
 @query()
 def stream_filtering(s, d):
-    """Online state probabilities under fixed parameters."""
+    """Online state probabilities under the parameters of the fit."""
     source = s.readStream.schema(read(s, d, "results").schema).parquet(f"{d}/result[s].parquet")
+    p = _fitted(s, d)
     x = source.where("recording is not null and frame is not null and latent_state is not null").withColumnRenamed("latent_state", "x")
-    return streams.with_state_store(s, lambda: streams.run_to_table(streams.stream_filter(x, model.initial(_HYPER, 3, 1)), "gaitloom_filter"))
+    return streams.with_state_store(s, lambda: streams.run_to_table(streams.stream_filter(x, p), "gaitloom_filter"))
 
 
 @query()

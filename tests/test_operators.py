@@ -163,3 +163,23 @@ def test_queries_permute_ten_thousand_times(spark, sf):
 
     p = [r.p for r in reference.QUERIES["permutation_pvalue"](spark, sf).collect()]
     assert any(abs(x * 1000 - round(x * 1000)) > 1e-6 for x in p) and all(abs(x * 10_000 - round(x * 10_000)) < 1e-6 for x in p)
+
+
+def test_model_queries_use_a_whole_fit(spark, sf):
+    from gaitloom.plans import reference
+
+    trace = [r.log_likelihood for r in reference.QUERIES["arhmm_fit"](spark, sf).orderBy("iteration").collect()]
+    assert len(trace) == 50 and trace[-1] > trace[0]
+    assert len(reference.QUERIES["state_marginals"](spark, sf).first().marginal) == 100
+
+
+def test_sweep_draws_as_single_segments_do():
+    rng, p = np.random.default_rng(2), model.initial(model.Hyper(states=5, lags=2), 2, 3)
+    xs = [rng.normal(size=(n, 2)) for n in (4, 30, 17)]
+    got = model._sweep(p, xs, [np.random.default_rng(i) for i in range(3)])
+    z = [model.sample_states(p, x, np.random.default_rng(i)) for i, x in enumerate(xs)]
+    trans = np.zeros((5, 5))
+    for s in z:
+        np.add.at(trans, (s[:-1], s[1:]), 1)
+    assert np.array_equal(got[:25].reshape(5, 5), trans)
+    assert abs(got[-1] - sum(model.forward(p, model.log_likelihoods(p, x))[1] for x in xs)) < 1e-8
