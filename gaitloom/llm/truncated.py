@@ -184,12 +184,13 @@ def _marked(suspects: DataFrame, order: int) -> np.ndarray:
 
 
 def limits_of(documents: DataFrame) -> DataFrame:
-    """(source, unit, limit): lengths at which a source's texts pile up."""
-    sizes = documents.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length("text").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("size")))).alias("z"))
-    per = sizes.where("z.size > 0").groupBy("source", "z.unit", "z.size").agg(F.count(F.lit(1)).alias("n"))
+    """(source, unit, limit): lengths at which a source's different texts pile up. Copies of a text count once."""
+    texts = documents.where("text <> ''").select("source", F.xxhash64("text"), F.length("text").alias("_c"), F.octet_length("text").alias("_b")).distinct()
+    sizes = texts.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("_c").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("_b").alias("size")))).alias("z"))
+    per = sizes.groupBy("source", "z.unit", "z.size").agg(F.count(F.lit(1)).alias("n"))
     below = Window.partitionBy("source", "unit").orderBy("size").rangeBetween(-WINDOW, -1)  # one row per source and length
     around = per.withColumn("_below", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    return around.where((F.col("_below") >= PILE) & (F.col("n") >= PILE) & (F.col("n") >= PILE_SHARE * F.col("_below"))).select("source", "unit", F.col("size").alias("limit"))
+    return around.where((F.col("n") >= PILE) & (F.col("n") >= PILE_SHARE * F.col("_below"))).select("source", "unit", F.col("size").alias("limit"))
 
 
 def truncated(documents: DataFrame) -> DataFrame:

@@ -316,3 +316,11 @@ def test_group_names(spark):
     r = results(spark, [("a", f, 5) for f in range(10)] + [("b", f, 5) for f in range(4)])
     got = {(x.group_name, x.bin, x.n) for x in duration_summary(r, info(spark), index(spark, [("A.csv ", "Dose Low", None, None, None)])).collect()}
     assert got == {("dose_low", 10.0, 1), ("(none)", 4.0, 1)}
+
+
+def test_limit_without_texts_just_below_and_copies_are_no_limit(spark):
+    from gaitloom.llm.truncated import limits_of
+
+    rows = [("web", f"{i:04d}".ljust(1000, "x")) for i in range(10)] + [("web", "a template".ljust(500, "y"))] * 10 + [("web", f"{i} short".ljust(470 + i, "z")) for i in range(6)]
+    got = limits_of(spark.createDataFrame(rows, "source string, text string")).collect()
+    assert {tuple(r) for r in got} == {("web", "chars", 1000), ("web", "bytes", 1000)}
