@@ -64,7 +64,7 @@ class _Filter(StatefulProcessor):
         self.held = handle.getValueState("held", StructType([StructField("prob", ArrayType(DoubleType())), StructField("past", ArrayType(ArrayType(DoubleType())))]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("frame")
+        batch = pd.concat(list(rows)).sort_values(["frame", "loaded_at"], na_position="first").drop_duplicates("frame", keep="last")  # one recording's part of a micro-batch
         prob, past = self.held.get() if self.held.exists() else (None, [])
         past = [list(x) for x in past]
         prob = None if prob is None else np.array(prob)
@@ -85,8 +85,8 @@ class _Filter(StatefulProcessor):
 
 
 def stream_filter(stream: DataFrame, params) -> DataFrame:
-    """Most probable state of every row given the rows so far, under fixed model parameters. ``stream``: recording, frame, x."""
-    return stream.select("recording", "frame", "x").groupBy("recording").transformWithStateInPandas(statefulProcessor=_Filter(params), outputStructType="recording string, frame bigint, syllable int, probability double", outputMode="Append", timeMode="None")
+    """Most probable state of every row given the rows so far, under fixed model parameters. ``stream``: recording, frame, x, loaded_at; of a frame's rows in a micro-batch the latest counts."""
+    return stream.select("recording", "frame", "x", "loaded_at").groupBy("recording").transformWithStateInPandas(statefulProcessor=_Filter(params), outputStructType="recording string, frame bigint, syllable int, probability double", outputMode="Append", timeMode="None")
 
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"

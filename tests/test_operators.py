@@ -183,3 +183,17 @@ def test_sweep_draws_as_single_segments_do():
         np.add.at(trans, (s[:-1], s[1:]), 1)
     assert np.array_equal(got[:25].reshape(5, 5), trans)
     assert abs(got[-1] - sum(model.forward(p, model.log_likelihoods(p, x))[1] for x in xs)) < 1e-8
+
+
+def test_stream_filter_takes_the_latest_row_of_a_frame(spark, tmp_path):
+    from fixtures import T0, T1
+
+    h = model.Hyper(states=2, lags=1)
+    once = [("a", i, [float(i % 3)], T1) for i in range(6)]
+    again = [("a", 2, [9.0], T0), ("a", 3, [0.0], T1), ("a", 4, [7.0], None)]
+    got = []
+    for k, rows in enumerate((once, once + again)):
+        spark.createDataFrame(rows, "recording string, frame bigint, x array<double>, loaded_at timestamp").coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+        run = lambda: streams.run_to_table(streams.stream_filter(streams.state_stream(spark, str(tmp_path / f"in{k}")), model.initial(h, 1, 1)), f"filtered_{k}")  # noqa: B023, E731
+        got.append(sorted(tuple(r) for r in streams.with_state_store(spark, run).collect()))
+    assert got[0] == got[1] and len(got[0]) == 5
