@@ -184,6 +184,35 @@ def keypoints_export(s, d):
     return sinks.keypoints_wide(rows, names).select("recording", "frame", "nose_x", "nose_y", "tail_base_conf")
 
 
+#: The keypoints of the fixed table ``bodyparts`` in order, for the SQL of whole exports.
+_PARTS = ["nose", "head", "left_ear", "right_ear", "spine_upper", "spine_mid", "spine_low", "tail_base"]
+
+
+@query("select recording, frame, " + ", ".join(f"conf[{k}] as c_{b}" for k, b in reversed([*enumerate(_PARTS, 1)])) + f" from {_FRM} where conf is not null")
+def bodypart_reindex_all(s, d):
+    """As bodypart_reindex, with every keypoint under its name."""
+    names = [r.bodypart for r in read(s, d, "bodyparts").sort("kp").collect()]  # fixed table
+    order = F.array(*[F.lit(names.index(n)) for n in reversed(names)])
+    rows = in_force(by_block(read(s, d, "frames").select("recording", "frame", "loaded_at", "conf")), ["conf"]).where("conf is not null")
+    turned = rows.withColumn("c", F.transform(order, lambda i: F.get("conf", i)))
+    return turned.select("recording", "frame", *[F.get("c", F.lit(i)).alias(f"c_{n}") for i, n in enumerate(reversed(names))])
+
+
+@query(f"""select recording, frame, syllable, round_even(centroid[1], 4) as "centroid x", round_even(centroid[2], 4) as "centroid y", round_even(heading, 4) as heading,
+round_even(latent_state[1], 4) as "latent_state 0", round_even(latent_state[2], 4) as "latent_state 1", round_even(latent_state[3], 4) as "latent_state 2" from {_RES}""")
+def csv_export_all(s, d):
+    """As csv_export_rounding, with all columns of the file."""
+    columns = ["syllable", "centroid", "heading", "latent_state"]
+    return sinks.results_csv(in_force(by_block(read(s, d, "results").select("recording", "frame", "loaded_at", *columns)), columns))
+
+
+@query("select recording, frame, " + ", ".join(f"pose[{k}][1] as {b}_x, pose[{k}][2] as {b}_y, conf[{k}] as {b}_conf" for k, b in enumerate(_PARTS, 1)) + f" from {_FRM}")
+def keypoints_export_all(s, d):
+    """As keypoints_export, with all columns of the file."""
+    names = [r.bodypart for r in read(s, d, "bodyparts").sort("kp").collect()]  # fixed table
+    return sinks.keypoints_wide(in_force(by_block(read(s, d, "frames").select("recording", "frame", "loaded_at", "pose", "conf")), ["pose", "conf"]), names)
+
+
 # --- sequences -------------------------------------------------------------------------------
 
 
