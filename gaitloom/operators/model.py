@@ -9,6 +9,7 @@ added up and reach the driver, whose new parameters go out with the next pass.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -338,6 +339,25 @@ def expected_likelihoods(rows: DataFrame, models: list[Params]) -> DataFrame:
     return _groups(rows, work, "model int, ll double").groupBy("model").agg(F.avg("ll").alias("score"), (F.stddev_samp("ll") / F.sqrt(F.count(F.lit(1)))).alias("standard_error"))
 
 
+def cross_likelihoods(latents: list[DataFrame], models: list[Params]) -> DataFrame:
+    """model, score, standard_error: mean and error over j of the log likelihood of model j's latents (recording, seg, pos, x) under every other model i.
+
+    Likelihoods are summed over segments: one term per ordered pair of models.
+    """
+    n = len(models)
+
+    def against(j: int) -> DataFrame:
+        def work(rec: str, seg: int, g: pd.DataFrame) -> pd.DataFrame:
+            x = _x(g)
+            ok = [(i, j, forward(m, log_likelihoods(m, x))[1]) for i, m in enumerate(models) if i != j and len(x) > m.hyper.lags]
+            return pd.DataFrame(ok, columns=["model", "other", "ll"])
+
+        return _groups(latents[j], work, "model int, other int, ll double")
+
+    table = reduce(DataFrame.unionByName, [against(j) for j in range(n)]).groupBy("model", "other").agg(F.sum("ll").alias("ll"))
+    return table.groupBy("model").agg(F.avg("ll").alias("score"), (F.stddev_pop("ll") / np.sqrt(max(n - 1, 1))).alias("standard_error"))
+
+
 def permute(p: Params, order: list[int]) -> Params:
     """The same model with its states renumbered: state ``order[i]`` becomes i."""
     o = np.asarray(order)

@@ -197,3 +197,15 @@ def test_stream_filter_takes_the_latest_row_of_a_frame(spark, tmp_path):
         run = lambda: streams.run_to_table(streams.stream_filter(streams.state_stream(spark, str(tmp_path / f"in{k}")), model.initial(h, 1, 1)), f"filtered_{k}")  # noqa: B023, E731
         got.append(sorted(tuple(r) for r in streams.with_state_store(spark, run).collect()))
     assert got[0] == got[1] and len(got[0]) == 5
+
+
+def test_likelihoods_over_the_latents_of_other_models(spark):
+    rng = np.random.default_rng(5)
+    h = model.Hyper(states=2, lags=1)
+    models = [model.initial(h, 2, k) for k in range(3)]
+    xs = [[rng.normal(size=(n, 2)) for n in sizes] for sizes in ((20, 5), (9,), (12, 30))]
+    dfs = [spark.createDataFrame([("r", i, t, [float(v) for v in row]) for i, x in enumerate(s) for t, row in enumerate(x)], "recording string, seg bigint, pos bigint, x array<double>") for s in xs]
+    got = {r.model: r for r in model.cross_likelihoods(dfs, models).collect()}
+    for i, m in enumerate(models):
+        ll = [sum(model.forward(m, model.log_likelihoods(m, x))[1] for x in xs[j]) for j in range(3) if j != i]
+        assert abs(got[i].score - np.mean(ll)) < 1e-8 and abs(got[i].standard_error - np.std(ll) / np.sqrt(2)) < 1e-8
