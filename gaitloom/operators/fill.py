@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaitloom.operators.missing import flat_pose, no_nan, placeholder_frame, placeholder_pairs
+from gaitloom.operators.missing import census, no_nan, placeholder_frame, placeholder_pairs
 from gaitloom.tables import block_of, recording_meta
 
 #: Positions are usually written with two decimals, confidences with three: arrays for which that
@@ -168,8 +168,9 @@ def fill_cells(frames: DataFrame, index: DataFrame, rigs: DataFrame, keypoints:
     rows: the latest ``loaded_at`` counts, null being earliest. Rows without recording or frame are
     left out; an empty table gives no rows; extra columns are ignored.
     """
-    meta = recording_meta(frames, index, rigs)
-    by_rig = placeholder_pairs(frames, meta)
+    counts = census(frames)
+    meta = recording_meta(counts, index, rigs)
+    by_rig = placeholder_pairs(counts, meta)
     pairs = sorted({(x, y) for _, x, y in by_rig})
     known = placeholder_frame(meta, by_rig).withColumn("pair", reduce(lambda a, p: F.when((F.col("px") == p[1][0]) & (F.col("py") == p[1][1]), F.lit(p[0])).otherwise(a), enumerate(pairs), F.lit(None).cast("int")))
     return _valued(_compact(frames, keypoints, pairs), known, keypoints)
@@ -195,8 +196,9 @@ def fill_missing(frames: DataFrame, index: DataFrame, rigs: DataFrame, keypoints
     conf_filled array<struct<kp, method, distance>> (empty where nothing was missing). Genuine values
     are kept bit for bit; cells without any donor are null.
     """
-    meta = recording_meta(frames, index, rigs)
-    by_rig = placeholder_pairs(frames, meta)
+    counts = census(frames)
+    meta = recording_meta(counts, index, rigs)
+    by_rig = placeholder_pairs(counts, meta)
     pairs = sorted({(x, y) for _, x, y in by_rig})
     base = _compact(frames, keypoints, pairs)
     fills = fill_cells(frames, index, rigs, keypoints).withColumn("block", block_of())

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaitloom.session import durable
+from gaitloom.tables import block_of
+
 #: A pair is taken for the one its rig writes instead of a position if so large a share of the
 #: rig's recordings and of its cells hold exactly it.
 MIN_RECORDINGS, MIN_CELLS = 0.25, 0.001
@@ -19,20 +22,33 @@ def no_nan(v: Column) -> Column:
     return F.when(~F.isnan(v), v)
 
 
-def placeholder_pairs(frames: DataFrame, meta: DataFrame) -> list[tuple[str, float, float]]:
-    """(rig, x, y) of the pair each rig writes where it has no position.
+def census(frames: DataFrame) -> DataFrame:
+    """(recording, block, x, y, n, cells): what the frame table holds, counted in one reading of it and written once.
+
+    One row per integral pair of a (recording, block), ``n`` being how often it occurs, and one with
+    null x for the rest; ``cells`` sums up to the block's number of cells. Rows without recording
+    or frame are left out.
+    """
+    whole = F.filter(F.coalesce("pose", F.array().cast("array<array<double>>")), lambda p: (F.get(p, F.lit(0)) == F.floor(F.get(p, F.lit(0)))) & (F.get(p, F.lit(1)) == F.floor(F.get(p, F.lit(1)))))
+    rows = frames.where("recording is not null and frame is not null").select("recording", block_of().alias("block"), F.coalesce(F.size("pose"), F.lit(0)).alias("size"), F.posexplode_outer(whole).alias("i", "p"))
+    return durable(
+        rows.groupBy("recording", "block", F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y")).agg(
+            F.count("p").alias("n"), F.sum(F.when(F.coalesce("i", F.lit(0)) == 0, F.greatest("size", F.lit(0))).otherwise(0)).alias("cells")
+        )
+    )
+
+
+def placeholder_pairs(counts: DataFrame, meta: DataFrame) -> list[tuple[str, float, float]]:
+    """(rig, x, y) of the pair each rig writes where it has no position, from the counts of :func:`census`.
 
     Such a pair is integral and recurs exactly all over the rig's recordings, which no measured
     position does. Counts are over all rows; what reaches the driver is at most one row per rig of
     the fixed rig table.
     """
-    cells = frames.select("recording", F.explode("pose").alias("p"))
-    x, y = F.get("p", F.lit(0)), F.get("p", F.lit(1))
-    whole = cells.select("recording", x.alias("x"), y.alias("y")).where((F.col("x") == F.floor("x")) & (F.col("y") == F.floor("y")))
-    pairs = whole.groupBy("recording", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-    size = frames.groupBy("recording").agg(F.sum(F.size("pose")).alias("cells"))
-    per_rig = size.join(meta, "recording").groupBy("rig").agg(F.count(F.lit(1)).alias("recs"), F.sum("cells").alias("cells"))
-    hits = pairs.join(meta.select("recording", "rig"), "recording").groupBy("rig", "x", "y").agg(F.count(F.lit(1)).alias("hit"), F.sum("n").alias("n"))
+    place = meta.select("recording", "rig")
+    per = counts.groupBy("recording", "x", "y").agg(F.sum("n").alias("n"), F.sum("cells").alias("cells")).join(place, "recording")
+    per_rig = per.groupBy("rig").agg(F.count_distinct("recording").alias("recs"), F.sum("cells").alias("cells"))
+    hits = per.where("x is not null").groupBy("rig", "x", "y").agg(F.count(F.lit(1)).alias("hit"), F.sum("n").alias("n"))
     top = (
         hits.join(per_rig, "rig")
         .where((F.col("hit") >= MIN_RECORDINGS * F.col("recs")) & (F.col("n") >= MIN_CELLS * F.col("cells")) & (F.col("n") >= 3))

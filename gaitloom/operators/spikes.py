@@ -1,12 +1,14 @@
-"""Implausible readings per source: isolation forests, exact checks, physical limits (problem 4).
-
-Plan. Frames are hashed by (recording, time block), in the same compact rows for either pass.
-Pass 1 turns every reading into a code of its logarithmic features and counts codes per block; the
-counts are written once. They are summed per recording (map-side first) and an isolation forest is grown
-for each recording on a sample drawn from all its readings; it scores every code, hence every reading.
-Pass 2 recomputes the features block by block and keeps the readings that the forest sets apart
-and an exact check confirms, and those outside physical limits. No task ever holds more than one
-block of a recording, and what is joined to a block is a few hundred bytes.
+"""Implausible readings per source: isolation forests and physical limits (problem 4).
+
+Plan. A census of the frames, written once, gives recordings, blocks and the pairs written instead
+of positions. Frames are hashed once by (recording, time block), a header row with the rig's area,
+pair and frame rate leading each block, so that nothing is joined to the readings. In one pass every
+reading becomes a code of its features, in units of what is usual in its block; each block is
+reduced to the counts of its codes and its readings that are not ordinary in every way, written
+once. The counts are summed per recording (map-side first), an isolation forest over all readings of
+the recording scores every code, and the readings whose code scores above ``ABOVE`` are flagged:
+the forest alone decides, but for readings outside physical limits. No task holds more than one
+block of a recording; the flagged codes are joined to blocks by (recording, span of blocks).
 """
 
 from __future__ import annotations
@@ -19,31 +21,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaitloom.operators import spike_kernel as K
-from gaitloom.operators.missing import flat_pose, no_nan, placeholder_frame, placeholder_pairs
+from gaitloom.operators.missing import census, flat_pose, no_nan, placeholder_frame, placeholder_pairs
 from gaitloom.session import durable, spread
 from gaitloom.tables import BLOCK, recording_meta
 
-#: Isolation forest: trees, readings drawn per tree, and how much above its recording's usual score a reading must lie.
-TREES, SAMPLE, ABOVE = 16, 64, 0.02
-#: Departures, in units of the recording's usual departure: certain, certain with one side empty, and beside a certain one.
-SPIKE, SPIKE_EDGE, SPIKE_BESIDE = 9.0, 20.0, 5.0
-#: A confidence dropout: so low a drop, and so many times the recording's usual scatter.
-DROP, DROP_SCATTER = 0.5, 8.0
-#: Frozen: so many repeats, and so many times the recording's usual run.
-FROZEN, FROZEN_USUAL = 8, 4.0
+#: Isolation forest: trees, their depth, and the size of the sample to which a recording's readings are scaled. Small
+#: samples keep a frozen stretch of many readings from hiding itself.
+TREES, DEPTH, SAMPLE = 100, 8, 16
+#: A reading is implausible if its score lies above this (the bulk of a recording scores 0.5).
+ABOVE = 0.565
+#: Blocks that share one copy of their recording's flagged codes.
+SPAN = 64
 SCHEMA_FLAGS = "recording string, frame int, kp int, field string, reason string, score double"
+BLOCKS = pa.schema([("recording", pa.string()), ("block", pa.int32()), ("codes", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())), ("frames", pa.list_(pa.int32())), ("cells", pa.list_(pa.int32())), ("odd", pa.list_(pa.int32()))])
+
+
+def _at(frame, shift: int = 0):
+    return F.floor((frame + F.lit(shift + BLOCK // 2)) / BLOCK).cast("int")
+
 
+def _blocks(frames: DataFrame, counts: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """Compact rows hashed by (recording, block), each block with its header and margins, sorted for the kernel.
 
-def _blocks(frames: DataFrame, k: int) -> DataFrame:
-    """Compact rows hashed by (recording, block), each block with its margins, sorted for the kernels."""
+    A header has no frame and, in place of the pose, width, height, px, py and frames a second.
+    """
     pose = F.array(*[no_nan(c).cast("float") for i in range(k) for c in flat_pose(i)])
     conf = F.array(*[no_nan(F.get("conf", F.lit(i))).cast("float") for i in range(k)])
-    at = lambda d: F.floor((F.col("frame") + F.lit(d + BLOCK // 2)) / BLOCK).cast("int")
+    frame = F.col("frame")
     rows = frames.where("recording is not null and frame is not null").select(
         "recording", "frame", pose.alias("pose"), conf.alias("conf"), F.coalesce(F.unix_micros(F.col("loaded_at").cast("timestamp")), F.lit(-(2**62))).alias("loaded"),
-        F.explode(F.array_distinct(F.array(at(0), at(K.MARGIN), at(-K.MARGIN)))).alias("block"),
+        F.explode(F.array_distinct(F.array(_at(frame), _at(frame, K.MARGIN), _at(frame, -K.MARGIN)))).alias("block"),
+    )
+    places = counts.select("recording", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block")).distinct()  # a block of the census lies in two of these
+    heads = places.join(known, "recording").select(
+        "recording", F.lit(None).cast("int").alias("frame"), F.array(*[F.col(c).cast("float") for c in ("width", "height", "px", "py", "fps")]).alias("pose"),
+        F.lit(None).cast("array<float>").alias("conf"), F.lit(-(2**62)).cast("bigint").alias("loaded"), "block",
     )
-    return rows.repartition("recording", "block").sortWithinPartitions("recording", "block", "frame", "loaded")
+    return rows.unionByName(heads).repartition("recording", "block").sortWithinPartitions("recording", "block", "frame", "loaded")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table, np.ndarray], pa.RecordBatch | None], least: int = 10_000) -> Iterator[pa.RecordBatch]:
@@ -78,187 +92,115 @@ def _grouped(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table, np.nda
             yield out
 
 
-def _arrays(t: pa.Table, g: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """Rows in force: (kept row numbers, group, frame, pose, conf); the last version of a frame wins."""
+def _floats(t: pa.Table, name: str, width: int) -> np.ndarray:
+    v = t.column(name).combine_chunks()
+    v = pa.chunked_array([v]) if isinstance(v, pa.Array) else v
+    return v.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, width)
+
+
+def _in_force(t: pa.Table, g: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Rows in force: (group, frame, pose, conf); the last version of a frame wins."""
     frame = t.column("frame").to_numpy().astype(np.int64)
     order = np.arange(len(frame))
     if (np.diff(frame) < 0)[g[1:] == g[:-1]].any():
         order = np.lexsort((t.column("loaded").to_numpy(), frame, g))
         frame, g = frame[order], g[order]
     keep = np.r_[(frame[1:] != frame[:-1]) | (g[1:] != g[:-1]), True]
-    flat = lambda name, w: t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, w)[order][keep]
-    return order[keep], g[keep], frame[keep], flat("pose", 2 * k).reshape(-1, k, 2), flat("conf", k)
+    return g[keep], frame[keep], _floats(t, "pose", 2 * k)[order][keep].reshape(-1, k, 2), _floats(t, "conf", k)[order][keep]
 
 
-def _own(frame: np.ndarray, block: np.ndarray) -> np.ndarray:
-    return (frame + BLOCK // 2) // BLOCK == block
+def _reduce(k: int) -> Callable:
+    """Per (recording, block): counts of codes, and frame, cell and code of the readings that are not ordinary.
 
-
-def _void(pose: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.ndarray:
-    """Cells without position, or with the pair (px, py) written instead of one."""
-    return np.isnan(pose).any(2) | ((pose[..., 0] == px[:, None]) & (pose[..., 1] == py[:, None]))
-
-
-def _profile(k: int, pairs: list[tuple[float, float]]) -> Callable:
-    """Pass 1: per (recording, block) the usual departures, the first frame and the counts of codes."""
-
-    def work(t: pa.Table, g: np.ndarray) -> pa.RecordBatch:
-        rows, g, frame, pose, conf = _arrays(t, g, k)
-        for x, y in pairs:
-            pose[((pose == (x, y)).all(2))] = np.nan
-        pose[np.isnan(pose).any(2)] = np.nan
-        conf[(conf < 0) | (conf > 1)] = np.nan
-        f = K.features(g, frame, pose, conf)
-        pc, cc = K.codes(f)
-        block = t.column("block").to_numpy()[rows]
-        own = _own(frame, block)
-        out = {n: [] for n in ("recording", "block", "first", "n", "pose_usual", "conf_usual", "codes", "counts")}
-        start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-        rec = t.column("recording").take(pa.array(rows[start])).to_pylist()
-        for i, (a, b) in enumerate(zip(start, np.r_[start[1:], len(g)])):
-            o = own[a:b]
-            if not o.any():
-                continue
-            pl, cl = f["plevel"][a:b][o], f["clevel"][a:b][o]
-            pl, cl = pl[np.isfinite(pl)], cl[np.isfinite(cl)]
-            seen = np.concatenate([pc[a:b][o][~np.isnan(pose[a:b][o]).any(2)], cc[a:b][o][~np.isnan(conf[a:b][o])]])
-            u, n = np.unique(seen, return_counts=True)
-            for name, v in zip(out, (rec[i], int(block[a]), int(frame[a]), int(o.sum()), float(np.median(pl)) if len(pl) else None, float(np.median(cl)) if len(cl) else None, u.tolist(), n.tolist())):
-                out[name].append(v)
-        return pa.RecordBatch.from_pydict(out, pa.schema([("recording", pa.string()), ("block", pa.int32()), ("first", pa.int32()), ("n", pa.int64()), ("pose_usual", pa.float64()), ("conf_usual", pa.float64()), ("codes", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))]))
-
-    return lambda batches: _grouped(batches, work)
-
-
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per recording: codes whose isolation score lies above the usual, their scores, and usual run lengths."""
-    for b in batches:
-        names, hist = b.column("recording").to_pylist(), b.column("hist")
-        out = {n: [] for n in ("recording", "apart", "scores", "pose_run", "conf_run")}
-        off, flat = hist.offsets.to_numpy(), hist.values
-        code_all, n_all = flat.field("code").to_numpy(), flat.field("n").to_numpy()
-        for i, name in enumerate(names):
-            code, n = code_all[off[i] : off[i + 1]], n_all[off[i] : off[i + 1]]
-            apart, scores, runs = [], [], []
-            for field in (0, 1):
-                m = (code >= K.CODES) == bool(field)
-                c, w = code[m], n[m]
-                if not len(c):
-                    runs.append(1.0)
-                    continue
-                order = np.argsort(c)
-                c, w = c[order], w[order]
-                s = K.isolation_scores(c, w, TREES, SAMPLE, 7)
-                by = np.argsort(s)
-                usual = s[by][np.searchsorted(np.cumsum(w[by]), w.sum() / 2)]
-                over = s > usual + ABOVE
-                apart += c[over].tolist()
-                scores += s[over].tolist()
-                run = K.decode(c)[:, 2 + 1]
-                by = np.argsort(run)
-                runs.append(float(2 ** run[by][np.searchsorted(np.cumsum(w[by]), 0.5 * w.sum())] - 1))
-            for key, v in zip(out, (name, apart, scores, *runs)):
-                out[key].append(v)
-        yield pa.RecordBatch.from_pydict(out, pa.schema([("recording", pa.string()), ("apart", pa.list_(pa.int32())), ("scores", pa.list_(pa.float64())), ("pose_run", pa.float64()), ("conf_run", pa.float64())]))
-
-
-def _beside(m: np.ndarray, g: np.ndarray, certain: np.ndarray) -> np.ndarray:
-    """Cells within two rows of a certain one of the same cell and group."""
-    near = np.zeros_like(certain)
-    for d in (1, 2):
-        same = (g[d:] == g[:-d])[:, None]
-        near[d:] |= certain[:-d] & same
-        near[:-d] |= certain[d:] & same
-    return near & (m >= SPIKE_BESIDE)
-
-
-def _judge(k: int) -> Callable:
-    """Pass 2: the flagged cells of each block."""
+    cell: keypoint for a position, k + keypoint for a confidence; code -1: outside physical limits.
+    """
 
     def work(t: pa.Table, g: np.ndarray) -> pa.RecordBatch | None:
-        side = {n: t.column(n).to_numpy() for n in ("width", "height", "px", "py", "pose_usual", "conf_usual", "pose_run", "conf_run")}
-        start_all = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-        apart = t.column("apart").combine_chunks()
-        has = np.flatnonzero(apart.is_valid().to_numpy(zero_copy_only=False))
-        lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        scores = t.column("scores").combine_chunks()
-        for i in has:
-            if int(g[i]) not in lists:
-                lists[int(g[i])] = (apart[int(i)].values.to_numpy(), scores[int(i)].values.to_numpy())
-        rows, g, frame, pose, conf = _arrays(t, g, k)
-        per = {n: v[rows] for n, v in side.items()}
-        void = _void(pose, per["px"], per["py"])
-        w, h = np.nan_to_num(per["width"], nan=np.inf)[:, None], np.nan_to_num(per["height"], nan=np.inf)[:, None]
+        head = t.column("frame").is_null().to_numpy()
+        side = np.full((int(g[-1]) + 1, 5), np.nan, np.float32)
+        side[g[head]] = _floats(t.filter(pa.array(head)), "pose", 5)
+        first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        names, blocks = t.column("recording").take(pa.array(first)).to_pylist(), t.column("block").to_numpy()[first]
+        if head.all():
+            return None
+        g, frame, pose, conf = _in_force(t.filter(pa.array(~head)), g[~head], k)
+        width, height, px, py, fps = (side[g, i] for i in range(5))
+        void = np.isnan(pose).any(2) | ((pose[..., 0] == px[:, None]) & (pose[..., 1] == py[:, None]))
+        w, h = np.nan_to_num(width, nan=np.inf)[:, None], np.nan_to_num(height, nan=np.inf)[:, None]
         out_pose = ~void & ((pose < 0).any(2) | (pose[..., 0] > w) | (pose[..., 1] > h))
-        out_conf = ~np.isnan(conf) & ((conf < 0) | (conf > 1))
+        out_conf = (conf < 0) | (conf > 1)
         pose[void | out_pose] = np.nan
-        conf = np.where(out_conf, np.float32(np.nan), conf)
-        f = K.features(g, frame, pose, conf)
-        pc, cc = K.codes(f)
-        score = {"pose": np.zeros(pc.shape), "conf": np.zeros(cc.shape)}
+        conf[out_conf] = np.nan
+        lag = np.clip(np.rint(K.PERIOD * np.where(fps > 0, fps, K.FPS)), 1, K.MARGIN).astype(np.int64)
+        code = np.concatenate(K.codes(K.features(g, frame, pose, conf, lag)), 1)
+        there = ~np.isnan(np.concatenate([pose[..., 0], conf], 1))
+        limit = np.concatenate([out_pose, out_conf], 1)
+        own = ((frame + BLOCK // 2) // BLOCK == blocks[g])[:, None]
+        out = {n: [] for n in BLOCKS.names}
         start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
         for a, b in zip(start, np.r_[start[1:], len(g)]):
-            codes, sc = lists.get(int(g[a]), (np.zeros(0, np.int32), np.zeros(0)))
-            if len(codes):
-                for field, c in (("pose", pc[a:b]), ("conf", cc[a:b])):
-                    j = np.minimum(np.searchsorted(codes, c), len(codes) - 1)
-                    score[field][a:b] = np.where(codes[j] == c, sc[j], 0.0)
-        # exact checks of what the forest sets apart
-        unit = np.maximum(np.nan_to_num(per["pose_usual"], nan=np.inf), 1e-3)[:, None]
-        frozen = (f["prun"] >= np.maximum(FROZEN, FROZEN_USUAL * per["pose_run"])[:, None]) & (score["pose"] > 0)
-        fix_pose = frozen & ~f["pfirst"]
-        m = np.zeros(pc.shape, np.float32)
-        with np.errstate(invalid="ignore"):
-            r, c = np.nonzero((f["plevel"] > SPIKE_BESIDE * unit) & (score["pose"] > 0) & ~frozen)
-        least, edge = K.departures(f, g, frame, pose, r, c)
-        m[r, c] = np.where(np.isfinite(least), least, 0) / unit[r, 0]
-        need = np.zeros(pc.shape, np.float32) + SPIKE
-        need[r[edge], c[edge]] = SPIKE_EDGE
-        certain = m >= need
-        spike_pose = certain | _beside(m, g, m >= np.maximum(need, 12.0))
-        cunit = np.maximum(np.nan_to_num(per["conf_usual"], nan=np.inf), 0.005)[:, None]
-        with np.errstate(invalid="ignore"):
-            drop_conf = (f["cdown"] >= np.maximum(DROP, DROP_SCATTER * cunit)) & (score["conf"] > 0)
-        fix_conf = (f["crun"] >= np.maximum(FROZEN, FROZEN_USUAL * per["conf_run"])[:, None]) & ~f["cfirst"] & (conf < 1) & (conf > 0) & (score["conf"] > 0)
-        own = _own(frame, t.column("block").to_numpy()[rows])[:, None]
-        parts = []
-        for field, reason, hit in (("pose", "limit", out_pose), ("conf", "limit", out_conf), ("pose", "frozen", fix_pose), ("pose", "spike", spike_pose & ~fix_pose), ("conf", "frozen", fix_conf), ("conf", "spike", drop_conf & ~fix_conf)):
-            r, c = np.nonzero(hit & own)
-            s = np.ones(len(r)) if reason == "limit" else score[field][r, c]
-            parts.append((rows[r], frame[r], c, np.full(len(r), field), np.full(len(r), reason), s))
-        rr, ff, cc_, fl, re_, sc_ = (np.concatenate(x) for x in zip(*parts))
-        if not len(rr):
-            return None
-        return pa.RecordBatch.from_arrays([t.column("recording").take(pa.array(rr)).combine_chunks(), pa.array(ff.astype(np.int32)), pa.array(cc_.astype(np.int32)), pa.array(fl.astype(object), pa.string()), pa.array(re_.astype(object), pa.string()), pa.array(sc_)], names=["recording", "frame", "kp", "field", "reason", "score"])
+            seen, c = there[a:b] & own[a:b], code[a:b]
+            u, n = np.unique(c[seen], return_counts=True)
+            lim = limit[a:b] & own[a:b]
+            r, cell = np.nonzero(lim | (seen & (c % K.CODES > 0)))
+            if len(u) or len(r):
+                for name, v in zip(out, (names[g[a]], int(blocks[g[a]]), u, n, frame[a:b][r].astype(np.int32), cell.astype(np.int32), np.where(lim[r, cell], -1, c[r, cell]).astype(np.int32))):
+                    out[name].append(v)
+        return pa.RecordBatch.from_pydict(out, BLOCKS)
 
     return lambda batches: _grouped(batches, work)
 
 
-def implausible_readings(frames: DataFrame, index: DataFrame, rigs: DataFrame, keypoints: int) -> DataFrame:
+def _forest(above: float) -> Callable:
+    """Per recording: the codes whose isolation score lies above ``above``, and their scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hist = b.column("hist")
+            off = hist.offsets.to_numpy()
+            code, n = (hist.values.field(c).to_numpy()[off[0] : off[-1]] for c in ("code", "n"))
+            row = np.repeat(np.arange(b.num_rows), np.diff(off))
+            distinct, inv = np.unique(code, return_inverse=True)
+            leaf = K.leaves(distinct, TREES, DEPTH, 7)
+            score = np.zeros(len(code))
+            for rows in np.array_split(np.arange(b.num_rows), max(1, len(code) // 4000)):  # bounds the memory of a step
+                m = slice(*np.searchsorted(row, [rows[0], rows[-1] + 1])) if len(rows) else slice(0, 0)
+                if m.start < m.stop:
+                    score[m] = K.isolation_scores(row[m] * 2 + (code[m] >= K.CODES), leaf[inv[m]], n[m], DEPTH, SAMPLE)
+            hit = (score > above) & (code % K.CODES > 0)
+            ends = np.searchsorted(row[hit], np.arange(b.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("recording"), pa.ListArray.from_arrays(pa.array(ends), pa.array(code[hit].astype(np.int32))), pa.ListArray.from_arrays(pa.array(ends), pa.array(score[hit]))], names=["recording", "apart", "scores"])
+
+    return run
+
+
+def implausible_readings(frames: DataFrame, index: DataFrame, rigs: DataFrame, keypoints: int, above: float = ABOVE) -> DataFrame:
     """(recording, frame, kp, field, reason, score) of every reading that cannot be genuine.
 
-    reason: 'limit' (outside the rig's area, or a confidence outside 0 to 1), 'spike' (departs from
-    its course for a few frames and returns), 'frozen' (repeats a value far longer than its
-    recording does; the first reading of the stretch is not flagged). score: the isolation score,
-    1 for a limit. Missing cells are never flagged. Nulls: a null pose, conf, cell or coordinate is
-    missing; rows without recording or frame are left out; a recording without known rig has no
-    area. Repeated and corrected rows: the latest ``loaded_at`` counts. An empty table gives no rows.
+    reason: 'limit' (outside the rig's area, or a confidence outside 0 to 1), 'frozen' (set apart, with
+    a value repeated far longer than usual; the first reading of the stretch is genuine), 'spike' (set
+    apart otherwise: departs from its course for a few frames and returns, alone or with the whole
+    animal). score: the isolation score, above ``above``; 1 for a limit. Missing cells are never
+    flagged. Nulls: a null pose, conf, cell or coordinate is missing; rows without recording or
+    frame are left out; a recording without known rig has no area and counts as 30 frames a second.
+    Repeated and corrected rows: the latest ``loaded_at`` counts. An empty table gives no rows.
     Extra columns of any input are ignored.
     """
-    meta = recording_meta(frames, index, rigs)
-    pairs = placeholder_pairs(frames, meta)
-    base = _blocks(frames, keypoints)
-    blocks = durable(base.mapInArrow(_profile(keypoints, sorted({(x, y) for _, x, y in pairs})), "recording string, block int, first int, n bigint, pose_usual double, conf_usual double, codes array<int>, counts array<bigint>"))
-    counts = blocks.select("recording", F.explode(F.arrays_zip("codes", "counts")).alias("z")).groupBy("recording", F.col("z.codes").alias("code")).agg(F.sum("z.counts").alias("n"))
-    hist = spread(counts, "recording").groupBy("recording").agg(F.collect_list(F.struct("code", "n")).alias("hist"))  # at most 2 * CODES entries
-    forest = hist.mapInArrow(_forest, "recording string, apart array<int>, scores array<double>, pose_run double, conf_run double")
-    usual = blocks.groupBy("recording").agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum(F.when(F.col(c).isNotNull(), F.col("n")))).alias(c) for c in ("pose_usual", "conf_usual")])
-    known = placeholder_frame(meta, pairs).select("recording", "width", "height", "px", "py")
-    per_recording = usual.join(forest, "recording", "left").join(known, "recording", "left")
-    per_block = blocks.select("recording", "block", "first").join(per_recording, "recording").withColumnRenamed("recording", "_r").withColumnRenamed("block", "_b")
-    once = ((F.col("frame") <= F.col("first")) & (F.col("frame") >= F.col("first")))  # the lists travel with one row of the block
-    joined = base.join(per_block, (F.col("recording") == F.col("_r")) & (F.col("block") == F.col("_b")), "left").select(
-        "recording", "block", "frame", "loaded", "pose", "conf", *[F.col(c).cast("double").alias(c) for c in ("width", "height", "px", "py", "pose_usual", "conf_usual", "pose_run", "conf_run")],
-        F.when(once, F.array_sort("apart")).alias("apart"), F.when(once, F.transform(F.array_sort(F.arrays_zip("apart", "scores")), lambda z: z["scores"])).alias("scores"),
+    counts = census(frames)
+    meta = recording_meta(counts, index, rigs)
+    known = placeholder_frame(meta, placeholder_pairs(counts, meta)).select("recording", "width", "height", "px", "py", "fps")
+    blocks = durable(_blocks(frames, counts, known, keypoints).mapInArrow(_reduce(keypoints), "recording string, block int, codes array<int>, counts array<bigint>, frames array<int>, cells array<int>, odd array<int>"))
+    totals = blocks.select("recording", F.explode(F.arrays_zip("codes", "counts")).alias("z")).groupBy("recording", F.col("z.codes").alias("code")).agg(F.sum("z.counts").alias("n"))
+    hist = spread(totals, "recording").groupBy("recording").agg(F.sort_array(F.collect_list(F.struct("code", "n"))).alias("hist"))  # at most 2 * CODES entries
+    forest = hist.mapInArrow(_forest(above), "recording string, apart array<int>, scores array<double>")
+    span = F.floor(F.col("block") / SPAN).alias("span")
+    spans = blocks.select("recording", span).distinct().join(forest, "recording")
+    odd = blocks.where(F.size("odd") > 0).select("recording", span, "frames", "cells", "odd")
+    cells = odd.join(spans, ["recording", "span"], "left").select("recording", F.map_from_arrays("apart", "scores").alias("scores"), F.explode(F.arrays_zip("frames", "cells", "odd")).alias("z"))
+    score = F.when(F.col("z.odd") < 0, 1.0).otherwise(F.try_element_at("scores", F.col("z.odd")))
+    pose = F.col("z.cells") < keypoints
+    return cells.select("recording", "z", score.alias("score")).where("score is not null").select(
+        "recording", F.col("z.frames").alias("frame"), F.when(pose, F.col("z.cells")).otherwise(F.col("z.cells") - keypoints).alias("kp"),
+        F.when(pose, "pose").otherwise("conf").alias("field"),
+        F.when(F.col("z.odd") < 0, "limit").when(F.col("z.odd") % K.PLACES > 0, "frozen").otherwise("spike").alias("reason"), "score",
     )
-    return joined.sortWithinPartitions("recording", "block", "frame", "loaded").mapInArrow(_judge(keypoints), SCHEMA_FLAGS)

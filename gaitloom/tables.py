@@ -71,7 +71,7 @@ def recording_index(index: DataFrame) -> DataFrame:
 
 
 def recording_meta(recordings: DataFrame, index: DataFrame, rigs: DataFrame) -> DataFrame:
-    """One row per recording of ``recordings`` with group, rig, rig area and recording day.
+    """One row per recording of ``recordings`` with group, rig, rig area, frames a second and recording day.
 
     A recording that is not listed, or listed without rig, gets the rig whose name its own name
     contains (names carry the rig), else none. ``rigs`` is the fixed table of rigs.
@@ -83,7 +83,7 @@ def recording_meta(recordings: DataFrame, index: DataFrame, rigs: DataFrame) ->
     names = [r[0] for r in rigs.select("rig").where("rig is not null").distinct().sort("rig").collect()]
     guess = F.coalesce(*[F.when(F.col("_key").contains(n.lower()), F.lit(n)) for n in names]) if names else F.lit(None)
     meta = meta.withColumn("rig", F.coalesce("_rig", guess).cast("string"))
-    area = rigs.where("rig is not null").groupBy("rig").agg(F.max("width").alias("width"), F.max("height").alias("height"))
+    area = rigs.where("rig is not null").groupBy("rig").agg(F.max("width").alias("width"), F.max("height").alias("height"), F.max("fps").alias("fps"))
     return meta.join(area, "rig", "left").select(
-        "recording", "group_name", "rig", "width", "height", F.to_date("recorded_at").alias("day")
+        "recording", "group_name", "rig", "width", "height", "fps", F.to_date("recorded_at").alias("day")
     )
