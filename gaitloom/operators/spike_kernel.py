@@ -22,9 +22,9 @@ MARGIN = 128
 HOLE = 4
 #: Steps no larger than this share of the block's usual step repeat the value.
 STILL = 0.05
-#: Each feature is placed between what is still ordinary and what leaves no doubt, in units of its usual size in the block.
-RAMPS = {"level": (7.0, 18.0), "whole": (9.0, 20.0), "diff": (8.0, 20.0), "season": (12.0, 36.0), "run": (5.5, 12.0)}
-CONF_RAMPS = {"level": (7.0, 16.0), "diff": (7.0, 14.0), "season": (20.0, 30.0), "run": (5.5, 12.0)}
+#: Each feature is placed between what half of all readings reach or so and what leaves no doubt, in units of its usual size in the block.
+RAMPS = {"level": (2.5, 18.0), "whole": (2.5, 20.0), "diff": (3.5, 20.0), "season": (4.0, 36.0), "run": (2.0, 12.0)}
+CONF_RAMPS = {"level": (2.0, 16.0), "diff": (2.5, 14.0), "season": (8.0, 30.0), "run": (2.0, 12.0)}
 #: Places on a feature's scale; 0 is ordinary.
 PLACES = 9
 NAMES = ("level", "whole", "diff", "season", "run")
@@ -185,7 +185,7 @@ def features(gid: np.ndarray, frame: np.ndarray, pose: np.ndarray, conf: np.ndar
     level: departure of a position, in the image and relative to the body, from the readings before,
     after and on both sides, the least counting; of a confidence likewise. whole: the same of the
     whole animal in the image, where the cell shares in it. diff: difference to the nearest readings
-    on both sides. season: the same at the seasonal lag. run: how many readings in a row repeat the
+    on both sides, in the image and relative to the body. season: the same at the seasonal lag. run: how many readings in a row repeat the
     value, 1 for the first of them and for confidences at the ends of their scale.
     """
     n, k = conf.shape
@@ -207,9 +207,14 @@ def features(gid: np.ndarray, frame: np.ndarray, pose: np.ndarray, conf: np.ndar
         centre = _middle([live[:, i] for i in range(k)])
         centre = np.where(np.isnan(centre), _middle([pose[:, i] for i in range(k)]), centre)
         rel, body = (pose - centre[:, None]).reshape(n, -1), (live - centre[:, None]).reshape(n, -1)
-        level = _length((rel - _middle(_neighbours(body, near))).reshape(n, k, 2))
+        off = (rel - _middle(_neighbours(body, near))).reshape(n, k, 2)
+        # a centre moves when a cell departs or is missing; what most cells of a frame share is taken out
+        shift = np.where((~np.isnan(off[..., 0])).sum(1)[:, None] > 2, np.nan_to_num(_middle([off[:, i] for i in range(k)])), 0).astype(np.float32)
+        centre = centre + shift
+        rel = (pose - centre[:, None]).reshape(n, -1)
+        level = _length(off - shift[:, None])
         unit = np.maximum(usual(gid, level, 0.5), 1e-6)
-        r, c = np.nonzero(level > 0.6 * RAMPS["level"][0] * unit)
+        r, c = np.nonzero(level > RAMPS["level"][0] * unit)
         jj, ok = _around(gid, frame, r)
         image = live[jj, c[:, None]]
         image[~ok] = np.nan
@@ -221,7 +226,7 @@ def features(gid: np.ndarray, frame: np.ndarray, pose: np.ndarray, conf: np.ndar
         moved = _length(centre - _middle(_neighbours(centre, near)))[:, None]
         wunit = np.maximum(usual(gid, _length(centre - _neighbours(centre, before)[0])[:, None], 0.5), unit)
         whole = np.zeros((n, k), np.float32)
-        r = np.flatnonzero(moved[:, 0] > 0.6 * RAMPS["whole"][0] * wunit[:, 0])
+        r = np.flatnonzero(moved[:, 0] > 0.8 * RAMPS["whole"][0] * wunit[:, 0])
         jj, ok = _around(gid, frame, r)
         if len(r):
             cells = []
@@ -233,13 +238,13 @@ def features(gid: np.ndarray, frame: np.ndarray, pose: np.ndarray, conf: np.ndar
                 cells.append(np.where(np.isnan(pose[r, i]).any(1), np.nan, d).astype(np.float32))
             whole[r] = np.fmin(np.stack(cells, 1), _middle(cells)[:, None])
 
-        diff = _two_sided(rel, gid, frame).reshape(n, k, 2).max(-1)
-        season = _seasonal(rel, gid, frame, lag).reshape(n, k, 2).max(-1)
+        flat = pose.reshape(n, -1)  # a difference counts if it is there in the image too
+        diff, season = (np.minimum(*(f(v).reshape(n, k, 2).max(-1) for v in (rel, flat))) for f in (lambda v: _two_sided(v, gid, frame), lambda v: _seasonal(v, gid, frame, lag)))
         p = {"level": level / unit, "whole": whole / wunit, "diff": diff / np.maximum(usual(gid, diff, 0.5), unit), "season": season / np.maximum(usual(gid, season, 0.5), unit), "run": np.where(pfirst, 1, prun)}
 
         clevel = np.abs(conf - _middle(_neighbours(conf, near)))
         cunit = np.maximum(usual(gid, clevel, 0.9), 1e-6)
-        r, c = np.nonzero(clevel > 0.6 * CONF_RAMPS["level"][0] * cunit)
+        r, c = np.nonzero(clevel > CONF_RAMPS["level"][0] * cunit)
         jj, ok = _around(gid, frame, r)
         image = conf[jj, c[:, None]]
         image[~ok] = np.nan
@@ -251,10 +256,13 @@ def features(gid: np.ndarray, frame: np.ndarray, pose: np.ndarray, conf: np.ndar
 
 
 def _place(v: np.ndarray, low: float, high: float) -> np.ndarray:
-    """Place of a feature between ordinary (0) and beyond doubt (PLACES - 1), on a logarithmic scale."""
+    """Place of a feature between ordinary (0) and beyond doubt (PLACES - 1): the squared share of the way, on a logarithmic scale.
+
+    The square leaves the tail of ordinary readings little of the extent that the trees cut at random.
+    """
     with np.errstate(invalid="ignore", divide="ignore"):
         x = np.log(np.nan_to_num(v, nan=0.0, posinf=1e30) / low) / np.log(high / low)
-    return np.clip(np.ceil(x * (PLACES - 1)), 0, PLACES - 1).astype(np.int32)
+    return np.clip(np.ceil(np.maximum(x, 0) ** 2 * (PLACES - 1)), 0, PLACES - 1).astype(np.int32)
 
 
 def encode(f: dict[str, np.ndarray], ramps: dict[str, tuple[float, float]]) -> np.ndarray:

@@ -25,11 +25,11 @@ from gaitloom.operators.missing import census, flat_pose, no_nan, placeholder_fr
 from gaitloom.session import durable, spread
 from gaitloom.tables import BLOCK, recording_meta
 
-#: Isolation forest: trees, their depth, and the size of the sample to which a recording's readings are scaled. Small
-#: samples keep a frozen stretch of many readings from hiding itself.
-TREES, DEPTH, SAMPLE = 100, 8, 16
+#: Isolation forest: trees, their depth, and the size of the sample to which a recording's readings are scaled. So small
+#: a sample keeps the many readings of a frozen stretch or of a jump of the whole animal from hiding one another.
+TREES, DEPTH, SAMPLE = 128, 8, 8
 #: A reading is implausible if its score lies above this (the bulk of a recording scores 0.5).
-ABOVE = 0.565
+ABOVE = 0.56
 #: Blocks that share one copy of their recording's flagged codes.
 SPAN = 64
 SCHEMA_FLAGS = "recording string, frame int, kp int, field string, reason string, score double"

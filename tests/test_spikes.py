@@ -2,7 +2,7 @@ import numpy as np
 from fixtures import T0, T1, clash, frames, index, rigs
 
 from gaitloom.operators import spike_kernel as K
-from gaitloom.operators.spikes import implausible_readings
+from gaitloom.operators.spikes import ABOVE, implausible_readings
 
 
 def course(n=400, k=4, seed=0, name="m_floor_a_1", start=0):
@@ -70,9 +70,57 @@ def test_medians_and_runs():
     assert n.ravel().tolist() == [3, 3, 0, 3, 2, 2, 1] and first.ravel().tolist() == [True, False, False, False, True, False, True]
 
 
-def test_isolation_sets_the_odd_apart():
-    usual = K.encode(np.full(1, 0.5), np.full(1, 0.5), np.full(1, 1.0), np.ones(1), 0.5)
-    near = K.encode(np.full(1, 0.9), np.full(1, 0.4), np.full(1, 1.5), np.ones(1), 0.5)
-    odd = K.encode(np.full(1, 90.0), np.full(1, 85.0), np.full(1, 80.0), np.ones(1), 0.5)
-    s = K.isolation_scores(np.r_[usual, near, odd], np.array([500, 400, 3]), 32, 64, 1)
-    assert s[2] > s[0] and s[2] > s[1]
+def test_whole_animal_jumps_and_darts(spark):
+    name, t, pose, conf = course(seed=5)
+    pose[120:122] += (150, -60)  # the tracker is elsewhere for two frames and comes back
+    dart = np.r_[np.linspace(0, 1, 8), np.ones(len(t) - 208)][:, None, None] * np.array([180.0, 40.0])
+    pose[200:] += dart  # a quick movement that stays
+    got = flags(implausible_readings(table(spark, (name, t, pose, conf)), index(spark), rigs(spark), 4))
+    assert {(name, f, k, "pose") for f in (120, 121) for k in range(4)} <= set(got)
+    assert not {f for _, f, _, _ in got} & set(range(195, 215))
+
+
+def test_units_are_the_recordings_own(spark):
+    name, t, pose, conf = course(seed=6)
+    pose[100, 1] += (40, 30)
+    pose[200:240, 2] = pose[200, 2] + np.where(np.arange(40) % 2, 0.01, 0.0)[:, None]  # frozen all but exactly
+    small = pose * 0.1  # the same in another unit
+    for q, n in ((pose, "m_floor_a_7"), (small, "m_floor_a_8")):
+        got = flags(implausible_readings(table(spark, (n, t, q, conf)), index(spark), rigs(spark), 4))
+        assert (n, 100, 1, "pose") in got and {(n, f, 2, "pose") for f in range(201, 240)} <= set(got)
+
+
+def test_the_forest_decides(spark):
+    name, t, pose, conf = course(seed=7)
+    pose[100, 1] += (80, -60)
+    pose[200:230, 2] = pose[200, 2]
+    conf[350, 2] = 1.7
+    pose += np.random.default_rng(1).standard_t(3, pose.shape) * 0.4  # noise with a long tail: far more readings stand out than are implausible
+    df = table(spark, (name, t, pose, conf))
+    at = {a: flags(implausible_readings(df, index(spark), rigs(spark), 4, above=a)) for a in (0.0, ABOVE, 1.0)}
+    assert set(at[1.0]) == {(name, 350, 2, "conf")} < set(at[ABOVE])  # limits need no score
+    assert set(at[ABOVE]) < set(at[0.0]) and len(at[0.0]) > 2 * len(at[ABOVE]) and (name, 100, 1, "pose") in at[ABOVE]
+
+
+def test_isolation_scores_against_trees_walked_one_by_one():
+    """The vectorised scores equal those of trees that are walked node by node over single readings."""
+    rng = np.random.default_rng(2)
+    code = np.unique(np.r_[0, rng.integers(0, K.CODES, 12)])
+    count = np.r_[400, rng.integers(1, 9, len(code) - 1)]
+    trees, depth, sample = 20, 5, 16
+    got = K.isolation_scores(np.zeros(len(code), int), K.leaves(code, trees, depth, 3), count, depth, sample)
+    feat, cut = K._trees(trees, depth, 0, 3)
+    x, total = K.decode(code), count.sum()
+    c = lambda n: float(K._harmonic(np.array(n)))
+    for i in range(len(code)):
+        paths = []
+        for t in range(trees):
+            node, inside, best = 0, np.ones(len(code), bool), c(sample)
+            for d in range(1, depth + 1):
+                right = x[:, feat[t, node]] > cut[t, node]
+                inside &= right == right[i]
+                node = 2 * node + 1 + int(right[i])
+                best = min(best, d + c(count[inside].sum() / total * sample))
+            paths.append(best)
+        assert np.isclose(got[i], 2 ** (-np.mean(paths) / c(sample)))
+    assert got[0] == min(got)
