@@ -4,18 +4,17 @@ Within a recording the donor is the same keypoint's nearest observed reading bef
 frame number. Where a recording never observes the keypoint, the donor is a reading of a comparable
 recording: same rig, nearest recording day. Every filled cell carries its donor's distance.
 
-Plan. Rows take a compact lossless form with the list of their missing cells. Narrow rows (frame and
-list), hashed by (recording, time block), are sorted inside each block; only missing cells are
-exploded, and consecutive ones form stretches whose neighbours are the donors. What lies beyond a
-block's edge comes from one summary row per block and cell (bounded by the 32-bit frame number, see
-``tables.BLOCK``). Values are fetched for donors only, from rows hashed by single frames. Recordings
-without a donor of their own use per-(rig, day) representatives, bounded by the calendar.
+Plan. ``frames`` is read twice: once for the census (recordings, blocks, the pairs written instead of
+positions), once for compact lossless rows, which are hashed once by (recording, time block). Within
+a block, rows sorted by time hand every cell's last observed reading on, forwards and backwards.
+What lies beyond a block's edge comes from the first and last observed readings of its neighbour
+blocks: one summary row per block and cell (bounded by the 32-bit frame number, see
+``tables.BLOCK``), joined back by (recording, block). Recordings without a donor of their own use
+per-(rig, day) representatives, bounded by the calendar.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +24,7 @@ from gaitloom.tables import block_of, recording_meta
 #: Positions are usually written with two decimals, confidences with three: arrays for which that
 #: holds exactly travel as integers, all others as they are.
 POSE_SCALE, CONF_SCALE = 100.0, 1000.0
+READING = "struct<frame:int,x:double,y:double>"
 
 
 def _pack(values: str, scale: float, name: str) -> tuple[Column, Column]:
@@ -33,126 +33,107 @@ def _pack(values: str, scale: float, name: str) -> tuple[Column, Column]:
     return F.when(exact, F.transform(values, lambda v: F.rint(v * scale).cast("int"))).alias(f"{name}_i"), F.when(~exact, F.col(values)).alias(f"{name}_d")
 
 
-def _unpack(name: str, i: Column | int, scale: float) -> Column:
-    i = F.lit(i) if isinstance(i, int) else i
-    return F.coalesce(F.get(f"{name}_i", i) / F.lit(scale), F.get(f"{name}_d", i))
-
+def _unpack(name: str, scale: float) -> Column:
+    return F.coalesce(F.transform(f"{name}_i", lambda v: v / F.lit(scale)), F.col(f"{name}_d")).alias(name)
 
-def _compact(frames: DataFrame, keypoints: int, pairs: list[tuple[float, float]]) -> DataFrame:
-    """Compact rows with their block, not yet hashed: values, cells without value, cells that hold a placeholder pair.
 
-    ``void`` lists cells, ``held`` keypoint + keypoints * (number of the pair). The arrays are built by
-    functions over arrays: written out per cell they would exceed what the JVM compiles.
-    """
-    k = F.lit(keypoints)
-    ids = F.sequence(F.lit(0), k - 1)
-    flat = F.transform(ids, lambda i: F.get("pose", i))
-    flat = F.flatten(F.transform(flat, lambda p: F.transform(F.array(F.get(p, F.lit(0)), F.get(p, F.lit(1))), no_nan)))
-    rows = frames.select("recording", "frame", "loaded_at", flat.alias("p"), F.transform(ids, lambda i: no_nan(F.get("conf", i))).alias("c"))
-    void = F.concat(
-        F.when(F.exists("p", lambda v: v.isNull()), F.filter(ids, lambda i: F.get("p", i * 2).isNull() | F.get("p", i * 2 + 1).isNull())).otherwise(F.array().cast("array<int>")),
-        F.when(F.exists("c", lambda v: v.isNull()), F.transform(F.filter(ids, lambda i: F.get("c", i).isNull()), lambda i: i + k)).otherwise(F.array().cast("array<int>")),
-    )
-
-    def holds(j: int, x: float, y: float) -> Column:
-        return F.transform(F.filter(ids, lambda i: (F.get("p", i * 2) == x) & (F.get("p", i * 2 + 1) == y)), lambda i: i + k * j)
-
-    held = [holds(j, x, y) for j, (x, y) in enumerate(pairs)]
+def _compact(frames: DataFrame, keypoints: int) -> DataFrame:
+    """Compact rows hashed by (recording, block). The arrays are built by functions over arrays:
+    written out per cell they would exceed what the JVM compiles."""
+    ids = F.sequence(F.lit(0), F.lit(keypoints - 1))
+    flat = F.flatten(F.transform(F.transform(ids, lambda i: F.get("pose", i)), lambda p: F.transform(F.array(F.get(p, F.lit(0)), F.get(p, F.lit(1))), no_nan)))
+    rows = frames.where("recording is not null and frame is not null").select("recording", "frame", "loaded_at", flat.alias("p"), F.transform(ids, lambda i: no_nan(F.get("conf", i))).alias("c"))
     loaded = F.coalesce(F.unix_micros(F.col("loaded_at").cast("timestamp")), F.lit(-(2**62)))
-    rows = rows.where("recording is not null and frame is not null")
-    return rows.select("recording", "frame", block_of().alias("block"), loaded.alias("loaded"), void.alias("void"), (F.concat(*held) if held else F.array().cast("array<int>")).alias("held"), *_pack("p", POSE_SCALE, "p"), *_pack("c", CONF_SCALE, "c"))
-
-
-def _latest(rows: DataFrame, *columns: str) -> DataFrame:
-    """One row per frame, by (recording, block): of repeated frames the one loaded last."""
-    w = Window.partitionBy("recording", "block").orderBy("frame", "loaded")
-    rows = rows.select("recording", "block", "frame", "loaded", *columns).repartition("recording", "block").withColumn("_next", F.lead("frame").over(w))
-    return rows.where("_next is null or _next <> frame").drop("_next")
-
-
-def _values(rows: DataFrame) -> DataFrame:
-    """Values of the rows in force, hashed by (recording, block, frame) as the joins with single frames want them."""
-    w = Window.partitionBy("recording", "block", "frame").orderBy(F.desc("loaded"))
-    wide = rows.select("recording", "block", "frame", "loaded", "p_i", "p_d", "c_i", "c_d").repartition("recording", "block", "frame")
-    return wide.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank", "loaded")
-
+    return rows.select("recording", "frame", block_of().alias("block"), loaded.alias("loaded"), *_pack("p", POSE_SCALE, "p"), *_pack("c", CONF_SCALE, "c")).repartition("recording", "block")
 
-def _donors(base: DataFrame, known: DataFrame, keypoints: int) -> DataFrame:
-    """Every missing cell with its donor: recording, block, frame, cell, method, distance, donor_recording, donor_frame.
 
-    cell: keypoint for a position, keypoints + keypoint for a confidence.
-    """
-    rows = _latest(base, "void", "held")
-    places = rows.groupBy("recording", "block").agg(F.count(F.lit(1)).alias("_n")).join(known.select("recording", "pair"), "recording", "left")
-    places = places.select(F.col("recording").alias("_r"), F.col("block").alias("_b"), "pair")
-    here = (F.col("recording") == F.col("_r")) & (F.col("block") == F.col("_b"))
-    k = F.lit(keypoints)
-    marked = F.transform(F.filter("held", lambda h: F.floor(h / k) == F.col("pair")), lambda h: h % k)
-    miss = F.when(F.size("held") == 0, F.col("void")).otherwise(F.array_union("void", F.coalesce(marked, F.array().cast("array<int>"))))
-    rows = rows.join(places, here, "left").select("recording", "block", "frame", "loaded", miss.alias("miss"))
+def _readings(frames: DataFrame, counts: DataFrame, known: DataFrame, keypoints: int) -> DataFrame:
+    """Rows in force: recording, block, frame, p, c and one reading per cell (v0, v1, ...), null where it has no usable value."""
+    places = counts.select("recording", "block").distinct().join(known.select("recording", "px", "py"), "recording")
+    places = places.select(F.col("recording").alias("_r"), F.col("block").alias("_b"), "px", "py").hint("shuffle_hash")  # a few bytes for thousands of rows
+    rows = _compact(frames, keypoints).join(places, (F.col("recording") == F.col("_r")) & (F.col("block") == F.col("_b")), "left").drop("_r", "_b")
     w = Window.partitionBy("recording", "block").orderBy("frame", "loaded")
-    rows = rows.select("recording", "block", "frame", "miss", F.lag("frame").over(w).alias("before"), F.lead("frame").over(w).alias("after"))
-
-    gaps = rows.select("recording", "block", "frame", "before", "after", F.explode("miss").alias("cell"))
-    up = Window.partitionBy("recording", "block", "cell").orderBy("frame")
-    down = Window.partitionBy("recording", "block", "cell").orderBy(F.desc("frame"))
-    none = F.lit(-(2**40))  # a stretch that reaches the block's edge
-    gaps = gaps.withColumn("_p", F.when(~F.lag("frame").over(up).eqNullSafe(F.col("before")) | F.col("before").isNull(), F.coalesce(F.col("before").cast("bigint"), none)))
-    gaps = gaps.withColumn("_a", F.when(~F.lead("frame").over(up).eqNullSafe(F.col("after")) | F.col("after").isNull(), F.coalesce(F.col("after").cast("bigint"), none)))
-    gaps = gaps.withColumn("p", F.last("_p", ignorenulls=True).over(up)).withColumn("a", F.last("_a", ignorenulls=True).over(down)).select("recording", "block", "frame", "cell", "p", "a")
-
-    # one row per block and cell, where it is observed first and last: at the block's ends, unless a stretch reaches them
-    own = lambda c: F.when(F.col(c) != none, F.col(c))
-    touch = gaps.where((F.col("p") == none) | (F.col("a") == none)).groupBy("recording", "block", "cell").agg(
-        F.max(F.when(F.col("p") == none, F.struct(own("a").alias("v")))).alias("head"), F.max(F.when(F.col("a") == none, F.struct(own("p").alias("v")))).alias("tail")
-    )
-    spans = rows.groupBy("recording", "block").agg(F.min("frame").alias("f0"), F.max("frame").alias("l0")).select("*", F.explode(F.sequence(F.lit(0), 2 * k - 1)).alias("cell"))
-    ends = spans.join(touch, ["recording", "block", "cell"], "left").select(
-        "recording", "block", "cell", F.when(F.col("head").isNotNull(), F.col("head.v")).otherwise(F.col("f0")).cast("int").alias("f"), F.when(F.col("tail").isNotNull(), F.col("tail.v")).otherwise(F.col("l0")).cast("int").alias("l")
-    )
+    rows = rows.withColumn("_next", F.lead("frame").over(w)).where("_next is null or _next <> frame")
+    rows = rows.select("recording", "block", "frame", "px", "py", _unpack("p", POSE_SCALE), _unpack("c", CONF_SCALE))
+    cells = []
+    for k in range(keypoints):
+        x, y = F.get("p", F.lit(2 * k)), F.get("p", F.lit(2 * k + 1))
+        seen = x.isNotNull() & y.isNotNull() & ~F.coalesce((x == F.col("px")) & (y == F.col("py")), F.lit(False))
+        cells.append(F.when(seen, F.struct("frame", x.alias("x"), y.alias("y"))).cast(READING).alias(f"v{k}"))
+    for k in range(keypoints):
+        x = F.get("c", F.lit(k))
+        cells.append(F.when(x.isNotNull(), F.struct("frame", x.alias("x"), F.lit(None).cast("double").alias("y"))).cast(READING).alias(f"v{keypoints + k}"))
+    return rows.select("recording", "block", "frame", "p", "c", *cells)
+
+
+def _beyond(rows: DataFrame, known: DataFrame, cells: int) -> DataFrame:
+    """Per (recording, block) with something to add: ``carry``, a map from the cell to the last reading of earlier blocks,
+    the first of later ones, and that of another recording."""
+    ends = rows.groupBy("recording", "block").agg(*[f(f"v{i}").alias(f"{n}{i}") for i in range(cells) for n, f in (("f", F.min), ("l", F.max))])
+    ends = ends.select("recording", "block", F.posexplode(F.array(*[F.struct(F.col(f"f{i}").alias("f"), F.col(f"l{i}").alias("l")) for i in range(cells)])).alias("cell", "e")).select("recording", "block", "cell", "e.f", "e.l")
     back = Window.partitionBy("recording", "cell").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy("recording", "cell").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("recording", "cell")
-    ends = ends.select("*", F.last("l", ignorenulls=True).over(back).alias("bl"), F.last("f", ignorenulls=True).over(ahead).alias("af"), F.max("l").over(whole).alias("top"))
-    other = _comparable(ends.where("top is not null").groupBy("recording", "cell").agg(F.max("top").alias("frame")), ends.where("top is null").select("recording", "cell").distinct(), known)
-    # only blocks with something to add: a neighbour block that observes the cell, or no observation at all
-    carry = ends.where("bl is not null or af is not null or top is null").join(other, ["recording", "cell"], "left")
-    carry = carry.select(F.col("recording").alias("_r"), F.col("block").alias("_b"), F.col("cell").alias("_c"), "bl", "af", "donor_recording", "donor_frame", "days")
-
-    full = gaps.join(carry, here & (F.col("cell") == F.col("_c")), "left")
-    p, a = F.when(F.col("p") == none, F.col("bl")).otherwise(F.col("p")), F.when(F.col("a") == none, F.col("af")).otherwise(F.col("a"))
-    full = full.select("recording", "block", "frame", "cell", p.cast("int").alias("p"), a.cast("int").alias("a"), "donor_recording", "donor_frame", "days")
-    near = F.when(F.col("p").isNull() | (F.col("a") - F.col("frame") < F.col("frame") - F.col("p")), F.col("a")).otherwise(F.col("p"))
-    full = full.withColumn("near", near)
-    timed = F.col("near").isNotNull()
-    return full.select(
-        "recording", "block", "frame", "cell",
-        F.when(timed, "time").when(F.col("donor_frame").isNotNull(), "day").otherwise("none").alias("method"),
-        F.when(timed, F.abs(F.col("frame") - F.col("near"))).otherwise(F.col("days")).cast("int").alias("distance"),
-        F.when(timed, F.col("recording")).otherwise(F.col("donor_recording")).alias("donor_recording"),
-        F.coalesce("near", "donor_frame").alias("donor_frame"),
-    )
+    ends = ends.select("*", F.last("l", ignorenulls=True).over(back).alias("b"), F.last("f", ignorenulls=True).over(ahead).alias("a"), F.max("l").over(Window.partitionBy("recording", "cell")).alias("top"))
+    whole = ends.groupBy("recording", "cell").agg(F.max("top").alias("top"))
+    other = _comparable(whole, known)
+    add = ends.where("b is not null or a is not null or top is null").join(other, ["recording", "cell"], "left")
+    entry = F.struct("cell", F.struct("b", "a", "o").alias("e"))
+    return add.groupBy(F.col("recording").alias("_r"), F.col("block").alias("_b")).agg(F.map_from_entries(F.collect_list(entry)).alias("carry")).hint("shuffle_hash")
 
 
-def _comparable(have: DataFrame, lack: DataFrame, known: DataFrame) -> DataFrame:
-    """Donor of another recording for each (recording, cell) that has none: donor_recording, donor_frame, days.
+def _comparable(whole: DataFrame, known: DataFrame) -> DataFrame:
+    """Donor of another recording for each (recording, cell) without reading: o, struct of recording, reading and days.
 
     Of each (rig, day) the recording with the least name stands for the day; the nearest day gives
     the donor, the earlier at equal distance. Unknown rigs and days form their own.
     """
     place = known.select("recording", F.coalesce("rig", F.lit("")).alias("rig"), "day")
-    days = have.join(place, "recording").select("rig", "cell", "day", F.struct("recording", "frame").alias("d"))
-    wanted = lack.join(place, "recording")
-    asked = wanted.select("rig", "cell", "day", F.lit(None).cast("struct<recording:string,frame:int>").alias("d"))
-    both = days.unionByName(asked).groupBy("rig", "cell", "day").agg(F.min("d").alias("d"))
+    placed = whole.join(place, "recording")
+    both = placed.groupBy("rig", "cell", "day").agg(F.min(F.when(F.col("top").isNotNull(), F.struct("recording", "top"))).alias("d"))
     dated = F.when(F.col("d").isNotNull(), F.struct("day", "d"))
     back = Window.partitionBy("rig", "cell").orderBy(F.col("day").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy("rig", "cell").orderBy(F.col("day").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     both = both.select("rig", "cell", "day", F.last(dated, ignorenulls=True).over(back).alias("b"), F.last(dated, ignorenulls=True).over(ahead).alias("a"))
     db, da, far = F.abs(F.datediff("day", "b.day")), F.abs(F.datediff("a.day", "day")), F.lit(2**30)
     later = F.col("b").isNull() | (F.coalesce(da, far) < F.coalesce(db, far))
-    both = both.select(F.col("rig").alias("_rig"), F.col("cell").alias("_cell"), F.col("day").alias("_day"), F.when(later, F.col("a.d")).otherwise(F.col("b.d")).alias("d"), F.when(later, da).otherwise(db).alias("days"))
-    return wanted.join(both, (F.col("rig") == F.col("_rig")) & (F.col("cell") == F.col("_cell")) & F.col("day").eqNullSafe(F.col("_day")), "left").select("recording", "cell", F.col("d.recording").alias("donor_recording"), F.col("d.frame").alias("donor_frame"), "days")
+    d = F.when(later, F.col("a.d")).otherwise(F.col("b.d"))
+    o = F.when(d.isNotNull(), F.struct(d["recording"].alias("recording"), d["top"].alias("v"), F.when(later, da).otherwise(db).alias("days")))
+    both = both.select(F.col("rig").alias("_rig"), F.col("cell").alias("_cell"), F.col("day").alias("_day"), o.alias("o"))
+    lack = placed.where("top is null")
+    return lack.join(both, (F.col("rig") == F.col("_rig")) & (F.col("cell") == F.col("_cell")) & F.col("day").eqNullSafe(F.col("_day")), "left").select("recording", "cell", "o")
+
+
+def _filled(frames: DataFrame, index: DataFrame, rigs: DataFrame, keypoints: int) -> DataFrame:
+    """Rows in force: recording, frame, p, c and ``fills``, array of struct(cell, method, distance, recording, v) of the missing cells."""
+    counts = census(frames)
+    meta = recording_meta(counts, index, rigs)
+    known = placeholder_frame(meta, placeholder_pairs(counts, meta))
+    cells = 2 * keypoints
+    rows = _readings(frames, counts, known, keypoints)
+    up = Window.partitionBy("recording", "block").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("recording", "block").orderBy(F.desc("frame")).rowsBetween(Window.unboundedPreceding, 0)
+    gone = F.concat(*[F.when(F.col(f"v{i}").isNull(), F.array(F.lit(i))).otherwise(F.array().cast("array<int>")) for i in range(cells)])
+    near = rows.select("recording", "block", "frame", "p", "c", gone.alias("gone"), *[f"v{i}" for i in range(cells)], *[F.last(f"v{i}", ignorenulls=True).over(up).alias(f"b{i}") for i in range(cells)])
+    pick = lambda n: F.when(F.size("gone") > 0, F.transform("gone", lambda i: F.get(F.array(*[F.col(f"{n}{j}") for j in range(cells)]), i)))
+    near = near.select("recording", "block", "frame", "p", "c", "gone", *[f"v{i}" for i in range(cells)], pick("b").alias("b"))
+    near = near.select("recording", "block", "frame", "p", "c", "gone", "b", *[F.last(f"v{i}", ignorenulls=True).over(down).alias(f"a{i}") for i in range(cells)])
+    near = near.select("recording", "block", "frame", "p", "c", "gone", "b", pick("a").alias("a"))
+    near = near.join(_beyond(rows, known, cells), (F.col("recording") == F.col("_r")) & (F.col("block") == F.col("_b")), "left")
+
+    def found(z: Column) -> Column:
+        carry = F.try_element_at("carry", z["gone"])
+        b, a = F.coalesce(z["b"], carry["b"]), F.coalesce(z["a"], carry["a"])
+        return F.struct(z["gone"].alias("cell"), F.when(b.isNull() | (a["frame"] - F.col("frame") < F.col("frame") - b["frame"]), a).otherwise(b).alias("v"), carry["o"].alias("o"))
+
+    def told(z: Column) -> Column:
+        timed = z["v"].isNotNull()
+        return F.struct(
+            z["cell"].alias("cell"), F.when(timed, "time").when(z["o"].isNotNull(), "day").otherwise("none").alias("method"),
+            F.when(timed, F.abs(F.col("frame") - z["v"]["frame"])).otherwise(z["o"]["days"]).cast("int").alias("distance"),
+            F.when(timed, F.col("recording")).otherwise(z["o"]["recording"]).alias("recording"), F.when(timed, z["v"]).otherwise(z["o"]["v"]).alias("v"),
+        )
+
+    return near.select("recording", "frame", "p", "c", F.when(F.size("gone") > 0, F.transform(F.transform(F.arrays_zip("gone", "b", "a"), found), told)).alias("fills"))
 
 
 def fill_cells(frames: DataFrame, index: DataFrame, rigs: DataFrame, keypoints: int) -> DataFrame:
@@ -168,24 +149,11 @@ def fill_cells(frames: DataFrame, index: DataFrame, rigs: DataFrame, keypoints:
     rows: the latest ``loaded_at`` counts, null being earliest. Rows without recording or frame are
     left out; an empty table gives no rows; extra columns are ignored.
     """
-    counts = census(frames)
-    meta = recording_meta(counts, index, rigs)
-    by_rig = placeholder_pairs(counts, meta)
-    pairs = sorted({(x, y) for _, x, y in by_rig})
-    known = placeholder_frame(meta, by_rig).withColumn("pair", reduce(lambda a, p: F.when((F.col("px") == p[1][0]) & (F.col("py") == p[1][1]), F.lit(p[0])).otherwise(a), enumerate(pairs), F.lit(None).cast("int")))
-    return _valued(_compact(frames, keypoints, pairs), known, keypoints)
-
-
-def _valued(base: DataFrame, known: DataFrame, keypoints: int) -> DataFrame:
-    cells = _donors(base, known, keypoints)
-    cells = cells.withColumn("donor_block", block_of("donor_frame"))
-    wide = _values(base).select(F.col("recording").alias("_r"), F.col("block").alias("_b"), F.col("frame").alias("_f"), "p_i", "p_d", "c_i", "c_d")
-    full = cells.join(wide, (F.col("donor_recording") == F.col("_r")) & (F.col("donor_block") == F.col("_b")) & (F.col("donor_frame") == F.col("_f")), "left")
-    pose = F.col("cell") < keypoints
-    kp = F.when(pose, F.col("cell")).otherwise(F.col("cell") - keypoints)
-    return full.select(
-        "recording", "frame", kp.cast("int").alias("kp"), F.when(pose, "pose").otherwise("conf").alias("field"), "method", "distance", "donor_recording", "donor_frame",
-        F.when(pose, _unpack("p", kp * 2, POSE_SCALE)).otherwise(_unpack("c", kp, CONF_SCALE)).alias("x"), F.when(pose, _unpack("p", kp * 2 + 1, POSE_SCALE)).alias("y"),
+    cells = _filled(frames, index, rigs, keypoints).select("recording", "frame", F.explode("fills").alias("z"))
+    pose = F.col("z.cell") < keypoints
+    return cells.select(
+        "recording", "frame", F.when(pose, F.col("z.cell")).otherwise(F.col("z.cell") - keypoints).cast("int").alias("kp"), F.when(pose, "pose").otherwise("conf").alias("field"),
+        "z.method", "z.distance", F.col("z.recording").alias("donor_recording"), F.col("z.v.frame").alias("donor_frame"), "z.v.x", "z.v.y",
     )
 
 
@@ -196,24 +164,18 @@ def fill_missing(frames: DataFrame, index: DataFrame, rigs: DataFrame, keypoints
     conf_filled array<struct<kp, method, distance>> (empty where nothing was missing). Genuine values
     are kept bit for bit; cells without any donor are null.
     """
-    counts = census(frames)
-    meta = recording_meta(counts, index, rigs)
-    by_rig = placeholder_pairs(counts, meta)
-    pairs = sorted({(x, y) for _, x, y in by_rig})
-    base = _compact(frames, keypoints, pairs)
-    fills = fill_cells(frames, index, rigs, keypoints).withColumn("block", block_of())
-    per = fills.groupBy("recording", "block", "frame").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("field") == "pose", F.struct("kp", F.struct("x", "y", "method", "distance"))))).alias("pf"),
-        F.map_from_entries(F.collect_list(F.when(F.col("field") == "conf", F.struct("kp", F.struct("x", "method", "distance"))))).alias("cf"),
-    ).select(F.col("recording").alias("_r"), F.col("block").alias("_b"), F.col("frame").alias("_f"), "pf", "cf")
-    rows = _values(base).join(per, (F.col("recording") == F.col("_r")) & (F.col("block") == F.col("_b")) & (F.col("frame") == F.col("_f")), "left")
+    rows = _filled(frames, index, rigs, keypoints)
+    rows = rows.withColumn("at", F.map_from_entries(F.transform("fills", lambda z: F.struct(z["cell"].alias("cell"), z["v"].alias("v")))))
     ids = F.sequence(F.lit(0), F.lit(keypoints - 1))
-    got = lambda m, k: F.try_element_at(F.col(m), k)
-    pose = F.transform(ids, lambda k: F.when(got("pf", k).isNotNull(), F.array(got("pf", k)["x"], got("pf", k)["y"])).otherwise(F.array(_unpack("p", k * 2, POSE_SCALE), _unpack("p", k * 2 + 1, POSE_SCALE))))
-    conf = F.transform(ids, lambda k: F.when(got("cf", k).isNotNull(), got("cf", k)["x"]).otherwise(_unpack("c", k, CONF_SCALE)))
-    marks = lambda m: F.coalesce(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.struct(e["key"].alias("kp"), e["value"]["method"].alias("method"), e["value"]["distance"].alias("distance"))), F.array().cast("array<struct<kp:int,method:string,distance:int>>"))
-    return rows.select(
-        "recording", "frame",
-        pose.alias("pose"), conf.alias("conf"),
-        marks("pf").alias("pose_filled"), marks("cf").alias("conf_filled"),
-    )
+    plain_pose, plain_conf = F.transform(ids, lambda k: F.array(F.get("p", 2 * k), F.get("p", 2 * k + 1))), F.col("c")
+    has = lambda i: F.map_contains_key("at", i)
+    pose = F.transform(ids, lambda k: F.when(has(k), F.array(F.try_element_at("at", k)["x"], F.try_element_at("at", k)["y"])).otherwise(F.array(F.get("p", 2 * k), F.get("p", 2 * k + 1))))
+    conf = F.transform(ids, lambda k: F.when(has(k + keypoints), F.try_element_at("at", k + keypoints)["x"]).otherwise(F.get("c", k)))
+    none = F.array().cast("array<struct<kp:int,method:string,distance:int>>")
+
+    def marks(low: int) -> Column:
+        mine = F.filter("fills", lambda z: (z["cell"] >= low) & (z["cell"] < low + keypoints))
+        return F.coalesce(F.transform(mine, lambda z: F.struct((z["cell"] - low).alias("kp"), z["method"].alias("method"), z["distance"].alias("distance"))), none)
+
+    filled = F.col("fills").isNotNull()
+    return rows.select("recording", "frame", F.when(filled, pose).otherwise(plain_pose).alias("pose"), F.when(filled, conf).otherwise(plain_conf).alias("conf"), marks(0).alias("pose_filled"), marks(keypoints).alias("conf_filled"))
