@@ -1,8 +1,8 @@
 """Frequent subsequences across many sequences by prefix-projected pattern growth (problem 3).
 
 Plan. Each recording's syllables become entries (equal neighbours once) inside time blocks; the
-next few entries beyond a block come from the heads of the following blocks, found over one row per
-block. Every entry carries its projected suffix, the ``(length - 1) * (gap + 1)`` entries after it,
+next few entries beyond a block come from the heads of the following blocks, found over one narrow row
+per block and joined back by (recording, block). Every entry carries its projected suffix, the ``(length - 1) * (gap + 1)`` entries after it,
 so growing a prefix is a narrow step without a join. After each step the supports are counted, every
 recording once, and only pointers of frequent prefixes grow further. Prefixes are distributed by
 hash; a prefix that occurs everywhere is first reduced to one row per (prefix, recording).
@@ -25,12 +25,15 @@ def entries(results: DataFrame, ahead: int) -> DataFrame:
     blocks = rows.groupBy("recording", "block").agg(F.array_sort(F.collect_list(F.struct("frame", "syllable"))).alias("r"))  # at most BLOCK rows
     blocks = blocks.select("recording", "block", F.transform("r", lambda x: x["syllable"]).alias("s"))
     blocks = blocks.withColumn("s", F.filter("s", lambda x, i: (i == 0) | (x != F.element_at("s", F.greatest(i, F.lit(1))))))
-    order = Window.partitionBy("recording").orderBy("block")  # one row per block
-    blocks = blocks.withColumn("_last", F.lag(F.element_at("s", -1)).over(order))
-    blocks = blocks.withColumn("s", F.when(F.element_at("s", 1) == F.col("_last"), F.slice("s", F.lit(2), F.greatest(F.size("s") - 1, F.lit(0)))).otherwise(F.col("s")))
-    blocks = blocks.where(F.size("s") > 0)
-    heads = [F.coalesce(F.lead(F.slice("s", 1, ahead), i).over(order), F.array().cast("array<int>")) for i in range(1, ahead + 1)]
-    blocks = blocks.select("recording", "block", "s", F.slice(F.concat(*heads), 1, ahead).alias("after"))
+    # windows see one narrow row per block, never the block's entries
+    order = Window.partitionBy("recording").orderBy("block")
+    ends = blocks.where(F.size("s") > 0).select("recording", "block", F.element_at("s", 1).alias("first"), F.element_at("s", -1).alias("last"), F.slice("s", 1, ahead + 1).alias("head"), F.size("s").alias("size"))
+    ends = ends.withColumn("again", F.coalesce(F.col("first") == F.lag("last").over(order), F.lit(False)))  # goes on from the block before
+    ends = ends.where(~F.col("again") | (F.col("size") > 1)).withColumn("head", F.when(F.col("again"), F.slice("head", 2, ahead)).otherwise(F.slice("head", 1, ahead)))
+    heads = [F.coalesce(F.lead("head", i).over(order), F.array().cast("array<int>")) for i in range(1, ahead + 1)]
+    ends = ends.select(F.col("recording").alias("_r"), F.col("block").alias("_b"), "again", F.slice(F.concat(*heads), 1, ahead).alias("after"))
+    blocks = blocks.join(ends, (F.col("recording") == F.col("_r")) & (F.col("block") == F.col("_b")))
+    blocks = blocks.select("recording", F.when(F.col("again"), F.slice("s", F.lit(2), F.greatest(F.size("s") - 1, F.lit(0)))).otherwise(F.col("s")).alias("s"), "after")
     full = blocks.withColumn("all", F.concat("s", "after"))
     return full.select("recording", F.explode(F.transform(F.sequence(F.lit(1), F.size("s")), lambda i: F.slice("all", i, F.lit(ahead + 1)))).alias("suffix"))
 
