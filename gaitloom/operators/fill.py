@@ -5,65 +5,56 @@ frame number. Where a recording never observes the keypoint, the donor is a read
 recording: same rig, nearest recording day. Every filled cell carries its donor's distance.
 
 Plan. ``frames`` is read twice: once for the census (recordings, blocks, the pairs written instead of
-positions), once for compact lossless rows, which are hashed once by (recording, time block). Within
-a block, rows sorted by time hand every cell's last observed reading on, forwards and backwards.
-What lies beyond a block's edge comes from the first and last observed readings of its neighbour
-blocks: one summary row per block and cell (bounded by the 32-bit frame number, see
+positions), once for the rows, which are hashed once by (recording, time block). A donor is always
+next to a row that misses something, so only such rows and their neighbours, and the ends of the
+block, go on; sorted by time, they hand every cell's last observed reading on, forwards and
+backwards. What lies beyond a block's edge comes from the first and last observed readings of its
+neighbour blocks: one summary row per block and cell (bounded by the 32-bit frame number, see
 ``tables.BLOCK``), joined back by (recording, block). Recordings without a donor of their own use
 per-(rig, day) representatives, bounded by the calendar.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaitloom.operators.missing import census, no_nan, placeholder_frame, placeholder_pairs
+from gaitloom.operators.missing import census, flat_pose, no_nan, placeholder_frame, placeholder_pairs
 from gaitloom.tables import block_of, recording_meta
 
-#: Positions are usually written with two decimals, confidences with three: arrays for which that
-#: holds exactly travel as integers, all others as they are.
-POSE_SCALE, CONF_SCALE = 100.0, 1000.0
 READING = "struct<frame:int,x:double,y:double>"
 
 
-def _pack(values: str, scale: float, name: str) -> tuple[Column, Column]:
-    """(array<int> or null, array<double> or null): the first where the scaled integers give back every value."""
-    exact = F.forall(values, lambda v: v.isNull() | ((F.abs(v) < 2e9 / scale) & (F.rint(v * scale) / scale == v)))
-    return F.when(exact, F.transform(values, lambda v: F.rint(v * scale).cast("int"))).alias(f"{name}_i"), F.when(~exact, F.col(values)).alias(f"{name}_d")
-
-
-def _unpack(name: str, scale: float) -> Column:
-    return F.coalesce(F.transform(f"{name}_i", lambda v: v / F.lit(scale)), F.col(f"{name}_d")).alias(name)
-
-
-def _compact(frames: DataFrame, keypoints: int) -> DataFrame:
-    """Compact rows hashed by (recording, block). The arrays are built by functions over arrays:
-    written out per cell they would exceed what the JVM compiles."""
-    ids = F.sequence(F.lit(0), F.lit(keypoints - 1))
-    flat = F.flatten(F.transform(F.transform(ids, lambda i: F.get("pose", i)), lambda p: F.transform(F.array(F.get(p, F.lit(0)), F.get(p, F.lit(1))), no_nan)))
-    rows = frames.where("recording is not null and frame is not null").select("recording", "frame", "loaded_at", flat.alias("p"), F.transform(ids, lambda i: no_nan(F.get("conf", i))).alias("c"))
+def _rows(frames: DataFrame, counts: DataFrame, known: DataFrame, keypoints: int) -> DataFrame:
+    """Rows in force, sorted by frame in their block: recording, block, frame, p (x and y in turn), c, ``miss`` (bit i: cell i has no
+    usable value) and ``near`` (the row, or one next to it, misses something, or it ends the block)."""
+    pose = F.array(*[no_nan(v) for i in range(keypoints) for v in flat_pose(i)])
+    conf = F.array(*[no_nan(F.get("conf", F.lit(i))) for i in range(keypoints)])
     loaded = F.coalesce(F.unix_micros(F.col("loaded_at").cast("timestamp")), F.lit(-(2**62)))
-    return rows.select("recording", "frame", block_of().alias("block"), loaded.alias("loaded"), *_pack("p", POSE_SCALE, "p"), *_pack("c", CONF_SCALE, "c")).repartition("recording", "block")
-
-
-def _readings(frames: DataFrame, counts: DataFrame, known: DataFrame, keypoints: int) -> DataFrame:
-    """Rows in force: recording, block, frame, p, c and one reading per cell (v0, v1, ...), null where it has no usable value."""
+    rows = frames.where("recording is not null and frame is not null").select("recording", "frame", block_of().alias("block"), loaded.alias("loaded"), pose.alias("p"), conf.alias("c")).repartition("recording", "block")
     places = counts.select("recording", "block").distinct().join(known.select("recording", "px", "py"), "recording")
-    places = places.select(F.col("recording").alias("_r"), F.col("block").alias("_b"), "px", "py").hint("shuffle_hash")  # a few bytes for thousands of rows
-    rows = _compact(frames, keypoints).join(places, (F.col("recording") == F.col("_r")) & (F.col("block") == F.col("_b")), "left").drop("_r", "_b")
+    places = places.select(F.col("recording").alias("_r"), F.col("block").alias("_b"), "px", "py").hint("shuffle_hash")  # one narrow row for a block
+    rows = rows.join(places, (F.col("recording") == F.col("_r")) & (F.col("block") == F.col("_b")), "left").drop("_r", "_b")
     w = Window.partitionBy("recording", "block").orderBy("frame", "loaded")
     rows = rows.withColumn("_next", F.lead("frame").over(w)).where("_next is null or _next <> frame")
-    rows = rows.select("recording", "block", "frame", "px", "py", _unpack("p", POSE_SCALE), _unpack("c", CONF_SCALE))
-    cells = []
+    bits = []
     for k in range(keypoints):
         x, y = F.get("p", F.lit(2 * k)), F.get("p", F.lit(2 * k + 1))
-        seen = x.isNotNull() & y.isNotNull() & ~F.coalesce((x == F.col("px")) & (y == F.col("py")), F.lit(False))
-        cells.append(F.when(seen, F.struct("frame", x.alias("x"), y.alias("y"))).cast(READING).alias(f"v{k}"))
-    for k in range(keypoints):
-        x = F.get("c", F.lit(k))
-        cells.append(F.when(x.isNotNull(), F.struct("frame", x.alias("x"), F.lit(None).cast("double").alias("y"))).cast(READING).alias(f"v{keypoints + k}"))
-    return rows.select("recording", "block", "frame", "p", "c", *cells)
+        bits.append(F.when(x.isNull() | y.isNull() | ((x == F.col("px")) & (y == F.col("py"))), F.lit(1 << k)).otherwise(F.lit(0)))
+        bits.append(F.when(F.get("c", F.lit(k)).isNull(), F.lit(1 << (keypoints + k))).otherwise(F.lit(0)))
+    rows = rows.select("recording", "block", "frame", "loaded", "p", "c", reduce(lambda a, b: a + b, bits).cast("bigint").alias("miss"))
+    beside = lambda f: F.coalesce(f("miss").over(w), F.lit(1)) != 0
+    return rows.withColumn("near", (F.col("miss") != 0) | beside(F.lag) | beside(F.lead)).drop("loaded")
+
+
+def _readings(rows: DataFrame, keypoints: int) -> DataFrame:
+    """The rows that miss something or may help, with one reading per cell (v0, v1, ...), null where it has no usable value."""
+    has = lambda i: F.col("miss").bitwiseAND(F.lit(1 << i)) == 0
+    pose = [F.when(has(k), F.struct("frame", F.get("p", F.lit(2 * k)).alias("x"), F.get("p", F.lit(2 * k + 1)).alias("y"))) for k in range(keypoints)]
+    conf = [F.when(has(keypoints + k), F.struct("frame", F.get("c", F.lit(k)).alias("x"), F.lit(None).cast("double").alias("y"))) for k in range(keypoints)]
+    return rows.where("near").select("recording", "block", "frame", "p", "c", "miss", *[v.cast(READING).alias(f"v{i}") for i, v in enumerate(pose + conf)])
 
 
 def _beyond(rows: DataFrame, known: DataFrame, cells: int) -> DataFrame:
@@ -71,12 +62,14 @@ def _beyond(rows: DataFrame, known: DataFrame, cells: int) -> DataFrame:
     the first of later ones, and that of another recording."""
     ends = rows.groupBy("recording", "block").agg(*[f(f"v{i}").alias(f"{n}{i}") for i in range(cells) for n, f in (("f", F.min), ("l", F.max))])
     ends = ends.select("recording", "block", F.posexplode(F.array(*[F.struct(F.col(f"f{i}").alias("f"), F.col(f"l{i}").alias("l")) for i in range(cells)])).alias("cell", "e")).select("recording", "block", "cell", "e.f", "e.l")
+    ends = ends.repartition("recording")  # both users below read every column of this one exchange
+    whole = ends.groupBy("recording", "cell").agg(F.max_by("l", F.when(F.col("l").isNotNull(), F.col("block"))).alias("top"), F.count("f").alias("seen"))
+    other = _comparable(whole, known)
     back = Window.partitionBy("recording", "cell").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy("recording", "cell").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("*", F.last("l", ignorenulls=True).over(back).alias("b"), F.last("f", ignorenulls=True).over(ahead).alias("a"), F.max("l").over(Window.partitionBy("recording", "cell")).alias("top"))
-    whole = ends.groupBy("recording", "cell").agg(F.max("top").alias("top"))
-    other = _comparable(whole, known)
-    add = ends.where("b is not null or a is not null or top is null").join(other, ["recording", "cell"], "left")
+    all_ = F.count("l").over(Window.partitionBy("recording", "cell"))
+    ends = ends.select("recording", "block", "cell", F.last("l", ignorenulls=True).over(back).alias("b"), F.last("f", ignorenulls=True).over(ahead).alias("a"), all_.alias("seen"))
+    add = ends.where("b is not null or a is not null or seen = 0").join(other, ["recording", "cell"], "left")
     entry = F.struct("cell", F.struct("b", "a", "o").alias("e"))
     return add.groupBy(F.col("recording").alias("_r"), F.col("block").alias("_b")).agg(F.map_from_entries(F.collect_list(entry)).alias("carry")).hint("shuffle_hash")
 
@@ -89,7 +82,7 @@ def _comparable(whole: DataFrame, known: DataFrame) -> DataFrame:
     """
     place = known.select("recording", F.coalesce("rig", F.lit("")).alias("rig"), "day")
     placed = whole.join(place, "recording")
-    both = placed.groupBy("rig", "cell", "day").agg(F.min(F.when(F.col("top").isNotNull(), F.struct("recording", "top"))).alias("d"))
+    both = placed.groupBy("rig", "cell", "day").agg(F.min(F.when(F.col("seen") > 0, F.struct("recording", "top"))).alias("d"))
     dated = F.when(F.col("d").isNotNull(), F.struct("day", "d"))
     back = Window.partitionBy("rig", "cell").orderBy(F.col("day").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy("rig", "cell").orderBy(F.col("day").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
@@ -99,26 +92,24 @@ def _comparable(whole: DataFrame, known: DataFrame) -> DataFrame:
     d = F.when(later, F.col("a.d")).otherwise(F.col("b.d"))
     o = F.when(d.isNotNull(), F.struct(d["recording"].alias("recording"), d["top"].alias("v"), F.when(later, da).otherwise(db).alias("days")))
     both = both.select(F.col("rig").alias("_rig"), F.col("cell").alias("_cell"), F.col("day").alias("_day"), o.alias("o"))
-    lack = placed.where("top is null")
+    lack = placed.where("seen = 0")
     return lack.join(both, (F.col("rig") == F.col("_rig")) & (F.col("cell") == F.col("_cell")) & F.col("day").eqNullSafe(F.col("_day")), "left").select("recording", "cell", "o")
 
 
-def _filled(frames: DataFrame, index: DataFrame, rigs: DataFrame, keypoints: int) -> DataFrame:
-    """Rows in force: recording, frame, p, c and ``fills``, array of struct(cell, method, distance, recording, v) of the missing cells."""
-    counts = census(frames)
-    meta = recording_meta(counts, index, rigs)
-    known = placeholder_frame(meta, placeholder_pairs(counts, meta))
+def _filled(rows: DataFrame, known: DataFrame, keypoints: int) -> DataFrame:
+    """Rows of :func:`_rows` that miss something: recording, frame, p, c and ``fills``, array of struct(cell, method, distance, recording, v)."""
     cells = 2 * keypoints
-    rows = _readings(frames, counts, known, keypoints)
+    read = _readings(rows, keypoints)
     up = Window.partitionBy("recording", "block").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("recording", "block").orderBy(F.desc("frame")).rowsBetween(Window.unboundedPreceding, 0)
-    gone = F.concat(*[F.when(F.col(f"v{i}").isNull(), F.array(F.lit(i))).otherwise(F.array().cast("array<int>")) for i in range(cells)])
-    near = rows.select("recording", "block", "frame", "p", "c", gone.alias("gone"), *[f"v{i}" for i in range(cells)], *[F.last(f"v{i}", ignorenulls=True).over(up).alias(f"b{i}") for i in range(cells)])
+    gone = F.filter(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: F.get(F.array(*[F.col(f"v{j}").isNull() for j in range(cells)]), i))
     pick = lambda n: F.when(F.size("gone") > 0, F.transform("gone", lambda i: F.get(F.array(*[F.col(f"{n}{j}") for j in range(cells)]), i)))
-    near = near.select("recording", "block", "frame", "p", "c", "gone", *[f"v{i}" for i in range(cells)], pick("b").alias("b"))
-    near = near.select("recording", "block", "frame", "p", "c", "gone", "b", *[F.last(f"v{i}", ignorenulls=True).over(down).alias(f"a{i}") for i in range(cells)])
-    near = near.select("recording", "block", "frame", "p", "c", "gone", "b", pick("a").alias("a"))
-    near = near.join(_beyond(rows, known, cells), (F.col("recording") == F.col("_r")) & (F.col("block") == F.col("_b")), "left")
+    keep = ["recording", "block", "frame", "p", "c", "gone"]
+    near = read.select(*keep[:-1], F.when(F.col("miss") != 0, gone).otherwise(F.array().cast("array<int>")).alias("gone"), *[f"v{i}" for i in range(cells)], *[F.last(f"v{i}", ignorenulls=True).over(up).alias(f"b{i}") for i in range(cells)])
+    near = near.select(*keep, *[f"v{i}" for i in range(cells)], pick("b").alias("b"))
+    near = near.select(*keep, "b", *[F.last(f"v{i}", ignorenulls=True).over(down).alias(f"a{i}") for i in range(cells)]).where(F.size("gone") > 0)
+    near = near.select(*keep, "b", pick("a").alias("a"))
+    near = near.join(_beyond(read, known, cells), (F.col("recording") == F.col("_r")) & (F.col("block") == F.col("_b")), "left")
 
     def found(z: Column) -> Column:
         carry = F.try_element_at("carry", z["gone"])
@@ -133,7 +124,14 @@ def _filled(frames: DataFrame, index: DataFrame, rigs: DataFrame, keypoints: int
             F.when(timed, F.col("recording")).otherwise(z["o"]["recording"]).alias("recording"), F.when(timed, z["v"]).otherwise(z["o"]["v"]).alias("v"),
         )
 
-    return near.select("recording", "frame", "p", "c", F.when(F.size("gone") > 0, F.transform(F.transform(F.arrays_zip("gone", "b", "a"), found), told)).alias("fills"))
+    return near.select("recording", "frame", "p", "c", F.transform(F.transform(F.arrays_zip("gone", "b", "a"), found), told).alias("fills"))
+
+
+def _inputs(frames: DataFrame, index: DataFrame, rigs: DataFrame, keypoints: int) -> tuple[DataFrame, DataFrame]:
+    counts = census(frames)
+    meta = recording_meta(counts, index, rigs)
+    known = placeholder_frame(meta, placeholder_pairs(counts, meta))
+    return _rows(frames, counts, known, keypoints), known
 
 
 def fill_cells(frames: DataFrame, index: DataFrame, rigs: DataFrame, keypoints: int) -> DataFrame:
@@ -149,7 +147,7 @@ def fill_cells(frames: DataFrame, index: DataFrame, rigs: DataFrame, keypoints:
     rows: the latest ``loaded_at`` counts, null being earliest. Rows without recording or frame are
     left out; an empty table gives no rows; extra columns are ignored.
     """
-    cells = _filled(frames, index, rigs, keypoints).select("recording", "frame", F.explode("fills").alias("z"))
+    cells = _filled(*_inputs(frames, index, rigs, keypoints), keypoints).select("recording", "frame", F.explode("fills").alias("z"))
     pose = F.col("z.cell") < keypoints
     return cells.select(
         "recording", "frame", F.when(pose, F.col("z.cell")).otherwise(F.col("z.cell") - keypoints).cast("int").alias("kp"), F.when(pose, "pose").otherwise("conf").alias("field"),
@@ -164,18 +162,19 @@ def fill_missing(frames: DataFrame, index: DataFrame, rigs: DataFrame, keypoints
     conf_filled array<struct<kp, method, distance>> (empty where nothing was missing). Genuine values
     are kept bit for bit; cells without any donor are null.
     """
-    rows = _filled(frames, index, rigs, keypoints)
-    rows = rows.withColumn("at", F.map_from_entries(F.transform("fills", lambda z: F.struct(z["cell"].alias("cell"), z["v"].alias("v")))))
+    rows, known = _inputs(frames, index, rigs, keypoints)
+    none = F.array().cast("array<struct<kp:int,method:string,distance:int>>")
+    own_pose = F.array(*[F.array(F.get("p", F.lit(2 * k)), F.get("p", F.lit(2 * k + 1))) for k in range(keypoints)])
+    whole = rows.where("miss = 0").select("recording", "frame", own_pose.alias("pose"), F.col("c").alias("conf"), none.alias("pose_filled"), none.alias("conf_filled"))
+    part = _filled(rows, known, keypoints)
+    part = part.withColumn("at", F.map_from_entries(F.transform("fills", lambda z: F.struct(z["cell"].alias("cell"), z["v"].alias("v")))))
     ids = F.sequence(F.lit(0), F.lit(keypoints - 1))
-    plain_pose, plain_conf = F.transform(ids, lambda k: F.array(F.get("p", 2 * k), F.get("p", 2 * k + 1))), F.col("c")
     has = lambda i: F.map_contains_key("at", i)
     pose = F.transform(ids, lambda k: F.when(has(k), F.array(F.try_element_at("at", k)["x"], F.try_element_at("at", k)["y"])).otherwise(F.array(F.get("p", 2 * k), F.get("p", 2 * k + 1))))
     conf = F.transform(ids, lambda k: F.when(has(k + keypoints), F.try_element_at("at", k + keypoints)["x"]).otherwise(F.get("c", k)))
-    none = F.array().cast("array<struct<kp:int,method:string,distance:int>>")
 
     def marks(low: int) -> Column:
         mine = F.filter("fills", lambda z: (z["cell"] >= low) & (z["cell"] < low + keypoints))
         return F.coalesce(F.transform(mine, lambda z: F.struct((z["cell"] - low).alias("kp"), z["method"].alias("method"), z["distance"].alias("distance"))), none)
 
-    filled = F.col("fills").isNotNull()
-    return rows.select("recording", "frame", F.when(filled, pose).otherwise(plain_pose).alias("pose"), F.when(filled, conf).otherwise(plain_conf).alias("conf"), marks(0).alias("pose_filled"), marks(keypoints).alias("conf_filled"))
+    return whole.unionByName(part.select("recording", "frame", pose.alias("pose"), conf.alias("conf"), marks(0).alias("pose_filled"), marks(keypoints).alias("conf_filled")))
