@@ -109,18 +109,43 @@ def interpolate(points: DataFrame, reach: int | None = None) -> DataFrame:
     return rows.select("recording", "block", "frame", "kp", line("x").alias("x"), line("y").alias("y"), "conf", (~there).alias("filled"))
 
 
-def centroid_heading(points: DataFrame, anterior: list[int], posterior: list[int]) -> DataFrame:
-    """Per frame: median over keypoints, and the direction from the mean of ``posterior`` to that of ``anterior`` in [0, 2 pi]."""
-    mean = lambda c, ks: F.avg(F.when(F.col("kp").isin(ks), F.col(c)))
-    g = points.groupBy("recording", "block", "frame").agg(F.median("x").alias("cx"), F.median("y").alias("cy"), *[mean(c, k).alias(f"_{n}{c}") for n, k in (("a", anterior), ("p", posterior)) for c in "xy"])
-    return g.select("recording", "block", "frame", "cx", "cy", (F.atan2(F.col("_py") - F.col("_ay"), F.col("_px") - F.col("_ax")) + F.pi()).alias("heading"))
+def poses(frames: DataFrame) -> DataFrame:
+    """Frames in force with their keypoints in the row: recording, block, frame, x, y, conf (arrays; NaN becomes null)."""
+    from gaitloom.tables import by_block, in_force
+
+    rows = in_force(by_block(frames.select("recording", "frame", "loaded_at", "pose", "conf")), ["pose", "conf"]).where("pose is not null or conf is not null")
+    plain = lambda v: F.when(~F.isnan(v), v)
+    blank = lambda other: F.expr(f"array_repeat(cast(null as double), size({other}))")
+    axis = lambda i: F.coalesce(F.transform("pose", lambda p: plain(F.get(p, F.lit(i)))), blank("conf"))
+    return rows.select("recording", "block", "frame", axis(0).alias("x"), axis(1).alias("y"), F.coalesce(F.transform("conf", plain), blank("pose")).alias("conf"))
+
+
+def middle_of(values: Column | str) -> Column:
+    """Median of an array's values, nulls left out; null if there are none."""
+    s = F.array_sort(F.filter(values, lambda v: v.isNotNull()))
+    at = lambda shift: F.get(s, F.floor((F.size(s) + shift) / 2).cast("int"))
+    return (at(-1) + at(0)) / 2
+
+
+def centroid_heading(rows: DataFrame, anterior: list[int], posterior: list[int]) -> DataFrame:
+    """Per frame of :func:`poses`: median over keypoints, and the direction from the mean of ``posterior`` to that of ``anterior`` in [0, 2 pi].
+
+    All inside the row; means leave missing keypoints out.
+    """
+
+    def mean(c: str, ks: list[int]) -> Column:
+        v = F.filter(F.array(*[F.get(c, F.lit(k)) for k in ks]), lambda x: x.isNotNull())
+        return F.try_divide(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), F.size(v))
+
+    (ax, ay), (bx, by_) = [(mean("x", k), mean("y", k)) for k in (anterior, posterior)]
+    return rows.select("recording", "block", "frame", middle_of("x").alias("cx"), middle_of("y").alias("cy"), (F.atan2(by_ - ay, bx - ax) + F.pi()).alias("heading"))
 
 
 def grouped_median(rows: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """Exact median per group without gathering a group.
 
-    Values are counted in bins of about two per cent; only the bins that hold the middle ranks are
-    ranked, each on its own.
+    Values are counted in bins of about two per cent; only the values of the bins that hold the
+    middle ranks are ranked, each bin on its own, equal values being counted first.
     """
     size = F.floor(F.ln(F.abs(value) + 1e-6) * 50) + 1000
     bins = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), F.when(F.col(value) < 0, -size).otherwise(size).alias("_bin"))
@@ -130,26 +155,41 @@ def grouped_median(rows: DataFrame, by: list[str], value: str, out: str) -> Data
     lo, hi = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
     hit = per.where((F.col("_below") < hi) & (F.col("_below") + F.col("_c") >= lo)).select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_bin").alias("_hit"), "_below", "_n")
     same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in by], F.col("_bin") == F.col("_hit"))
-    ranked = bins.join(hit, same).withColumn("_rank", F.col("_below") + F.row_number().over(Window.partitionBy(*by, "_bin").orderBy("_v")))
-    return ranked.where((F.col("_rank") == lo) | (F.col("_rank") == hi)).groupBy(*by).agg(F.avg("_v").alias(out))
+    equal = bins.join(hit, same).groupBy(*by, "_bin", "_below", "_n", "_v").agg(F.count(F.lit(1)).alias("_m"))  # tied values become one row
+    upto = F.col("_below") + F.sum("_m").over(Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = equal.withColumn("_upto", upto)
+    return ranked.where((F.col("_upto") >= lo) & (F.col("_upto") - F.col("_m") < hi)).groupBy(*by).agg(F.avg("_v").alias(out))
 
 
-def medoid_outliers(points: DataFrame, scale: float = 6.0) -> DataFrame:
+def medoid_outliers(rows: DataFrame, scale: float = 6.0) -> DataFrame:
     """Cells farther from the frame's medoid than median + scale * MAD over the recording, per keypoint.
 
-    recording, block, frame, kp, x, y, conf, distance, outlier. Missing cells are no outliers and do
-    not disturb the others'.
+    ``rows`` are those of :func:`poses`. recording, block, frame, kp, x, y, conf, distance, outlier.
+    Missing cells are no outliers and do not disturb the others'. Distances are taken inside the
+    row; medians and bounds come back to the rows by (recording, block), so no recording is one key.
     """
-    g = points.groupBy("recording", "block", "frame").agg(F.median("x").alias("_mx"), F.median("y").alias("_my"))
-    d = points.join(g, ["recording", "block", "frame"]).withColumn("distance", F.sqrt(F.pow(F.col("x") - F.col("_mx"), 2) + F.pow(F.col("y") - F.col("_my"), 2)))
-    e = d.join(grouped_median(d, ["recording", "kp"], "distance", "_med"), ["recording", "kp"], "left").withColumn("_off", F.abs(F.col("distance") - F.col("_med")))
-    mad = grouped_median(e, ["recording", "kp"], "_off", "_mad")
-    return e.join(mad, ["recording", "kp"], "left").select("recording", "block", "frame", "kp", "x", "y", "conf", "distance", F.coalesce(F.col("distance") > F.col("_med") + scale * F.col("_mad"), F.lit(False)).alias("outlier"))
-
-
-def remove_outliers(points: DataFrame, scale: float = 6.0) -> DataFrame:
-    """Outliers interpolated and their confidence set to 0."""
-    o = medoid_outliers(points, scale)
+    far = F.transform(F.arrays_zip("x", "y"), lambda z: F.sqrt(F.pow(z["x"] - F.col("_mx"), 2) + F.pow(z["y"] - F.col("_my"), 2)))
+    d = rows.withColumns({"_mx": middle_of("x"), "_my": middle_of("y")}).withColumn("d", far).drop("_mx", "_my")
+    places = rows.select("recording", "block").distinct()
+
+    def back(to: DataFrame, values: DataFrame, value: str) -> DataFrame:
+        """``value`` per (recording, kp) as a map in every row of the recording."""
+        per = values.groupBy("recording").agg(F.map_from_entries(F.collect_list(F.struct("kp", value))).alias(value))  # one entry a keypoint
+        per = places.join(per, "recording").select(F.col("recording").alias("_r"), F.col("block").alias("_b"), value).hint("shuffle_hash")
+        return to.join(per, (F.col("recording") == F.col("_r")) & (F.col("block") == F.col("_b")), "left").drop("_r", "_b")
+
+    each = lambda t, c, name: t.select("recording", F.posexplode(c).alias("kp", name))
+    d = back(d, grouped_median(each(d, "d", "distance"), ["recording", "kp"], "distance", "_med"), "_med")
+    off = F.transform("d", lambda v, i: F.abs(v - F.try_element_at("_med", i)))
+    e = back(d, grouped_median(each(d, off, "off"), ["recording", "kp"], "off", "_mad"), "_mad")
+    z = e.select("recording", "block", "frame", "_med", "_mad", F.posexplode(F.arrays_zip("x", "y", "conf", "d")).alias("kp", "z"))
+    bound = F.try_element_at("_med", F.col("kp")) + scale * F.try_element_at("_mad", F.col("kp"))
+    return z.select("recording", "block", "frame", "kp", "z.x", "z.y", "z.conf", F.col("z.d").alias("distance"), F.coalesce(F.col("z.d") > bound, F.lit(False)).alias("outlier"))
+
+
+def remove_outliers(rows: DataFrame, scale: float = 6.0) -> DataFrame:
+    """Outliers of :func:`medoid_outliers` interpolated and their confidence set to 0."""
+    o = medoid_outliers(rows, scale)
     blank = o.select("recording", "block", "frame", "kp", F.when(~F.col("outlier"), F.col("x")).alias("x"), F.when(~F.col("outlier"), F.col("y")).alias("y"), F.when(F.col("outlier"), F.lit(0.0)).otherwise(F.col("conf")).alias("conf"))
     return interpolate(blank)
 
@@ -175,6 +215,3 @@ def confidence_bins(points: DataFrame, bins: int = 10, pseudocount: float = 0.00
     b = F.least(F.floor((F.col("c") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int")
     return c.crossJoin(F.broadcast(span)).groupBy("kp", b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))  # span is one row
 
-
-def total(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, cols)

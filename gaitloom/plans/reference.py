@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gaitloom.operators import clustering, graph, hypothesis, instances, kinematics, model, sequence, signal
 from gaitloom.operators.timeline import run_numbers, runs, states
 from gaitloom.sources import sinks
-from gaitloom.sources.loaders import recording_name
+from gaitloom.sources.loaders import recording_name, reindex
 from gaitloom.streaming import streams
 from gaitloom.tables import by_block, in_force, read, recording_index
 
@@ -51,6 +51,10 @@ def _points(s: SparkSession, d: str) -> DataFrame:
     return signal.keypoints(read(s, d, "frames"))
 
 
+def _poses(s: SparkSession, d: str) -> DataFrame:
+    return signal.poses(read(s, d, "frames"))
+
+
 def _groups(s: SparkSession, d: str) -> DataFrame:
     return recording_index(read(s, d, "recording_index"))
 
@@ -145,14 +149,22 @@ def trim_bounds(s, d):
     return _states(s, d).where((F.col("pos") >= lo) & (F.col("pos") < F.col("n") - lo)).select("recording", (F.col("pos") - lo).alias("pos"), "syllable")
 
 
-@query(f"select recording, frame, conf[8] as c_last, conf[1] as c_first from {_FRM} where conf is not null")
+def _no_nan(e: str) -> str:
+    """SQL of the engine's rule that NaN is null."""
+    return f"case when not isnan({e}) then {e} end"
+
+
+def _reindexed(s, d) -> tuple[DataFrame, list[str]]:
+    names = [r.bodypart for r in read(s, d, "bodyparts").sort("kp").collect()]  # fixed table
+    rows = in_force(by_block(read(s, d, "frames").select("recording", "frame", "loaded_at", "pose", "conf")), ["pose", "conf"])
+    return reindex(rows, names, names[::-1]), names
+
+
+@query(f"select recording, frame, {_no_nan('conf[8]')} as c_last, {_no_nan('conf[1]')} as c_first from {_FRM} where conf is not null")
 def bodypart_reindex(s, d):
     """The keypoint axis reordered by name; the reordered ends are shown."""
-    names = [r.bodypart for r in read(s, d, "bodyparts").sort("kp").collect()]  # fixed table
-    order = F.array(*[F.lit(names.index(n)) for n in reversed(names)])
-    rows = in_force(by_block(read(s, d, "frames").select("recording", "frame", "loaded_at", "conf")), ["conf"]).where("conf is not null")
-    turned = rows.withColumn("c", F.transform(order, lambda i: F.get("conf", i)))
-    return turned.select("recording", "frame", F.get("c", F.lit(0)).alias("c_last"), F.get("c", F.lit(len(names) - 1)).alias("c_first"))
+    turned, names = _reindexed(s, d)
+    return turned.where("conf is not null").select("recording", "frame", F.get("conf", F.lit(0)).alias("c_last"), F.get("conf", F.lit(len(names) - 1)).alias("c_first"))
 
 
 @query("select a.kp as src, b.kp as dst from bodyparts a join bodyparts b on a.parent_kp = b.kp")
@@ -177,7 +189,7 @@ def csv_export_rounding(s, d):
     return sinks.results_csv(rows).select("recording", "frame", "syllable", F.col("centroid x").alias("x"), "heading")
 
 
-@query(f"select recording, frame, pose[1][1] as nose_x, pose[1][2] as nose_y, conf[8] as tail_base_conf from {_FRM}")
+@query(f"select recording, frame, {_no_nan('pose[1][1]')} as nose_x, {_no_nan('pose[1][2]')} as nose_y, {_no_nan('conf[8]')} as tail_base_conf from {_FRM}")
 def keypoints_export(s, d):
     names = [r.bodypart for r in read(s, d, "bodyparts").sort("kp").collect()]  # fixed table
     rows = in_force(by_block(read(s, d, "frames").select("recording", "frame", "loaded_at", "pose", "conf")), ["pose", "conf"])
@@ -188,14 +200,12 @@ def keypoints_export(s, d):
 _PARTS = ["nose", "head", "left_ear", "right_ear", "spine_upper", "spine_mid", "spine_low", "tail_base"]
 
 
-@query("select recording, frame, " + ", ".join(f"conf[{k}] as c_{b}" for k, b in reversed([*enumerate(_PARTS, 1)])) + f" from {_FRM} where conf is not null")
+@query("select recording, frame, " + ", ".join(f"{_no_nan(f'pose[{k}][1]')} as x_{b}, {_no_nan(f'pose[{k}][2]')} as y_{b}, {_no_nan(f'conf[{k}]')} as c_{b}" for k, b in reversed([*enumerate(_PARTS, 1)])) + f" from {_FRM}")
 def bodypart_reindex_all(s, d):
-    """As bodypart_reindex, with every keypoint under its name."""
-    names = [r.bodypart for r in read(s, d, "bodyparts").sort("kp").collect()]  # fixed table
-    order = F.array(*[F.lit(names.index(n)) for n in reversed(names)])
-    rows = in_force(by_block(read(s, d, "frames").select("recording", "frame", "loaded_at", "conf")), ["conf"]).where("conf is not null")
-    turned = rows.withColumn("c", F.transform(order, lambda i: F.get("conf", i)))
-    return turned.select("recording", "frame", *[F.get("c", F.lit(i)).alias(f"c_{n}") for i, n in enumerate(reversed(names))])
+    """As bodypart_reindex, with positions and confidences of every keypoint under its name."""
+    turned, names = _reindexed(s, d)
+    at = lambda i, j: F.get(F.get("pose", F.lit(i)), F.lit(j))
+    return turned.select("recording", "frame", *[c for i, n in enumerate(reversed(names)) for c in (at(i, 0).alias(f"x_{n}"), at(i, 1).alias(f"y_{n}"), F.get("conf", F.lit(i)).alias(f"c_{n}"))])
 
 
 @query(f"""select recording, frame, syllable, round_even(centroid[1], 4) as "centroid x", round_even(centroid[2], 4) as "centroid y", round_even(heading, 4) as heading,
@@ -206,7 +216,7 @@ def csv_export_all(s, d):
     return sinks.results_csv(in_force(by_block(read(s, d, "results").select("recording", "frame", "loaded_at", *columns)), columns))
 
 
-@query("select recording, frame, " + ", ".join(f"pose[{k}][1] as {b}_x, pose[{k}][2] as {b}_y, conf[{k}] as {b}_conf" for k, b in enumerate(_PARTS, 1)) + f" from {_FRM}")
+@query("select recording, frame, " + ", ".join(f"{_no_nan(f'pose[{k}][1]')} as {b}_x, {_no_nan(f'pose[{k}][2]')} as {b}_y, {_no_nan(f'conf[{k}]')} as {b}_conf" for k, b in enumerate(_PARTS, 1)) + f" from {_FRM}")
 def keypoints_export_all(s, d):
     """As keypoints_export, with all columns of the file."""
     names = [r.bodypart for r in read(s, d, "bodyparts").sort("kp").collect()]  # fixed table
@@ -417,7 +427,7 @@ def interpolate_keypoints(s, d):
 
 @query(f"with {_P}, g as (select recording, frame, median(x) as cx, median(y) as cy, avg(case when kp in (0, 1) then x end) as ax, avg(case when kp in (0, 1) then y end) as ay, avg(case when kp in (6, 7) then x end) as bx, avg(case when kp in (6, 7) then y end) as by_ from pts group by 1, 2) select recording, frame, round(cx, 5) as cx, round(cy, 5) as cy, round(atan2(by_ - ay, bx - ax) + pi(), 5) as heading from g")
 def centroid_heading(s, d):
-    c = signal.centroid_heading(_points(s, d), [0, 1], [6, 7])
+    c = signal.centroid_heading(_poses(s, d), [0, 1], [6, 7])
     return c.select("recording", "frame", F.round("cx", 5).alias("cx"), F.round("cy", 5).alias("cy"), F.round("heading", 5).alias("heading"))
 
 
@@ -429,12 +439,12 @@ outl as (select d.*, coalesce(distance > m + 6 * mad, false) as outlier from dis
 
 @query("with " + _OUT + " select recording, frame, cast(kp as int) as kp, round(distance, 4) as distance from outl where outlier")
 def medoid_outliers(s, d):
-    return signal.medoid_outliers(_points(s, d)).where("outlier").select("recording", "frame", "kp", F.round("distance", 4).alias("distance"))
+    return signal.medoid_outliers(_poses(s, d)).where("outlier").select("recording", "frame", "kp", F.round("distance", 4).alias("distance"))
 
 
 @query("with " + _OUT + ", blank as (select recording, frame, kp, case when not outlier then x end as x, case when not outlier then y end as y, case when outlier then 0 else conf end as conf from outl), " + _INT.format(src="blank") + f" select recording, frame, cast(kp as int) as kp, round(x + {NUDGE!r}, 5) as x, round(y + {NUDGE!r}, 5) as y, conf from lin where filled")
 def outlier_removal(s, d):
-    return signal.remove_outliers(_points(s, d)).where("filled").select("recording", "frame", "kp", F.round(F.col("x") + NUDGE, 5).alias("x"), F.round(F.col("y") + NUDGE, 5).alias("y"), "conf")
+    return signal.remove_outliers(_poses(s, d)).where("filled").select("recording", "frame", "kp", F.round(F.col("x") + NUDGE, 5).alias("x"), F.round(F.col("y") + NUDGE, 5).alias("y"), "conf")
 
 
 @query(_W + ", " + _taps(-15, 14, "b.cx as x, b.cy as y") + """, fl as (select recording, pos, list_sort(list(x))[16] as fx, list_sort(list(y))[16] as fy from taps group by 1, 2),
@@ -687,7 +697,7 @@ def density_exemplar(s, d):
 
 @query(f"with {_OUT} select cast(kp as int) as kp, round(regr_slope(log10(distance + 1), log10(conf + 0.001)), 5) as slope, round(regr_intercept(log10(distance + 1), log10(conf + 0.001)), 5) as intercept from dist where distance is not null and conf >= 0 group by 1")
 def regression_calibration(s, d):
-    m = signal.medoid_outliers(_points(s, d)).where("distance is not null and conf >= 0")
+    m = signal.medoid_outliers(_poses(s, d)).where("distance is not null and conf >= 0")
     e, c = F.log10(F.col("distance") + 1), F.log10(F.col("conf") + 0.001)
     return m.groupBy("kp").agg(F.round(F.regr_slope(e, c), 5).alias("slope"), F.round(F.regr_intercept(e, c), 5).alias("intercept"))
 
@@ -763,24 +773,33 @@ def _event_stream(s, d) -> DataFrame:
     return s.readStream.schema(read(s, d, "events").schema).parquet(f"{d}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("select time_bucket(interval '1 day', ts) as start, event_type, count(*) as n from events group by 1, 2")
+@query("select * from (select time_bucket(interval '1 day', ts) as start, event_type, count(*) as n from events group by 1, 2) where start + interval '1 day' <= (select max(ts) - interval '1 hour' from events)")
 def stream_window_usage(s, d):
-    return streams.run_to_table(streams.window_usage(_event_stream(s, d), "ts", "event_type", "1 day"), "gaitloom_usage", "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    """Windows the watermark has closed after all input."""
+    return streams.run_to_table(streams.window_usage(_event_stream(s, d), "ts", "event_type", "1 day")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @query("""with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval '12 hours' then 0 else 1 end as new from events),
-b as (select *, sum(new) over (partition by user_id order by ts) as k from e) select user_id, min(ts) as start, max(ts) + interval '12 hours' as "end", count(*) as n from b group by user_id, k""")
+b as (select *, sum(new) over (partition by user_id order by ts) as k from e), x as (select user_id, min(ts) as start, max(ts) + interval '12 hours' as "end", count(*) as n from b group by user_id, k)
+select * from x where "end" <= (select max(ts) - interval '1 hour' from events)""")
 def stream_sessions(s, d):
-    out = streams.run_to_table(streams.sessions(_event_stream(s, d), "user_id", "ts", "12 hours"), "gaitloom_sessions", "complete")
+    """Sessions the watermark has closed after all input."""
+    out = streams.run_to_table(streams.sessions(_event_stream(s, d), "user_id", "ts", "12 hours"))
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
+_LATE = 64
+
 
-@query(_W + ", x as (select q.recording, q.run, q.syllable, min(frame) as first_frame, max(frame) as last_frame, count(*) as n from q group by 1, 2, 3), l as (select recording, max(run) as m from x group by 1) select x.recording, syllable, first_frame, last_frame, n from x join l using (recording) where run < m")
+@query(f"""with top as (select recording, max(frame) as m from results where recording is not null and frame is not null group by 1),
+r as (select recording, frame, syllable from {_RES} join top using (recording) where frame <= m - {_LATE} and syllable is not null),
+f_ as (select *, case when syllable = lag(syllable) over (partition by recording order by frame) then 0 else 1 end as new from r), q as (select *, sum(new) over (partition by recording order by frame) as run from f_),
+x as (select recording, run, syllable, cast(min(frame) as bigint) as first_frame, cast(max(frame) as bigint) as last_frame, count(*) as n from q group by 1, 2, 3), l as (select recording, max(run) as m from x group by 1)
+select x.recording, syllable, first_frame, last_frame, n from x join l using (recording) where run < m""")
 def stream_rle(s, d):
-    """Runs a stream has closed after all files: every recording's last run is still open."""
+    """Runs a stream has closed after all input: rows become final {_LATE} frames later, and every recording's last run is still open."""
     source = s.readStream.schema(read(s, d, "results").schema).parquet(f"{d}/result[s].parquet")
-    return streams.with_state_store(s, lambda: streams.run_to_table(streams.stream_runs(source), "gaitloom_runs"))
+    return streams.with_state_store(s, lambda: streams.run_to_table(streams.stream_runs(source, _LATE)))
 
 
 @query()
@@ -788,8 +807,7 @@ def stream_filtering(s, d):
     """Online state probabilities under the parameters of the fit."""
     source = s.readStream.schema(read(s, d, "results").schema).parquet(f"{d}/result[s].parquet")
     p = _fitted(s, d)
-    x = source.where("recording is not null and frame is not null and latent_state is not null").withColumnRenamed("latent_state", "x")
-    return streams.with_state_store(s, lambda: streams.run_to_table(streams.stream_filter(x, p), "gaitloom_filter"))
+    return streams.with_state_store(s, lambda: streams.run_to_table(streams.stream_filter(source.withColumnRenamed("latent_state", "x"), p, _LATE)))
 
 
 @query()

@@ -23,16 +23,25 @@ def get_spark(app: str = "gaitloom", cores: int | str = "*", shuffle_partitions:
     )
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and return it without lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for written intermediate results: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder is used. The written copy survives the loss of an executor.
+    Where that is unset, a temporary folder does for a session on one machine; a cluster is refused,
+    as its executors could not read each other's files.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), f"gaitloom-{spark.sparkContext.applicationId}")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and return it without lineage. The written copy survives the loss of an executor."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gaitloom-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -250,6 +250,20 @@ def overlapping_names(loaded: DataFrame) -> DataFrame:
     return loaded.groupBy("recording").agg(F.countDistinct("path").alias("files")).where("files > 1")
 
 
+def reindex(frames: DataFrame, bodyparts: list[str], use: list[str]) -> DataFrame:
+    """``frames`` with the keypoint axis of pose and conf reduced to ``use`` in its order; NaN becomes null.
+
+    A name that is no body part is refused. A null array stays null, an absent cell is null.
+    """
+    if unknown := [b for b in use if b not in bodyparts]:
+        raise ValueError("no body part: " + ", ".join(unknown))
+    order = F.array(*[F.lit(bodyparts.index(b)) for b in use])
+    plain = lambda v: F.when(~F.isnan(v), v)
+    pose = F.when(F.col("pose").isNotNull(), F.transform(order, lambda i: F.transform(F.get("pose", i), plain)))
+    conf = F.when(F.col("conf").isNotNull(), F.transform(order, lambda i: plain(F.get("conf", i))))
+    return frames.withColumns({"pose": pose, "conf": conf})
+
+
 def to_frames(long: DataFrame, bodyparts: list[str]) -> DataFrame:
     """Canonical frames: recording, frame, pose and conf in the order of ``bodyparts``."""
     cells = long.where(F.col("bodypart").isin(bodyparts)).groupBy("recording", "frame").agg(F.map_from_entries(F.collect_list(F.struct("bodypart", F.struct("x", "y", "z", "conf")))).alias("m"))
@@ -261,10 +275,3 @@ def to_frames(long: DataFrame, bodyparts: list[str]) -> DataFrame:
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A small CSV dimension such as the index or the syllable information."""
     return spark.read.option("header", "true").csv(path)
-
-
-_COMMENT = re.compile(r"^\s*//.*$", re.M)
-
-
-def strip_comments(json_text: str) -> str:
-    return _COMMENT.sub("", json_text)

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 def save_results(results: DataFrame, path: str, overwrite: bool = False) -> None:
     """Results partitioned by recording; recordings already there are refused unless ``overwrite``, which replaces just them."""
     spark = results.sparkSession
-    try:
-        have = spark.read.parquet(path).select("recording").distinct()
-    except Exception:  # nothing written yet
-        have = None
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    have = spark.read.parquet(path).select("recording").distinct() if there else None  # a folder that cannot be read is an error, not an empty one
     if have is not None and not overwrite:
         clash = results.select("recording").distinct().join(have, "recording", "left_semi").limit(5).collect()
         if clash:
@@ -37,11 +36,12 @@ def save_results_csv(results: DataFrame, path: str, **shape) -> None:
 
 
 def keypoints_wide(frames: DataFrame, bodyparts: list[str], dims: int = 2, conf: bool = True) -> DataFrame:
-    """<part>_x, _y[, _z][, _conf] per frame."""
-    at = lambda k, d: F.get(F.get("pose", F.lit(k)), F.lit(d))
+    """<part>_x, _y[, _z][, _conf] per frame; NaN is written as null, as everywhere."""
+    plain = lambda v: F.when(~F.isnan(v), v)
+    at = lambda k, d: plain(F.get(F.get("pose", F.lit(k)), F.lit(d)))
     cols = []
     for k, b in enumerate(bodyparts):
-        cols += [at(k, d).alias(f"{b}_{a}") for d, a in zip(range(dims), "xyz")] + ([F.get("conf", F.lit(k)).alias(f"{b}_conf")] if conf else [])
+        cols += [at(k, d).alias(f"{b}_{a}") for d, a in zip(range(dims), "xyz")] + ([plain(F.get("conf", F.lit(k))).alias(f"{b}_conf")] if conf else [])
     return frames.select("recording", "frame", *cols)
 
 
@@ -63,6 +63,11 @@ def syllable_info(syllables: DataFrame, movies: DataFrame) -> DataFrame:
     return out.select("syllable", F.lit("").alias("label"), F.lit("").alias("short_description"), F.coalesce("movie_path", F.lit("")).alias("movie_path"))
 
 
+def load_tables(spark, folder: str, names: list[str]) -> dict[str, DataFrame]:
+    """The tables that :func:`save_tables` wrote; one that is not there is refused by the reader."""
+    return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
+
+
 def save_annotations(annotations: DataFrame, path: str) -> None:
     """key, coordinate_index, video_frame_index, bodypart, x, y."""
     annotations.select("key", "coordinate_index", "video_frame_index", "bodypart", "x", "y").write.option("header", "true").mode("overwrite").csv(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Frames per time block. A frame number is a 32-bit integer, so a recording has at most
@@ -34,11 +34,13 @@ def by_block(df: DataFrame, size: int = BLOCK) -> DataFrame:
 def in_force(df: DataFrame, values: list[str]) -> DataFrame:
     """One row per (recording, frame): the values with the latest ``loaded_at``.
 
-    ``df`` comes from :func:`by_block`. A null ``loaded_at`` counts as earlier than any other.
+    ``df`` comes from :func:`by_block`. A null ``loaded_at`` counts as earlier than any other. Rows
+    come out sorted by frame inside their block, so that windows along time need no further sort.
     """
-    when = F.coalesce(F.col("loaded_at").cast("timestamp"), F.timestamp_seconds(F.lit(-62135596800)))
-    best = F.max_by(F.struct(*values), when).alias("_v")
-    return df.groupBy("recording", "block", "frame").agg(best).select("recording", "block", "frame", *[f"_v.{v}" for v in values])
+    loaded = F.coalesce(F.unix_micros(F.col("loaded_at").cast("timestamp")), F.lit(-(2**62)))
+    w = Window.partitionBy("recording", "block").orderBy("frame", "_loaded")
+    rows = df.select("recording", "block", "frame", loaded.alias("_loaded"), *values).withColumn("_next", F.lead("frame").over(w))
+    return rows.where("_next is null or _next <> frame").select("recording", "block", "frame", *values)
 
 
 def clean_name(name: Column | str) -> Column:

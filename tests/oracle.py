@@ -7,6 +7,7 @@ import os
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
@@ -18,8 +19,10 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def plain(v):
-    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
+    if isinstance(v, float) and math.isnan(v):
+        return "NaN"  # not the same as null
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
@@ -33,18 +36,20 @@ def plain(v):
     return str(v)
 
 
-def rows(df: pd.DataFrame) -> list[tuple]:
-    cols = sorted(df.columns)
-    return sorted((tuple(plain(v) for v in r) for r in df[cols].itertuples(index=False)), key=repr)
+def rows(t: pa.Table) -> list[tuple]:
+    """Rows as they are: through Arrow, not pandas, which writes NaN for null."""
+    cols = sorted(t.column_names)
+    return sorted(zip(*[[plain(v) for v in t.column(c).to_pylist()] for c in cols]), key=repr)
 
 
 def difference(spark_df, sql: str, con) -> str:
     """Empty if both give the same rows."""
-    a, b = spark_df.toPandas(), con.sql(sql).df()
-    if sorted(a.columns) != sorted(b.columns):
-        return f"columns {sorted(a.columns)} / {sorted(b.columns)}"
-    if len(a) != len(b):
-        return f"rows {len(a)} / {len(b)}"
+    a, b = spark_df.toArrow(), con.sql(sql).arrow()
+    b = b.read_all() if hasattr(b, "read_all") else b
+    if sorted(a.column_names) != sorted(b.column_names):
+        return f"columns {sorted(a.column_names)} / {sorted(b.column_names)}"
+    if a.num_rows != b.num_rows:
+        return f"rows {a.num_rows} / {b.num_rows}"
     x, y = rows(a), rows(b)
     if x != y:
         bad = [(p, q) for p, q in zip(x, y) if p != q]

@@ -56,7 +56,7 @@ def test_one_missing_value_does_not_disable_outliers(spark):
     p[30, 2] = (500, 500)
     rows = [("a", i, [[float(v) for v in c] for c in q], [1.0] * 3) for i, q in enumerate(p)]
     rows[10] = ("a", 10, [None, [10.0, 0.0], [20.0, 0.0]], [1.0] * 3)
-    got = {(r.frame, r.kp) for r in signal.medoid_outliers(signal.keypoints(frames(spark, rows))).where("outlier").collect()}
+    got = {(r.frame, r.kp) for r in signal.medoid_outliers(signal.poses(frames(spark, rows))).where("outlier").collect()}
     assert (30, 2) in got
 
 
@@ -119,10 +119,66 @@ def test_model_recovers_states(spark, tmp_path):
 def test_stream_of_runs(spark, tmp_path):
     for part in ([("a", 0, 1), ("a", 1, 1), ("b", 0, 2)], [("a", 2, 1), ("a", 3, 4), ("b", 1, None), ("b", 2, 2)], [("b", 3, 5), ("a", 4, 4)]):
         results(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    run = lambda: streams.run_to_table(streams.stream_runs(streams.state_stream(spark, str(tmp_path / "in"))), "closed_runs", checkpoint=str(tmp_path / "c"))
+    run = lambda: streams.run_to_table(streams.stream_runs(streams.state_stream(spark, str(tmp_path / "in")), late=0), checkpoint=str(tmp_path / "c"))
     assert {tuple(r) for r in streams.with_state_store(spark, run).collect()} == {("a", 1, 0, 2, 3), ("b", 2, 0, 2, 2)}
 
 
+def stream_parts(rng):
+    """Rows of two recordings, delivered out of order, with repeats and corrections in later files."""
+    from fixtures import T0, T1
+
+    truth = [(r, f, int(f // 7 % 3) if f % 11 else None) for r in "ab" for f in range(10, 130)]
+    parts = [[] for _ in range(5)]
+    for r, f, s in truth:
+        at = min((f - 10) // 24, 4)
+        if rng.random() < 0.2 and at < 4:
+            parts[at].append((r, f, 9, T0))  # wrong at first, corrected in the next file
+            parts[at + 1].append((r, f, s, T1))
+        else:
+            parts[min(at + int(rng.random() < 0.2), 4)].append((r, f, s, T0))  # some come a file late
+            if rng.random() < 0.1:
+                parts[4].append((r, f, 8, None))  # an older version, very late
+    for p in parts:
+        rng.shuffle(p)
+    return truth, parts
+
+
+def test_streams_do_not_depend_on_batches(spark, tmp_path):
+    truth, parts = stream_parts(np.random.default_rng(4))
+    want, late = set(), 48
+    for rec in "ab":
+        seq = [(f, s) for r, f, s in truth if r == rec and f <= 129 - late and s is not None]
+        runs = []
+        for f, s in seq:
+            if runs and runs[-1][1] == s:
+                runs[-1][3:] = [f, runs[-1][4] + 1]
+            else:
+                runs.append([rec, s, f, f, 1])
+        want |= {tuple(x) for x in runs[:-1]}
+    for name, files in (("many", parts), ("one", [sum(parts, [])])):
+        for i, part in enumerate(files):
+            results(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        run = lambda: streams.run_to_table(streams.stream_runs(streams.state_stream(spark, str(tmp_path / name)), late), checkpoint=str(tmp_path / f"c_{name}"))  # noqa: B023, E731
+        assert {tuple(r) for r in streams.with_state_store(spark, run).collect()} == want
+
+
+def test_stream_filter_over_batches_of_any_size(spark, tmp_path):
+    h = model.Hyper(states=3, lags=3)
+    p = model.initial(h, 1, 1)
+    x = np.random.default_rng(3).normal(size=(12, 1))
+    a, _ = model.forward(p, model.log_likelihoods(p, x))
+    schema = "recording string, frame bigint, x array<double>, loaded_at timestamp"
+    for sizes in ((1, 2, 1, 5, 3), (12,)):
+        folder, at = str(tmp_path / f"in{len(sizes)}"), 0
+        for n in sizes:
+            spark.createDataFrame([("r", i, [float(v) for v in x[i]], None) for i in range(at, at + n)], schema).coalesce(1).write.mode("append").parquet(folder)
+            at += n
+        run = lambda: streams.run_to_table(streams.stream_filter(streams.state_stream(spark, folder), p, late=0))  # noqa: B023, E731
+        got = sorted(tuple(r) for r in streams.with_state_store(spark, run).collect())
+        assert [(f, s) for _, f, s, _ in got] == [(i + 3, int(a[i].argmax())) for i in range(9)]
+        assert np.allclose([q for *_, q in got], a.max(1))
+
+
 def test_clustering():
     from gaitloom.operators.clustering import leaf_order, linkage
 
@@ -194,7 +250,7 @@ def test_stream_filter_takes_the_latest_row_of_a_frame(spark, tmp_path):
     got = []
     for k, rows in enumerate((once, once + again)):
         spark.createDataFrame(rows, "recording string, frame bigint, x array<double>, loaded_at timestamp").coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
-        run = lambda: streams.run_to_table(streams.stream_filter(streams.state_stream(spark, str(tmp_path / f"in{k}")), model.initial(h, 1, 1)), f"filtered_{k}")  # noqa: B023, E731
+        run = lambda: streams.run_to_table(streams.stream_filter(streams.state_stream(spark, str(tmp_path / f"in{k}")), model.initial(h, 1, 1), late=0))  # noqa: B023, E731
         got.append(sorted(tuple(r) for r in streams.with_state_store(spark, run).collect()))
     assert got[0] == got[1] and len(got[0]) == 5
 
