@@ -3,8 +3,10 @@
 A summary is a table of (group..., bin, n): how often each value occurs per group. Values become
 bins of relative width 2 * ``error`` (exact for ``error`` 0), so a summary has a bounded number of
 rows per group whatever the number of values, and summaries of separate days or portions are
-combined by adding counts. Percentiles are read from it by cumulative frequencies: bins are ranged
-into segments, running sums inside a segment start from the sum of the segments before it.
+combined by adding counts. Percentiles are read from it by cumulative frequencies: the counts are
+sorted by range over the whole cluster, running sums inside a range start from the sum of the
+ranges before it, and the first value that reaches a rank is taken. Ranges follow the data (Spark
+samples their bounds), so values that crowd together do not end up in one task.
 """
 
 from __future__ import annotations
@@ -15,12 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaitloom.llm.runs import collapse_runs
+from gaitloom.session import durable
 from gaitloom.tables import recording_index
 
 #: Values nearer to zero than this share the bin of zero.
 TINY = 1e-9
-#: Bins per segment of the cumulative pass.
-SEGMENT = 256
 
 
 def bin_of(value: Column, error: float) -> Column:
@@ -55,13 +56,11 @@ def merge(summaries: list[DataFrame], by: list[str]) -> DataFrame:
 def percentiles(summary: DataFrame, by: list[str], probs: list[float], error: float = 0.0) -> DataFrame:
     """by..., n and one column per probability (p50 for 0.5): the first value whose rank reaches prob * n.
 
-    The result is a value of the data (error 0) or within ``error`` of one (relative). Segments keep
-    every window small: with an error there are at most a few hundred thousand bins per group.
+    The result is a value of the data (error 0) or within ``error`` of one (relative). The sorted
+    counts are written once, as the ranges must not differ between the two uses of them.
     """
     key = [F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in by]
-    order = F.col("bin").cast("double")
-    seg = F.floor(order / SEGMENT)
-    rows = summary.withColumn("_seg", seg)
+    rows = durable(summary.repartitionByRange(*by, "bin").withColumn("_seg", F.spark_partition_id()))
     totals = rows.groupBy(*by, "_seg").agg(F.sum("n").alias("_n"))
     w = Window.partitionBy(*key).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_seg").alias("_s"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_below"), F.sum("_n").over(Window.partitionBy(*key)).alias("_total"))
