@@ -1,17 +1,20 @@
 """Texts cut off by field limits or in transfer (problem 9).
 
-Evidence, all of it counted over the whole corpus of different texts:
-
-* vocabulary trie: the final token is no known word but a proper prefix of known words;
-* continuation: the final words occur elsewhere, and there a sentence hardly ever ends after them
-  (the longest context seen often enough decides);
-* length: the source has a length, in characters or bytes, at which its texts pile up;
-* remains: half a character, entity or tag, or a mark or link text that the source put behind the cut.
-
-Plan. Texts are tokenised in Arrow batches; contexts are 64-bit rolling hashes. Only contexts whose
-last two tokens may end some suspect text are counted: a bitmap of fixed size over hash buckets tells
-(what it lets through in excess costs work, not exactness). Counts are added inside a batch, then
-inside a task, before they are shuffled. The trie is a table of prefixes with the words below them.
+Decided by, in this order, all of it counted over the whole corpus of different texts:
+
+* remains: half a character, entity or tag, or a link text that the source put behind the cut;
+* vocabulary trie: the final token is no known word but a proper prefix of known words ('word');
+* length: the text does not end, at the very length, in characters or bytes, at which its source's
+  texts pile up; the final token may then be a whole word by chance ('limit');
+* continuation: away from any limit, the final words occur elsewhere, and there a sentence hardly
+  ever ends after them, the longest context seen often enough deciding ('sentence').
+
+Plan. ``documents`` is read twice: for one narrow row per document (hashes and lengths, no text) and for
+the different texts, both written once. Texts are tokenised in Arrow batches; contexts are 64-bit
+rolling hashes. Only contexts whose last two tokens may end some suspect text are counted: a bitmap
+over hash buckets, of a size that follows the suspects up to a fixed bound, tells (what it lets
+through in excess costs work, not exactness). Counts are added inside a batch, then inside a task,
+before they are shuffled. The trie is a table of prefixes with the words below them.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -37,8 +41,8 @@ SEEN, SEEN_ONE = 3, 30
 ENDS, ENDS_ONE = 0.2, 0.03
 #: A length is a limit if so many texts have it, and so large a share of those up to WINDOW shorter.
 PILE, PILE_SHARE, WINDOW = 4, 0.4, 30
-#: Hash buckets of a bitmap (a power of two): at most so many numbers reach the driver and go out to the tasks.
-BUCKETS = 1 << 22
+#: Hash buckets of a bitmap (powers of two), at least and at most: at most 8 MB reach the driver and go out to the tasks.
+BUCKETS = 1 << 16, 1 << 26
 #: What sources put behind a cut, and beginnings of entities.
 LINKS = ["read more", "show all", "show more", "see more", "view more", "continue reading", "more", "mehr", "mehr lesen", "weiterlesen", "alles anzeigen", "lire la suite", "voir plus", "afficher plus", "plus", "leer más", "ver más", "mostrar más", "más", "続きを読む", "もっと見る", "すべて表示"]
 BARE_LINKS = [x for x in LINKS if " " in x or x in ("weiterlesen", "続きを読む", "もっと見る", "すべて表示")]
@@ -163,8 +167,9 @@ def _evidence(asked: list[np.ndarray]):
             follows = np.r_[mark[1:], False] & ~final
             use = ~mark & ~first
             for k in range(ORDER):
-                key = hashes[:, min(k, 1)] % np.uint64(BUCKETS)
-                at = np.flatnonzero(use & asked[min(k, 1)][key])
+                bits = asked[min(k, 1)]
+                key = hashes[:, min(k, 1)] & np.uint64(8 * len(bits) - 1)
+                at = np.flatnonzero(use & (bits[key >> np.uint64(3)] >> (key & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
                 if not len(at):
                     continue
                 g, where, n = np.unique(hashes[at, k], return_inverse=True, return_counts=True)
@@ -174,39 +179,57 @@ def _evidence(asked: list[np.ndarray]):
     return run
 
 
-def _marked(suspects: DataFrame, order: int) -> np.ndarray:
-    """Bitmap of the hash buckets of the suspects' last ``order`` tokens: of fixed size, however many there are."""
-    h = F.get("h", F.lit(order - 1))
-    got = suspects.select(h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).where("b is not null").distinct().toPandas()["b"].to_numpy()
-    bits = np.zeros(BUCKETS, bool)
-    bits[got] = True
-    return bits
+def _marked(suspects: DataFrame, order: int, buckets: int) -> np.ndarray:
+    """Bitmap, 8 buckets a byte, of the hash buckets of the suspects' last ``order`` tokens; packed by the tasks."""
 
+    def pack(g: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(BUCKETS[0], np.uint8)
+        bits[g["low"].to_numpy()] = 1
+        return pd.DataFrame({"part": [g["part"].iloc[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-def limits_of(documents: DataFrame) -> DataFrame:
-    """(source, unit, limit): lengths at which a source's different texts pile up. Copies of a text count once."""
-    texts = documents.where("text <> ''").select("source", F.xxhash64("text"), F.length("text").alias("_c"), F.octet_length("text").alias("_b")).distinct()
-    sizes = texts.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("_c").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("_b").alias("size")))).alias("z"))
+    b = F.get("h", F.lit(order - 1)).bitwiseAND(F.lit(buckets - 1))
+    low = suspects.select(F.floor(b / BUCKETS[0]).cast("int").alias("part"), (b % BUCKETS[0]).cast("int").alias("low")).where("low is not null").distinct()
+    out = np.zeros(buckets // 8, np.uint8)
+    width = BUCKETS[0] // 8
+    for r in low.groupBy("part").applyInPandas(pack, "part int, bits binary").collect():  # at most BUCKETS[1] / 8 bytes
+        out[r.part * width : (r.part + 1) * width] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
+def _narrow(documents: DataFrame, *keys: str) -> DataFrame:
+    """``keys``, source, text_id, chars, bytes of every document with a text, empty or not."""
+    return documents.where("text is not null").select(*keys, "source", F.xxhash64("text").alias("text_id"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
+
+
+def _limits(docs: DataFrame) -> DataFrame:
+    texts = docs.where("bytes > 0").select("source", "text_id", "chars", "bytes").distinct()
+    sizes = texts.select("source", F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("size")) for u in ("chars", "bytes")])).alias("z"))
     per = sizes.groupBy("source", "z.unit", "z.size").agg(F.count(F.lit(1)).alias("n"))
     below = Window.partitionBy("source", "unit").orderBy("size").rangeBetween(-WINDOW, -1)  # one row per source and length
     around = per.withColumn("_below", F.coalesce(F.sum("n").over(below), F.lit(0)))
     return around.where((F.col("n") >= PILE) & (F.col("n") >= PILE_SHARE * F.col("_below"))).select("source", "unit", F.col("size").alias("limit"))
 
 
+def limits_of(documents: DataFrame) -> DataFrame:
+    """(source, unit, limit): lengths at which a source's different texts pile up. Copies of a text count once."""
+    return _limits(_narrow(documents))
+
+
 def truncated(documents: DataFrame) -> DataFrame:
     """(doc_id, source, reason) of every document whose text was cut.
 
-    reason: 'remains' (half a character, entity or tag), 'link', 'word' (unknown proper prefix of
-    known words), 'sentence' (its last words always go on), 'limit' (no final mark at the very length
-    at which the source's texts pile up). Texts that close with a final mark, that equal another
+    reason, the first that holds: 'remains' (half a character, entity or tag), 'link', 'word' (unknown
+    proper prefix of known words), 'limit' (no final mark at the very length at which the source's
+    texts pile up), 'sentence' (its last words always go on). Texts that close with a final mark, that equal another
     document's title, or are null or empty are not cut. Repeated texts get one verdict. Null sources
     form a source of their own; rows without doc_id are left out; an empty table gives no rows; extra
     columns are ignored.
     """
-    docs = documents.where("doc_id is not null and text is not null").select("doc_id", "source", "text", F.xxhash64("text").alias("text_id"))
-    texts = docs.groupBy("text_id").agg(F.min("text").alias("text"))
+    docs = durable(_narrow(documents.where("doc_id is not null"), "doc_id"))
+    texts = durable(documents.where("doc_id is not null and text <> ''").groupBy(F.xxhash64("text").alias("text_id")).agg(F.min("text").alias("text")))
     sus = durable(texts.mapInArrow(_suspects, "text_id bigint, broken boolean, link boolean, ellipsis boolean, ended boolean, word string, h array<bigint>"))
-    found = texts.select("text").mapInArrow(_evidence([_marked(sus, 1), _marked(sus, 2)]), "k int, g bigint, word string, n bigint, ends bigint, closes bigint")
+    buckets = min(max(1 << (16 * sus.count()).bit_length(), BUCKETS[0]), BUCKETS[1])
+    found = texts.select("text").mapInArrow(_evidence([_marked(sus, n, buckets) for n in (1, 2)]), "k int, g bigint, word string, n bigint, ends bigint, closes bigint")
     counts = found.groupBy("k", "g", "word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.sum("closes").alias("closes"))
     counts = durable(counts.where((F.col("k") == 0) | (F.col("n") > 1)))  # a context seen once is the suspect's own
     wanted = sus.select("text_id", F.posexplode("h").alias("k", "g")).select("text_id", (F.col("k") + 1).alias("k"), "g")
@@ -227,13 +250,13 @@ def truncated(documents: DataFrame) -> DataFrame:
     goes_on = F.col("b.ends") <= F.col("b.n") * F.when(F.col("b.k") == 1, ENDS_ONE).otherwise(ENDS)
     word = F.col("_w").isNotNull() & (F.coalesce("pair_seen", F.lit(0)) == 0)
     verdict = verdict.select("text_id", "broken", "link", "ellipsis", "ended", F.coalesce(goes_on, F.lit(False)).alias("goes_on"), word.alias("half"))
-    limits = limits_of(docs)
+    limits = _limits(docs)
     hit = docs.join(verdict, "text_id")
-    sizes = hit.select("doc_id", "source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length("text").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("size")))).alias("z"))
+    sizes = hit.where("not ended").select("doc_id", "source", F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("size")) for u in ("chars", "bytes")])).alias("z"))
     at = sizes.join(limits, sizes.source.eqNullSafe(limits.source) & (F.col("z.unit") == F.col("unit")) & (F.col("z.size") <= F.col("limit")) & (F.col("z.size") >= F.col("limit") - 1)).select(F.col("doc_id").alias("_d")).distinct()
     hit = hit.join(at, F.col("doc_id") == F.col("_d"), "left").withColumn("full", F.col("_d").isNotNull())
     reason = (
-        F.when(F.col("broken"), "remains").when(F.col("ended"), F.lit(None)).when(F.col("link"), "link").when(F.col("half"), "word").when(F.col("goes_on"), "sentence").when(F.col("full"), "limit")
+        F.when(F.col("broken"), "remains").when(F.col("ended"), F.lit(None)).when(F.col("link"), "link").when(F.col("half"), "word").when(F.col("full"), "limit").when(F.col("goes_on"), "sentence")
     )
     return hit.select("doc_id", "source", reason.alias("reason")).where("reason is not null").dropDuplicates(["doc_id"])
 
