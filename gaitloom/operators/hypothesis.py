@@ -54,51 +54,75 @@ def fdr(p: DataFrame, by: list[str], column: str = "p", tie: list[str] | None =
     return raw.withColumn("p_adj", F.least(F.min("_q").over(back), F.lit(1.0))).drop("_q", "_r")
 
 
-def permutation_test(ranks: DataFrame, n_perm: int = 10_000, seed: int = 42) -> DataFrame:
+def permutation_test(ranks: DataFrame, n_perm: int = 10_000, seed: int = 42, chunk: int = 1000, block: int = 20_000) -> DataFrame:
     """Per syllable the Kruskal-Wallis H, its permutation p, and per pair Dunn's z and p (rows with a, b).
 
-    Recordings are permuted over the groups; all syllables share the permutations of a seed. One
-    syllable's values over the study's recordings go to one task: their number is that of the
-    recordings in the comparison table.
+    Recordings are permuted over the groups, over all of them for H and over those of a pair for z;
+    all syllables share a permutation, so one matrix product serves them all. A task holds
+    ``block`` recordings and ``chunk`` permutations, which it draws from the seed, and returns sums
+    per group; the sums of the blocks are added, compared and counted. What reaches the driver is
+    one row per group and label. p is (hits + 1) / n_perm, equal statistics being no hit.
     """
+    spark = ranks.sparkSession
     schema = "syllable int, a string, b string, statistic double, p double"
-
-    def test(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["group", "name"], kind="stable")
-        rk, label = g["rk"].to_numpy(), g["group"].to_numpy()
-        names, at = np.unique(label, return_inverse=True)
-        n = len(rk)
-        t = np.unique(rk, return_counts=True)[1]
-        tie = float((t.astype(float) ** 3 - t).sum())
-        size = np.bincount(at).astype(float)
-        rnd = np.random.RandomState(seed)
-        onehot = np.eye(len(names))[at]
-
-        def h(sums):
-            raw = 12.0 / (n * (n + 1)) * (sums**2 / size).sum(-1) - 3 * (n + 1)
-            c = 1 - tie / (n**3 - n)
-            return raw / c if c > 0 else raw * 0
-
-        real = h(rk @ onehot)
-        null = np.concatenate([h(np.stack([rnd.permutation(rk) for _ in range(min(500, n_perm - i))]) @ onehot) for i in range(0, n_perm, 500)])
-        s = int(g["syllable"].iloc[0])
-        rows = [(s, None, None, float(real), float(((null > real).sum() + 1) / n_perm))]
-        a_term = n * (n + 1) / 12.0 - tie / (12.0 * (n - 1)) if n > 1 else 0.0
-        for i in range(len(names)):
-            for j in range(i + 1, len(names)):
-                both = rk[(at == i) | (at == j)]
-                ni, nj = int(size[i]), int(size[j])
-                scale = np.sqrt(a_term * (1 / ni + 1 / nj)) or np.inf
-                z = abs(rk[at == i].mean() - rk[at == j].mean()) / scale
-                rnd2 = np.random.RandomState(seed)
-                hits = 0
-                for k in range(0, n_perm, 500):
-                    p = np.stack([rnd2.permutation(both) for _ in range(min(500, n_perm - k))])
-                    hits += int((np.abs(p[:, :ni].mean(1) - p[:, ni:].mean(1)) / scale > z).sum())
-                rows.append((s, names[i], names[j], float(z), (hits + 1) / n_perm))
-        return pd.DataFrame(rows, columns=["syllable", "a", "b", "statistic", "p"])
-
-    return spread(ranks, "syllable").groupBy("syllable").applyInPandas(test, schema)
+    real = ranks.groupBy("group", "syllable").agg(F.sum("rk").alias("r"), F.count(F.lit(1)).alias("m")).toPandas()  # groups x labels
+    if real.empty:
+        return spark.createDataFrame([], schema)
+    names, labels = sorted(real["group"].unique()), sorted(int(v) for v in real["syllable"].unique())
+    sums = real.pivot(index="group", columns="syllable", values="r").loc[names, labels].fillna(0.0).to_numpy(float)
+    size = real.groupby("group")["m"].max().loc[names].to_numpy(float)
+    n, start = int(size.sum()), np.r_[0, np.cumsum(size)[:-1]].astype(int)
+    ties = {r.syllable: r.ties or 0.0 for r in tie_terms(ranks).collect()}
+    tie = np.array([ties[k] for k in labels]) * 12 * max(n - 1, 0)
+    tests = [(-1, -1), *[(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]]
+
+    def members(t: int) -> np.ndarray:
+        return np.arange(len(names)) if t == 0 else np.array(tests[t])
+
+    def statistic(t: int, per: np.ndarray) -> np.ndarray:
+        """H or z from sums per group: (..., groups of the test, labels)."""
+        m = size[members(t)][:, None]
+        if t == 0:
+            c = 1 - tie / max(n**3 - n, 1)
+            return np.where(c > 0, (12.0 / (n * (n + 1)) * (per**2 / m).sum(-2) - 3 * (n + 1)) / np.where(c > 0, c, 1), 0)
+        scale = np.sqrt((n * (n + 1) / 12.0 - tie / (12.0 * max(n - 1, 1))) * (1 / m).sum())
+        return np.abs(per[..., 0, :] / m[0] - per[..., 1, :] / m[1]) / np.where(scale > 0, scale, np.inf)
+
+    def draw(key, g: pd.DataFrame) -> pd.DataFrame:
+        t, c, _ = (int(k) for k in key)
+        v, k = np.array(g["v"].tolist(), float).reshape(len(g), len(labels)), g["k"].to_numpy()
+        own = members(t)
+        owner, rnd = np.repeat(np.arange(len(own)), size[own].astype(int)), np.random.RandomState([seed, c])
+        perms, out = min(chunk, n_perm - c * chunk), []
+        for i in range(0, perms, 32):
+            who = np.stack([owner[rnd.permutation(len(owner))[k]] for _ in range(min(32, perms - i))])
+            hot = (who[:, None, :] == np.arange(len(own))[:, None]).reshape(-1, len(k)).astype(float)
+            out.append(hot @ v)
+        return pd.DataFrame({"test": [t], "chunk": [c], "sums": [np.concatenate(out).tobytes()]})
+
+    def count(key, g: pd.DataFrame) -> pd.DataFrame:
+        t = int(key[0])
+        per = sum(np.frombuffer(bytes(x), float) for x in g["sums"]).reshape(-1, len(members(t)), len(labels))
+        hits = (statistic(t, per) > statistic(t, sums[members(t)]) * (1 + 1e-9) + 1e-12).sum(0)
+        return pd.DataFrame({"test": t, "label": np.arange(len(labels)), "hits": hits})
+
+    order = Window.orderBy("group", "name")  # two names a recording, nothing else
+    number = ranks.select("group", "name").distinct().withColumn("i", F.row_number().over(order) - 1)
+    wide = ranks.groupBy("group", "name").agg(F.map_from_entries(F.collect_list(F.struct("syllable", "rk"))).alias("m"))  # one entry a label
+    wide = wide.select("group", "name", F.array(*[F.coalesce(F.try_element_at("m", F.lit(k)), F.lit(0.0)) for k in labels]).alias("v")).join(number, ["group", "name"])
+    g = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("group")) - 1
+    base = F.get(F.array(*[F.lit(int(x)) for x in start]), g.cast("int"))
+    each = []
+    for t, (i, j) in enumerate(tests):
+        k = F.col("i") if t == 0 else F.col("i") - base + F.when(g == j, F.lit(int(size[i]))).otherwise(0)
+        inside = F.lit(True) if t == 0 else (g == i) | (g == j)
+        each.append(F.when(inside, F.struct(F.lit(t).alias("test"), k.cast("bigint").alias("k"))))
+    parts = wide.select("v", F.explode(F.filter(F.array(*each), lambda e: e.isNotNull())).alias("e")).select("v", "e.test", "e.k", F.floor(F.col("e.k") / block).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(-(-n_perm // chunk) - 1))).alias("chunk"))
+    drawn = spread(parts, "test", "chunk", "block").groupBy("test", "chunk", "block").applyInPandas(draw, "test int, chunk int, sums binary")
+    hits = spread(drawn, "test", "chunk").groupBy("test", "chunk").applyInPandas(count, "test int, label int, hits bigint").groupBy("test", "label").agg(F.sum("hits").alias("hits"))
+    known = [(t, s, labels[s], None if t == 0 else names[i], None if t == 0 else names[j], float(v)) for t, (i, j) in enumerate(tests) for s, v in enumerate(statistic(t, sums[members(t)]))]
+    known = spark.createDataFrame(known, "test int, label int, syllable int, a string, b string, statistic double")  # labels x pairs of groups
+    return known.join(hits, ["test", "label"]).select("syllable", "a", "b", "statistic", ((F.col("hits") + 1) / n_perm).alias("p"))
 
 
 def significant_pairs(tests: DataFrame, threshold: float = 0.05) -> DataFrame:

@@ -214,6 +214,30 @@ def test_melt_holds_every_label(spark, sf, duck):
     assert len(got) > 3 and got <= labels and got == {f"s{r.syllable}" for r in reference.QUERIES["pivot_stats"](spark, sf).select("syllable").distinct().collect()}
 
 
+def test_permutations_by_brute_force_and_blocks(spark):
+    rng = np.random.default_rng(8)
+    group = np.array(["a"] * 7 + ["b"] * 9 + ["c"] * 5)
+    value = np.round(rng.normal(size=(21, 3)) + (group == "b")[:, None] * np.array([1.5, 0.0, 0.4]), 1)
+    rows = [(g, f"r{i}", s, float(value[i, s])) for i, g in enumerate(group) for s in range(3)]
+    r = hypothesis.average_ranks(spark.createDataFrame(rows, "group string, name string, syllable int, value double"))
+    runs = [{(x.syllable, x.a, x.b): (x.statistic, x.p) for x in hypothesis.permutation_test(r, n_perm=2000, chunk=c, block=b).collect()} for c, b in ((500, 20_000), (500, 4))]
+    assert len(runs[0]) == 12 and all(np.allclose(runs[0][k], runs[1][k]) for k in runs[0])  # blocks of recordings change nothing
+    h, z = {x.syllable: x.h for x in hypothesis.kruskal(r).collect()}, {(x.syllable, x.a, x.b): x.z for x in hypothesis.dunn(r).collect()}
+    rk = {(x.name, x.syllable): x.rk for x in r.collect()}
+    for s in range(3):
+        ranks = np.array([rk[f"r{i}", s] for i in range(21)])
+        assert np.isclose(runs[0][s, None, None][0], h[s])
+        ssb = lambda v, g: sum(v[g == q].sum() ** 2 / (g == q).sum() for q in np.unique(g))
+        null = np.array([ssb(rng.permutation(ranks), group) for _ in range(4000)])
+        assert abs(runs[0][s, None, None][1] - (null > ssb(ranks, group) + 1e-9).mean()) < 0.04
+        for a, b in (("a", "b"), ("a", "c"), ("b", "c")):
+            assert np.isclose(runs[0][s, a, b][0], z[s, a, b])
+            both, own = ranks[(group == a) | (group == b)], group[(group == a) | (group == b)]
+            gap = lambda v: abs(v[own == a].mean() - v[own == b].mean())  # noqa: B023, E731
+            null = np.array([gap(rng.permutation(both)) for _ in range(4000)])
+            assert abs(runs[0][s, a, b][1] - (null > gap(both) + 1e-9).mean()) < 0.04
+
+
 def test_queries_permute_ten_thousand_times(spark, sf):
     from gaitloom.plans import reference
 
