@@ -22,13 +22,15 @@ def entries(results: DataFrame, ahead: int) -> DataFrame:
     Null syllables are left out, equal neighbours are one entry whatever lies between their frames.
     """
     rows = in_force(by_block(results.select("recording", "frame", "loaded_at", "syllable")), ["syllable"]).where("syllable is not null")
-    blocks = rows.groupBy("recording", "block").agg(F.array_sort(F.collect_list(F.struct("frame", "syllable"))).alias("r"))  # at most BLOCK rows
-    blocks = blocks.select("recording", "block", F.transform("r", lambda x: x["syllable"]).alias("s"))
-    blocks = blocks.withColumn("s", F.filter("s", lambda x, i: (i == 0) | (x != F.element_at("s", F.greatest(i, F.lit(1))))))
-    # windows see one narrow row per block, never the block's entries
+    w = Window.partitionBy("recording", "block").orderBy("frame")
+    rows = rows.withColumn("_before", F.lag("syllable").over(w)).where("_before is null or _before <> syllable").withColumn("_i", F.row_number().over(w))
+    entry, by = F.struct("frame", "syllable"), ["recording", "block"]
+    syllables = lambda r: F.transform(r, lambda x: x["syllable"])
+    blocks = rows.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("r")).select(*by, syllables("r").alias("s"))  # at most BLOCK rows
+    # windows over recordings see one narrow row per block, never the block's entries
     order = Window.partitionBy("recording").orderBy("block")
-    ends = blocks.where(F.size("s") > 0).select("recording", "block", F.element_at("s", 1).alias("first"), F.element_at("s", -1).alias("last"), F.slice("s", 1, ahead + 1).alias("head"), F.size("s").alias("size"))
-    ends = ends.withColumn("again", F.coalesce(F.col("first") == F.lag("last").over(order), F.lit(False)))  # goes on from the block before
+    ends = rows.groupBy(*by).agg(F.min_by("syllable", "frame").alias("first"), F.max_by("syllable", "frame").alias("last"), F.array_sort(F.collect_list(F.when(F.col("_i") <= ahead + 1, entry))).alias("head"), F.count(F.lit(1)).alias("size"))
+    ends = ends.withColumns({"again": F.coalesce(F.col("first") == F.lag("last").over(order), F.lit(False)), "head": syllables("head")})  # again: goes on from the block before
     ends = ends.where(~F.col("again") | (F.col("size") > 1)).withColumn("head", F.when(F.col("again"), F.slice("head", 2, ahead)).otherwise(F.slice("head", 1, ahead)))
     heads = [F.coalesce(F.lead("head", i).over(order), F.array().cast("array<int>")) for i in range(1, ahead + 1)]
     ends = ends.select(F.col("recording").alias("_r"), F.col("block").alias("_b"), "again", F.slice(F.concat(*heads), 1, ahead).alias("after"))
