@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaitloom.operators.signal import grouped_median
+from gaitloom.operators.signal import body_frame, grouped_median
 from gaitloom.session import durable
 
 
@@ -37,6 +37,52 @@ def egocentric(instances: DataFrame, points: DataFrame, onsets: DataFrame, pre:
     return j.select("recording", "syllable", "start", "rel", "kp", (F.cos(h) * dx + F.sin(h) * dy).alias("x"), (F.cos(h) * dy - F.sin(h) * dx).alias("y"))
 
 
+def egocentric_poses(instances: DataFrame, states: DataFrame, rows: DataFrame, pre: int, post: int, filter_size: int = 9) -> DataFrame:
+    """Keypoint trajectories around each instance in the frame of its onset: recording, syllable, start, rel, x, y (arrays).
+
+    ``states``: recording, frame, pos, n, cx, cy, heading; centroid and heading are median-filtered
+    first. ``rows``: recording, frame, x, y (arrays over keypoints, as ``signal.poses``). Frames without a pose give no row,
+    missing keypoints stay null.
+    """
+    smooth = body_frame(states, filter_size)
+    onsets = smooth.select("recording", F.col("pos").alias("start"), "fx", "fy", "fh")
+    placed = states.select("recording", "frame", "pos").join(rows.select("recording", "frame", "x", "y"), ["recording", "frame"]).drop("frame")
+    j = windows(instances, pre, post).join(onsets, ["recording", "start"]).join(placed, ["recording", "pos"])
+    cos, sin = F.cos("fh"), F.sin("fh")
+    turn = lambda a, b: F.transform(F.arrays_zip("x", "y"), lambda z: a(z["x"] - F.col("fx"), z["y"] - F.col("fy")) + b(z["x"] - F.col("fx"), z["y"] - F.col("fy")))
+    return j.select(
+        "recording", "syllable", "start", "rel",
+        turn(lambda dx, dy: cos * dx, lambda dx, dy: sin * dy).alias("x"), turn(lambda dx, dy: cos * dy, lambda dx, dy: -sin * dx).alias("y"),
+    )
+
+
+def per_keypoint(trajectories: DataFrame) -> DataFrame:
+    """Trajectories of :func:`egocentric_poses` with one row per keypoint: recording, syllable, start, rel, kp, x, y; missing ones left out."""
+    z = trajectories.select("recording", "syllable", "start", "rel", F.posexplode(F.arrays_zip("x", "y")).alias("kp", "z"))
+    return z.select("recording", "syllable", "start", "rel", "kp", "z.x", "z.y").where("x is not null and y is not null")
+
+
+def whole_vectors(trajectories: DataFrame, pre: int, post: int, keypoints: int) -> DataFrame:
+    """One vector per instance: id (hash of recording and start), label, recording, start, v.
+
+    v runs over time, keypoints and both axes. A cell that is missing takes the instance's nearest
+    earlier value of that keypoint, else the nearest later one; an instance that lacks a keypoint
+    throughout has 0 there, the place of the centroid.
+    """
+    per = trajectories.groupBy("recording", "syllable", "start").agg(F.map_from_entries(F.collect_list(F.struct("rel", F.struct("x", "y")))).alias("m"))  # pre + post entries
+    rel, ids = F.sequence(F.lit(-pre), F.lit(post - 1)), F.sequence(F.lit(0), F.lit(keypoints - 1))
+
+    def line(k, axis):
+        raw = F.transform(rel, lambda t: F.get(F.try_element_at("m", t)[axis], k))
+        none = F.lit(None).cast("double")
+        ahead = F.aggregate(raw, F.array().cast("array<double>"), lambda s, v: F.concat(s, F.array(F.coalesce(v, F.when(F.size(s) > 0, F.element_at(s, -1)).otherwise(none)))))
+        first = F.coalesce(F.get(F.filter(raw, lambda v: v.isNotNull()), F.lit(0)), F.lit(0.0))
+        return F.transform(ahead, lambda v: F.coalesce(v, first))
+
+    v = F.flatten(F.transform(ids, lambda k: F.concat(line(k, "x"), line(k, "y"))))
+    return per.select(F.xxhash64("recording", "start").alias("id"), F.col("syllable").alias("label"), "recording", "start", v.alias("v"))
+
+
 def typical(trajectories: DataFrame) -> DataFrame:
     """Median trajectory per syllable: syllable, rel, kp, x, y. Exact, and no syllable is gathered in one task."""
     by = ["syllable", "rel", "kp"]
@@ -68,8 +114,8 @@ def _nearest(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def density_exemplars(vectors: DataFrame, neighbours: int = 50, dims: int = 4, sample: int = 50_000, seed: int = 0, block: int = 8192) -> DataFrame:
-    """Per label the vector that is densest among its own against all: label, id, local, overall.
+def _densities(vectors: DataFrame, neighbours: int, dims: int, sample: int, seed: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(points: id, label, q, overall; scored: label, id, local, overall of every vector).
 
     ``vectors``: id (unique), label, v. Directions and the neighbours among all come from at most
     ``sample`` vectors drawn by hash, as in the reference; the neighbours among its own from every
@@ -100,5 +146,43 @@ def density_exemplars(vectors: DataFrame, neighbours: int = 50, dims: int = 4, s
     met = ask.cogroup(own).applyInPandas(meet, "id bigint, label int, overall double, near array<double>")
     merged = met.groupBy("id", "label").agg(F.first("overall").alias("overall"), F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, neighbours).alias("near"))
     mean_near = F.aggregate("near", F.lit(0.0), lambda s, v: s + v) / F.size("near")
-    scored = merged.select("id", "label", (1 / F.greatest(mean_near, F.lit(1e-12))).alias("local"), "overall")
+    return points, merged.select("id", "label", (1 / F.greatest(mean_near, F.lit(1e-12))).alias("local"), "overall")
+
+
+def _densest(scored: DataFrame) -> DataFrame:
     return scored.groupBy("label").agg(F.max_by(F.struct("id", "local", "overall"), F.struct(F.round(F.col("local") / F.col("overall"), 9), -F.col("id"))).alias("t")).select("label", "t.id", "t.local", "t.overall")
+
+
+def density_exemplars(vectors: DataFrame, neighbours: int = 50, dims: int = 4, sample: int = 50_000, seed: int = 0, block: int = 8192) -> DataFrame:
+    """Per label the vector that is densest among its own against all: label, id, local, overall. See :func:`_densities`."""
+    return _densest(_densities(vectors, neighbours, dims, sample, seed, block)[1])
+
+
+def density_sample(vectors: DataFrame, n: int = 50, neighbours: int = 50, dims: int = 4, sample: int = 50_000, seed: int = 0, block: int = 8192) -> DataFrame:
+    """Per label the ``n`` vectors nearest to its densest one, itself included: label, id, distance.
+
+    Distances are those in the projection. Ties fall to the smaller id; a label with fewer vectors
+    gives all of them.
+    """
+    points, scored = _densities(vectors, neighbours, dims, sample, seed, block)
+    best = _densest(scored).select(F.col("label").alias("_l"), F.col("id").alias("_id"))
+    best = best.join(points.select(F.col("id").alias("_id"), F.col("q").alias("_q")), "_id")
+    near = points.join(F.broadcast(best), F.col("label").eqNullSafe(F.col("_l")))  # one row per label
+    near = near.select("label", "id", F.sqrt(F.aggregate(F.zip_with("q", "_q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)).alias("distance"), F.pmod("id", F.lit(64)).alias("_salt"))
+    some = near.withColumn("_k", F.row_number().over(Window.partitionBy("label", "_salt").orderBy("distance", "id"))).where(F.col("_k") <= n)  # a label may hold most vectors: nearest within slices first
+    return some.withColumn("_k", F.row_number().over(Window.partitionBy("label").orderBy("distance", "id"))).where(F.col("_k") <= n).select("label", "id", "distance")
+
+
+def typical_dense(trajectories: DataFrame, pre: int, post: int, keypoints: int, n: int = 50, **options) -> DataFrame:
+    """Median trajectory per syllable over the ``n`` instances around its most exemplary one: syllable, rel, kp, x, y.
+
+    Syllables with fewer than ``n`` instances are left out.
+    """
+    vectors = whole_vectors(trajectories, pre, post, keypoints)
+    many = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n).select("label")
+    vectors = durable(vectors.join(many, "label", "left_semi"))
+    chosen = vectors.join(density_sample(vectors.select("id", "label", "v"), n, n, **options).select("id"), "id", "left_semi")
+    long = chosen.select(F.col("label").alias("syllable"), F.posexplode("v").alias("at", "value"))
+    span = pre + post
+    kp, axis, rel = F.floor(F.col("at") / (2 * span)).cast("int"), F.floor(F.col("at") / span) % 2, (F.col("at") % span - pre).cast("int")
+    return long.groupBy("syllable", rel.alias("rel"), kp.alias("kp")).agg(F.median(F.when(axis == 0, F.col("value"))).alias("x"), F.median(F.when(axis == 1, F.col("value"))).alias("y"))  # n instances a syllable

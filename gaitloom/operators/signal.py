@@ -62,6 +62,17 @@ def median_angle(rows: DataFrame, column: str, size: int = 9, out: str = "filter
     return _framed(rows, r, {out: F.atan2(F.percentile(F.sin(a), F.lit(0.5)).over(w), F.percentile(F.cos(a), F.lit(0.5)).over(w))})
 
 
+def body_frame(rows: DataFrame, size: int = 9) -> DataFrame:
+    """Centroid and heading median-filtered over odd ``size`` in one pass, ends reflected: adds fx, fy, fh.
+
+    ``rows``: recording, pos, n, cx, cy, heading. Null headings count as 0, null centroids are left out.
+    """
+    r, a = size // 2, F.coalesce(F.col("heading"), F.lit(0.0))
+    w = course().rowsBetween(-r, r)
+    mid = lambda c: F.percentile(c, F.lit(0.5)).over(w)
+    return _framed(rows, r, {"fx": mid("cx"), "fy": mid("cy"), "fh": F.atan2(mid(F.sin(a)), mid(F.cos(a)))})
+
+
 def filtered_derivative(rows: DataFrame, column: str, k: int, out: str = "derivative") -> DataFrame:
     """Mean of the next k rows less the mean of the k before, both with the row itself over k + 1, reflected ends."""
     w = course()

@@ -671,6 +671,41 @@ def trajectory_similarity(s, d):
     return instances.similarity(instances.typical(_ego(s, d))).withColumn("distance", F.round("distance", 5))
 
 
+def _ego_poses(s, d) -> DataFrame:
+    return instances.egocentric_poses(_eligible(s, d), _states(s, d), _poses(s, d), 5, 15)
+
+
+_EGO_KP = _ELIG.replace("elig as (", "elig as materialized (") + ", " + _taps(-4, 4, "b.cx as x, b.cy as y, coalesce(b.heading, 0) as h") + f""", fil as materialized (select recording, pos, median(x) as fx, median(y) as fy, atan2(median(sin(h)), median(cos(h))) as fh from taps group by 1, 2),
+w as materialized (select *, unnest(range(-5, 15)) as rel from elig), {_P.replace("pts as (", "pts as materialized (")}, rf as materialized (select recording, pos, frame from r),
+at_ as materialized (select w.recording, w.syllable, w.start, w.rel, fx, fy, fh, rf.frame from w join fil o on o.recording = w.recording and o.pos = w.start join rf on rf.recording = w.recording and rf.pos = w.start + w.rel),
+ego as materialized (select a.recording, a.syllable, a.start, a.rel, cast(p.kp as int) as kp, cos(fh) * (p.x - fx) + sin(fh) * (p.y - fy) as x, cos(fh) * (p.y - fy) - sin(fh) * (p.x - fx) as y
+from at_ a join pts p on p.recording = a.recording and p.frame = a.frame where p.x is not null and p.y is not null),
+typ as (select syllable, rel, kp, median(x) as x, median(y) as y from ego group by 1, 2, 3)"""
+
+
+@query(_W + ", " + _EGO_KP + " select recording, syllable, start, rel, kp, round(x, 4) as x, round(y, 4) as y from ego")
+def egocentric_keypoints(s, d):
+    """All keypoints around each instance, in the frame of the filtered centroid and heading at its onset."""
+    return instances.per_keypoint(_ego_poses(s, d)).select("recording", "syllable", "start", "rel", "kp", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query(_W + ", " + _EGO_KP + " select syllable, rel, kp, round(x, 4) as x, round(y, 4) as y from typ")
+def typical_keypoints(s, d):
+    return instances.typical(instances.per_keypoint(_ego_poses(s, d))).select("syllable", "rel", "kp", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query(_W + ", " + _EGO_KP + " select a.syllable as a, b.syllable as b, round(1 - sum(a.x * b.x + a.y * b.y) / sqrt(sum(a.x ** 2 + a.y ** 2) * sum(b.x ** 2 + b.y ** 2)), 5) as distance from typ a join typ b using (rel, kp) group by 1, 2")
+def keypoint_similarity(s, d):
+    return instances.similarity(instances.typical(instances.per_keypoint(_ego_poses(s, d)))).withColumn("distance", F.round("distance", 5))
+
+
+@query()
+def typical_keypoints_dense(s, d):
+    """Typical trajectories over the instances around each syllable's exemplar."""
+    k = read(s, d, "bodyparts").count()  # fixed table
+    return instances.typical_dense(_ego_poses(s, d), 5, 15, k, n=10)
+
+
 @query(_W + ", " + _ELIG + """ select recording, syllable, start, "end" from (select *, row_number() over (partition by syllable order by md5('3-' || recording || '-' || cast(start as varchar)), recording, start) as k from elig) where k <= 4""")
 def random_sample(s, d):
     return instances.draw(_eligible(s, d), ["syllable"], ["recording", "start"], 4, 3)
@@ -812,7 +847,8 @@ def stream_filtering(s, d):
 
 @query()
 def syllable_dendrogram(s, d):
-    return clustering.dendrogram(instances.similarity(instances.typical(_ego(s, d))))
+    """Clustering of the syllables by their typical keypoint trajectories."""
+    return clustering.dendrogram(instances.similarity(instances.typical(instances.per_keypoint(_ego_poses(s, d)))))
 
 
 @query()
