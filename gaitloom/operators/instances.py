@@ -62,6 +62,17 @@ def per_keypoint(trajectories: DataFrame) -> DataFrame:
     return z.select("recording", "syllable", "start", "rel", "kp", "z.x", "z.y").where("x is not null and y is not null")
 
 
+def window_size(trajectories: DataFrame, share: float = 0.9, margin: float = 1.1, block: int = 16) -> DataFrame:
+    """One row, window: side of the square that shows that share of frames, with a margin, in whole blocks.
+
+    A frame counts by its farthest keypoint along either axis, to a hundredth; counts come before the percentile.
+    """
+    far = lambda c: F.array_max(F.transform(c, F.abs))
+    reach = trajectories.select(F.explode(F.array(far("x"), far("y"))).alias("v")).where("v is not null")
+    counts = reach.groupBy(F.round("v", 2).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg((F.ceil(F.percentile("v", F.lit(share), F.col("n")) * margin * 2 / block) * block).cast("int").alias("window"))
+
+
 def whole_vectors(trajectories: DataFrame, pre: int, post: int, keypoints: int) -> DataFrame:
     """One vector per instance: id (hash of recording and start), label, recording, start, v.
 

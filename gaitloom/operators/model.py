@@ -14,7 +14,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaitloom.session import durable, spread
@@ -45,19 +45,10 @@ def segments(rows: DataFrame, size: int) -> DataFrame:
 
 
 def variance_explained(vectors: DataFrame, column: str, dims: int) -> DataFrame:
-    """Cumulative share of variance by component: component, share, cumulative. The covariance is summed in one pass.
+    """Cumulative share of variance by component: component, share, cumulative. See :func:`formatting.pca_fit`."""
+    from gaitloom.operators.formatting import pca_fit
 
-    Only sums of products, dims x dims, reach the driver.
-    """
-    i = F.explode(F.sequence(F.lit(0), F.lit(dims - 1)))
-    long = vectors.where(F.col(column).isNotNull()).select(F.col(column).alias("v")).withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("i"))))
-    sums = long.groupBy("i", "j").agg(F.sum(F.get("v", F.col("i")).cast("double") * F.get("v", F.col("j")).cast("double")).alias("s"), F.avg(F.get("v", F.col("i")).cast("double")).alias("m"), F.count(F.lit(1)).alias("n")).collect()
-    cov, mean, n = np.zeros((dims, dims)), np.zeros(dims), 1
-    for r in sums:
-        cov[r.i, r.j] = cov[r.j, r.i] = r.s
-        mean[r.i], n = r.m, r.n
-    ev = np.maximum(np.linalg.eigvalsh(cov / n - np.outer(mean, mean))[::-1], 0) if sums else np.zeros(0)
-    share = ev / ev.sum() if ev.sum() > 0 else ev
+    share = pca_fit(vectors, column, dims).shares()
     rows = [(k, float(s), float(c)) for k, (s, c) in enumerate(zip(share, np.cumsum(share)))]
     return vectors.sparkSession.createDataFrame(rows, "component int, share double, cumulative double")
 
@@ -379,10 +370,23 @@ def truncate(spark, folder: str, last: int) -> list[int]:
     return gone
 
 
-def relabel_snapshots(spark, folder: str, hyper: Hyper, order: list[int]) -> None:
-    """Renumber the states of every saved snapshot."""
+def relabel_snapshots(spark, folder: str, hyper: Hyper, order: list[int], states: DataFrame | None = None) -> DataFrame | None:
+    """Renumber the states of every saved snapshot and of ``states`` (iter, ..., syllable): state ``order[i]`` becomes i.
+
+    Labels of ``states`` beyond the model's are refused.
+    """
     for i in snapshots(spark, folder):
         save(spark, permute(load(spark, folder, hyper, i), order), folder, i)
+    if states is None:
+        return None
+    new = F.array_position(F.array(*[F.lit(int(o)) for o in order]), F.col("syllable")) - 1
+    known = F.when(F.col("syllable").isNull() | (new >= 0), new.cast("int")).otherwise(F.raise_error(F.concat(F.lit("no state of the model: "), F.col("syllable").cast("string"))).cast("int"))
+    return states.withColumn("syllable", known)
+
+
+def sorted_scores(scores: DataFrame) -> DataFrame:
+    """Models by rising score, for plotting: model, score, standard_error, rank (one row per model)."""
+    return scores.withColumn("rank", F.row_number().over(Window.orderBy("score", "model")) - 1)
 
 
 def kappa_summary(snapshots: DataFrame) -> DataFrame:
@@ -395,12 +399,6 @@ def kappa_summary(snapshots: DataFrame) -> DataFrame:
     return r.groupBy(F.get(part, F.lit(0)).cast("double").alias("kappa"), F.get(part, F.lit(1)).cast("int").alias("iter")).agg(F.median(F.col("end") - F.col("start")).alias("median_duration"))
 
 
-def noise(rows: DataFrame, level: float, seed: int, key: list[str]) -> DataFrame:
-    """x plus uniform noise of -level..level that depends on seed and key only."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])), 1, 8), 16, 10).cast("double") / 2**32
-    return rows.withColumn("x", F.col("x") + (u * 2 - 1) * level)
-
-
 def reconstruct(rows: DataFrame, loadings: np.ndarray, keypoints: int) -> DataFrame:
     """Adds ``pose``: keypoints of a row's latent state ``x`` at centroid ``v`` and heading ``h``.
 

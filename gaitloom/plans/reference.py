@@ -8,10 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaitloom.operators import clustering, graph, hypothesis, instances, kinematics, model, sequence, signal
+from gaitloom.operators import clustering, formatting, graph, hypothesis, instances, kinematics, model, sequence, signal
 from gaitloom.operators.timeline import run_numbers, runs, states
-from gaitloom.sources import sinks
-from gaitloom.sources.loaders import recording_name, reindex
+from gaitloom.sources import sinks, videos
+from gaitloom.sources.loaders import missing_share, recording_name, reindex
 from gaitloom.streaming import streams
 from gaitloom.tables import by_block, in_force, read, recording_index
 
@@ -608,6 +608,45 @@ def longest_prefix_match(s, d):
     return each.join(pre, "p").groupBy("recording").agg(F.max_by("p", F.length("p")).alias("prefix"))
 
 
+_VIDEOS = "vids as (select distinct '/videos/' || v || '.avi' as path, v as video from (select split_part(recording, '_', 1) as v from keys union select split_part(recording, '_', 1) || '_' || split_part(recording, '_', 2) from keys))"
+
+
+@query(f"with keys as (select distinct recording from results where recording is not null), {_VIDEOS} select recording, max_by(path, length(video)) as path from keys join vids on starts_with(recording, video || '_') group by 1")
+def video_match(s, d):
+    """The video that each recording belongs to, by the longest name that begins the recording's."""
+    keys = read(s, d, "results").select("recording").where("recording is not null").distinct()
+    part = F.split("recording", "_")
+    vids = keys.select(F.explode(F.array(F.get(part, F.lit(0)), F.concat_ws("_", F.get(part, F.lit(0)), F.get(part, F.lit(1))))).alias("v")).select(F.concat(F.lit("/videos/"), "v", F.lit(".avi")).alias("path")).distinct()
+    return videos.match_videos(keys, vids, "_")
+
+
+@query("with keys as (select distinct recording from results where recording is not null) select recording from keys where not contains(recording, 'floor')")
+def video_missing(s, d):
+    """Recordings without a video, if only those of the floor rigs were filmed."""
+    keys = read(s, d, "results").select("recording").where("recording is not null").distinct()
+    filmed = keys.where(F.col("recording").contains("floor")).select(F.concat(F.lit("/videos/"), F.col("recording"), F.lit(".mp4")).alias("path"))
+    return videos.without_video(keys, videos.match_videos(keys, filmed, strict=False))
+
+
+@query(f"with {_P} select b.bodypart, round(avg(case when x is null or y is null then 1.0 else 0.0 end), 6) as missing, avg(case when x is null or y is null then 1.0 else 0.0 end) > 0.5 as much from pts p join bodyparts b on b.kp = p.kp group by 1")
+def missing_check(s, d):
+    """Body parts that are missing in more than half of all rows are marked."""
+    return missing_share(_points(s, d).join(read(s, d, "bodyparts"), "kp")).withColumn("missing", F.round("missing", 6))
+
+
+@query("select s.syllable, label, short_description from (select distinct syllable from results) s join syll_info using (syllable)")
+def labelled_syllables(s, d):
+    return read(s, d, "results").select("syllable").distinct().join(read(s, d, "syll_info").select("syllable", "label", "short_description"), "syllable")
+
+
+@query("select syllable, coalesce(label, '') as label, true as shown from syll_info where coalesce(movie_path, '') <> '' union all select syllable, coalesce(label, ''), false from syll_info where coalesce(movie_path, '') = ''")
+def info_with_and_without_movie(s, d):
+    """The label table put together again from the syllables with a movie and those without."""
+    info, movie = read(s, d, "syll_info"), F.coalesce("movie_path", F.lit("")) != ""
+    part = lambda rows, shown: rows.select("syllable", F.coalesce("label", F.lit("")).alias("label"), F.lit(shown).alias("shown"))
+    return part(info.where(movie), True).unionByName(part(info.where(~movie), False))
+
+
 @query(_W + "select distinct recording from r where recording not in (select rec from grp)")
 def index_missing(s, d):
     return _states(s, d).select("recording").distinct().join(_groups(s, d), "recording", "left_anti")
@@ -737,6 +776,16 @@ def regression_calibration(s, d):
     return m.groupBy("kp").agg(F.round(F.regr_slope(e, c), 5).alias("slope"), F.round(F.regr_intercept(e, c), 5).alias("intercept"))
 
 
+@query(_W + ", " + _EGO_KP + """, far as (select unnest([max(abs(x)), max(abs(y))]) as v from ego group by recording, start, rel), win as (select cast(ceil(quantile_cont(round(v, 2), 0.9) * 1.1 * 2 / 16) * 16 as int) as side from far),
+pick as (select recording, syllable, start, "end" from (select *, row_number() over (partition by syllable order by md5('3-' || recording || '-' || cast(start as varchar)), recording, start) as k from elig) where k <= 4)
+select p.recording, p.syllable, p.start, p."end", round(fx, 4) as x, round(fy, 4) as y, round(fh, 4) as heading, side as "window" from pick p join fil f on f.recording = p.recording and f.pos = p.start, win""")
+def grid_manifest(s, d):
+    """What a grid of examples shows: drawn instances, where to crop and how far to turn, and the common window."""
+    few = instances.draw(_eligible(s, d), ["syllable"], ["recording", "start"], 4, 3)
+    at = signal.body_frame(_states(s, d)).select("recording", F.col("pos").alias("start"), F.round("fx", 4).alias("x"), F.round("fy", 4).alias("y"), F.round("fh", 4).alias("heading"))
+    return few.join(at, ["recording", "start"]).crossJoin(F.broadcast(instances.window_size(_ego_poses(s, d))))  # one row
+
+
 # --- models ----------------------------------------------------------------------------------
 
 
@@ -745,6 +794,47 @@ def pca_variance(s, d):
     return model.variance_explained(read(s, d, "embeddings"), "embedding", 64)
 
 
+_U = "((cast('0x' || substr(md5('42-' || recording || '-' || cast(frame as varchar) || '-' || cast(kp as varchar) || '-{0}'), 1, 8) as bigint) / 4294967296.0) * 2 - 1) * 0.1"
+_FORMATTED = f"with {_P}, " + _INT.format(src="pts") + f""", fr as (select recording, frame, row_number() over (partition by recording order by frame) - 1 as pos, count(*) over (partition by recording) as n from (select distinct recording, frame from lin)),
+own as (select *, pos // 50 as seg, false as context from fr), ext as (select * from own union all select recording, frame, pos, n, seg + 1, true from own where pos % 50 >= 47 and (seg + 1) * 50 < n)"""
+
+
+@query(_FORMATTED + f" select e.recording, seg, pos, context, cast(kp as int) as kp, round(x + {_U.format('x')} + {NUDGE!r}, 5) as x, round(y + {_U.format('y')} + {NUDGE!r}, 5) as y, round(greatest(coalesce(conf, 0), 0) + 0.001, 6) as conf from ext e join lin using (recording, frame)")
+def formatted_data(s, d):
+    """Model input from frames: interpolated, cleaned, with noise, in segments of 50 with 3 rows of context."""
+    f = formatting.format_data(read(s, d, "frames"), list(range(8)), 50)
+    z = f.select("recording", "seg", "pos", "context", F.posexplode(F.arrays_zip("x", "y", "conf")).alias("kp", "z"))
+    return z.select("recording", "seg", "pos", "context", "kp", F.round(F.col("z.x") + NUDGE, 5).alias("x"), F.round(F.col("z.y") + NUDGE, 5).alias("y"), F.round("z.conf", 6).alias("conf"))
+
+
+def _aligned(s, d) -> DataFrame:
+    return formatting.aligned(formatting.cleaned(read(s, d, "frames"), list(range(8))), [0, 1], [6, 7])
+
+
+@query(f"with {_P}, " + _INT.format(src="pts") + """, c as (select recording, frame, median(x) as cx, median(y) as cy, atan2(avg(case when kp in (6, 7) then y end) - avg(case when kp in (0, 1) then y end), avg(case when kp in (6, 7) then x end) - avg(case when kp in (0, 1) then x end)) + pi() as h from lin group by 1, 2),
+v as (select recording, frame, kp * 2 + a as i, case when a = 0 then cos(h) * (x - cx) + sin(h) * (y - cy) else cos(h) * (y - cy) - sin(h) * (x - cx) end as v from lin join c using (recording, frame), (select unnest([0, 1]) as a)),
+m as (select i, avg(v) as m, count(*) as n from v group by 1), w as (select v.*, v.v - m.m as z from v join m using (i))
+select cast(a.i as int) as i, cast(b.i as int) as j, round(corr(a.z, b.z), 6) as correlation from w a join w b using (recording, frame) where a.i < b.i group by 1, 2""")
+def pose_correlation(s, d):
+    """Correlation of the coordinates of aligned poses, from the moments behind the principal components."""
+    n, x, xx = formatting.moments(_aligned(s, d), "v", 16)
+    cov = xx / max(n, 1) - np.outer(x, x) / max(n, 1) ** 2
+    rows = [(i, j, float(cov[i, j] / np.sqrt(cov[i, i] * cov[j, j]))) for i in range(16) for j in range(i + 1, 16) if cov[i, i] > 0 < cov[j, j]] if n else []
+    return s.createDataFrame(rows, "i int, j int, correlation double").withColumn("correlation", F.round("correlation", 6))
+
+
+@query()
+def pose_pca_variance(s, d):
+    return model.variance_explained(_aligned(s, d), "v", 16)
+
+
+@query()
+def pose_latents(s, d):
+    """Scores of every aligned pose on the first four components."""
+    v = _aligned(s, d)
+    return formatting.pca_project(v, "v", formatting.pca_fit(v, "v", 16), 4).select("recording", "frame", "latent")
+
+
 @query(_W + "select round(sum((50 - n % 50) % 50) / sum(n) * 100, 6) as padding from (select recording, max(n) as n from r group by 1)")
 def segment_padding(s, d):
     return model.padding_share(_states(s, d), 50).select(F.round("padding", 6).alias("padding"))

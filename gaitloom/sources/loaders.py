@@ -7,7 +7,7 @@ workers and need an optional package.
 
 from __future__ import annotations
 
-import re
+import inspect
 from collections.abc import Callable
 
 import pandas as pd
@@ -115,7 +115,7 @@ def _long(rec: str, xyz, conf, parts) -> pd.DataFrame:
     return pd.DataFrame({"recording": rec, "frame": np.repeat(np.arange(t), k), "bodypart": np.tile(np.array(parts, object), t), "x": xyz[:, :, 0].ravel(), "y": xyz[:, :, 1].ravel(), "z": z, "conf": conf.ravel()})
 
 
-def sleap_hdf5(spark: SparkSession, paths, pattern: str = "*.h5", **name) -> DataFrame:
+def sleap_hdf5(spark: SparkSession, paths, pattern: str = "*.{slp,h5}", **name) -> DataFrame:
     """tracks (track, dims, part, frame), point_scores, node_names. Needs h5py on the workers."""
 
     def parse(content: bytes, rec: str):
@@ -240,11 +240,35 @@ def register_format(name: str, loader: Callable[..., DataFrame]) -> None:
 
 
 def load_keypoints(spark: SparkSession, paths, format: str, **options) -> DataFrame:
+    """Long form of all files of a format. Two files with one recording's name are refused; several recordings may
+    come from one file. Body parts that differ between recordings are refused by :func:`to_frames`."""
     if format not in FORMATS:
         raise ValueError(f"unknown format {format}; there are {', '.join(sorted(FORMATS))}")
+    takes = inspect.signature(FORMATS[format]).parameters
+    if "pattern" in takes:  # a loader of one file per recording
+        name = {k: v for k, v in options.items() if k in ("path_in_name", "sep", "remove_extension")}
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", options.get("pattern", takes["pattern"].default)).load(paths)
+        same = files.select(recording_name("path", **name).alias("recording"), "path").groupBy("recording").agg(F.collect_set("path").alias("p")).where(F.size("p") > 1)
+        if twice := same.orderBy("recording").limit(5).collect():  # at most five names
+            raise ValueError("one name, several files: " + "; ".join(f"{r.recording}: {', '.join(sorted(r.p))}" for r in twice))
     return FORMATS[format](spark, paths, **options)
 
 
+def missing_share(points: DataFrame, by_recording: bool = False) -> DataFrame:
+    """[recording,] bodypart, missing, much: share of rows without position, and whether it is over a half. ``points``: long form."""
+    by = (["recording"] if by_recording else []) + ["bodypart"]
+    gone = (F.col("x").isNull() | F.isnan("x") | F.col("y").isNull() | F.isnan("y")).cast("double")
+    return points.groupBy(*by).agg(F.avg(gone).alias("missing")).withColumn("much", F.col("missing") > 0.5)
+
+
+def uneven_bodyparts(long: DataFrame) -> DataFrame:
+    """Recordings whose set of body parts is not that of all: recording, lacks, beyond the fewest (names lacking)."""
+    have = long.select("recording", "bodypart").distinct()
+    all_ = have.select("bodypart").distinct()
+    full = have.select("recording").distinct().crossJoin(F.broadcast(all_))  # body parts: the tracker's fixed list
+    return full.join(have, ["recording", "bodypart"], "left_anti").groupBy("recording").agg(F.sort_array(F.collect_list("bodypart")).alias("lacks"))
+
+
 def overlapping_names(loaded: DataFrame) -> DataFrame:
     """Recordings that several files claim. ``loaded``: recording, path."""
     return loaded.groupBy("recording").agg(F.countDistinct("path").alias("files")).where("files > 1")
@@ -265,7 +289,12 @@ def reindex(frames: DataFrame, bodyparts: list[str], use: list[str]) -> DataFram
 
 
 def to_frames(long: DataFrame, bodyparts: list[str]) -> DataFrame:
-    """Canonical frames: recording, frame, pose and conf in the order of ``bodyparts``."""
+    """Canonical frames: recording, frame, pose and conf in the order of ``bodyparts``.
+
+    Recordings that lack some of each other's body parts are refused, as animals of one file must agree.
+    """
+    if bad := uneven_bodyparts(long).orderBy("recording").limit(5).collect():  # at most five names
+        raise ValueError("body parts differ: " + "; ".join(f"{r.recording} lacks {', '.join(r.lacks)}" for r in bad))
     cells = long.where(F.col("bodypart").isin(bodyparts)).groupBy("recording", "frame").agg(F.map_from_entries(F.collect_list(F.struct("bodypart", F.struct("x", "y", "z", "conf")))).alias("m"))
     get = lambda b: F.try_element_at("m", F.lit(b))
     point = lambda b: F.when(get(b)["z"].isNull(), F.array(get(b)["x"], get(b)["y"])).otherwise(F.array(get(b)["x"], get(b)["y"], get(b)["z"]))
@@ -273,5 +302,5 @@ def to_frames(long: DataFrame, bodyparts: list[str]) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A small CSV dimension such as the index or the syllable information."""
-    return spark.read.option("header", "true").csv(path)
+    """A small CSV dimension such as the index or the syllable information; types are taken from the values."""
+    return spark.read.option("header", "true").option("inferSchema", "true").option("comment", "#").csv(path)

@@ -68,9 +68,14 @@ def load_tables(spark, folder: str, names: list[str]) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
 
 
-def save_annotations(annotations: DataFrame, path: str) -> None:
-    """key, coordinate_index, video_frame_index, bodypart, x, y."""
-    annotations.select("key", "coordinate_index", "video_frame_index", "bodypart", "x", "y").write.option("header", "true").mode("overwrite").csv(path)
+def save_annotations(annotations: DataFrame, path: str, comments: list[str] | None = None) -> None:
+    """Comment lines (#), then key, coordinate_index, video_frame_index, bodypart, x, y: one text file, as annotations are made by hand."""
+    columns = ["key", "coordinate_index", "video_frame_index", "bodypart", "x", "y"]
+    spark = annotations.sparkSession
+    head = [f"# {c}" for c in comments or []] + [",".join(columns)]
+    lines = annotations.select(F.lit(len(head)).alias("i"), F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("value"))
+    top = spark.createDataFrame(list(enumerate(head)), "i int, value string")
+    top.unionByName(lines).repartition(1).sortWithinPartitions("i", "value").select("value").write.mode("overwrite").text(path)
 
 
 def save_tables(tables: dict[str, DataFrame], folder: str, overwrite: bool = False) -> None:
