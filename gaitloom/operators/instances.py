@@ -134,13 +134,15 @@ def _densities(vectors: DataFrame, neighbours: int, dims: int, sample: int, seed
     ``block`` vectors: a task meets one pair of blocks, and a vector's nearest over the pairs are merged.
     """
     drawn = vectors.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string")))).orderBy("_h", "id").limit(sample).select("id", "v").toPandas().sort_values("id")
-    x = np.array(drawn["v"].tolist(), float).reshape(len(drawn), -1)
+    x = np.array(drawn["v"].tolist(), float).reshape(len(drawn), -1) if len(drawn) else np.zeros((0, 0))
     mean = x.mean(0) if len(x) else 0.0
     axes = np.linalg.svd(x - mean, full_matrices=False)[2][:dims].T if len(x) else np.zeros((0, 0))
     ref = (x - mean) @ axes if len(x) else x
 
     def project(batches):
         for b in batches:
+            if not len(b):
+                continue
             q = (np.array(b["v"].tolist(), float).reshape(len(b), -1) - mean) @ axes
             yield pd.DataFrame({"id": b["id"], "label": b["label"], "q": list(q), "overall": 1 / np.maximum(_nearest(q, ref, neighbours).mean(1), 1e-12)})
 
