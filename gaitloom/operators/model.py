@@ -8,6 +8,7 @@ added up and reach the driver, whose new parameters go out with the next pass.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -85,6 +86,7 @@ class Params:
     ab: np.ndarray
     q: np.ndarray
     hyper: Hyper = field(default_factory=Hyper)
+    betas: np.ndarray | None = None  # shares of the states over all rows; equal ones where None
 
 
 def initial(hyper: Hyper, dims: int, seed: int) -> Params:
@@ -192,11 +194,34 @@ def _sweep(p: Params, xs: list[np.ndarray], draws: list[np.random.Generator]) ->
     return np.concatenate([*out, [total]])
 
 
-def draw_params(h: Hyper, stats: np.ndarray, dims: int, rng: np.random.Generator) -> Params:
-    """Parameters given sufficient statistics."""
+def draw_weights(h: Hyper, trans: np.ndarray, betas: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Shares of the states given how often each follows each: a hierarchical Dirichlet process cut off at ``states``.
+
+    The tables behind each count are drawn one by one up to 10,000 customers and by their normal
+    approximation beyond; those that stickiness explains are taken out.
+    """
+    n, sticky = len(betas), h.kappa * np.eye(len(betas))
+    c = h.alpha * betas + sticky
+    tables = np.zeros((n, n))
+    for i, j in zip(*np.nonzero(trans > 0)):
+        m, a = int(trans[i, j]), c[i, j]
+        k = np.arange(min(m, 10_000))
+        t = (rng.random(len(k)) < a / (a + k)).sum()
+        if m > len(k):
+            mean = a * np.log((a + m) / (a + len(k)))
+            t += max(0.0, rng.normal(mean, np.sqrt(max(mean, 1e-12))))
+        tables[i, j] = max(t, 1)
+    own = np.round(np.diag(tables)).astype(int)
+    tables[np.diag_indices(n)] -= rng.binomial(own, h.kappa / (h.kappa + h.alpha * betas))
+    return np.maximum(rng.dirichlet(h.gamma / n + np.maximum(tables, 0).sum(0)), 1e-12)
+
+
+def draw_params(h: Hyper, stats: np.ndarray, dims: int, rng: np.random.Generator, betas: np.ndarray | None = None) -> Params:
+    """Parameters given sufficient statistics and the shares of the states before."""
     n, d, f = h.states, dims, dims * h.lags + 1
     trans = stats[: n * n].reshape(n, n)
-    pi = np.stack([rng.dirichlet(trans[i] + h.alpha / n + h.kappa * (np.arange(n) == i)) for i in range(n)])
+    betas = draw_weights(h, trans, np.full(n, 1 / n) if betas is None else betas, rng)
+    pi = np.stack([rng.dirichlet(trans[i] + h.alpha * betas + h.kappa * (np.arange(n) == i)) for i in range(n)])
     pi = np.maximum(pi, 1e-200)  # with many states a share may round to 0 and leave a row without any way on
     ab, q, at = np.empty((n, d, f)), np.empty((n, d, d)), n * n
     m0 = np.zeros((d, f))
@@ -219,7 +244,7 @@ def draw_params(h: Hyper, stats: np.ndarray, dims: int, rng: np.random.Generator
         ab[k] = mean + np.linalg.cholesky(q[k]) @ rng.standard_normal((d, f)) @ np.linalg.cholesky(np.linalg.inv(prec)).T
     if not all(np.isfinite(a).all() for a in (pi, ab, q)):
         raise FloatingPointError("the sampler met a value that is not finite")
-    return Params(pi, ab, q, h)
+    return Params(pi, ab, q, h, betas)
 
 
 def _groups(rows: DataFrame, work, schema: str) -> DataFrame:
@@ -240,7 +265,7 @@ def fit(rows: DataFrame, hyper: Hyper, dims: int, iterations: int = 50, seed: in
 
     Segments are gathered once, a row each. A task adds its statistics up, and so do the tasks in a
     fixed order. With ``folder`` the parameters are written every ``save_every`` iterations as parquet
-    partitions iter=<n>.
+    partitions iter=<n>. A value that is not finite ends the sampling with a warning; what came before is returned.
     """
     p, trace = start or initial(hyper, dims, seed), []
     n, f = hyper.states, dims * hyper.lags + 1
@@ -269,15 +294,19 @@ def fit(rows: DataFrame, hyper: Hyper, dims: int, iterations: int = 50, seed: in
         parts = lines.mapInPandas(work, "part int, s array<double>").groupBy(F.pmod("part", F.lit(8))).applyInPandas(add, "part int, s array<double>").collect()  # at most 8 rows
         sums = sum((np.array(r.s) for r in sorted(parts, key=lambda r: r.part)), np.zeros(width))
         trace.append(float(sums[-1]))
-        p = draw_params(hyper, sums[:-1], dims, np.random.default_rng([seed, it]))
+        try:
+            p = draw_params(hyper, sums[:-1], dims, np.random.default_rng([seed, it]), p.betas)
+        except FloatingPointError as e:
+            warnings.warn(f"iteration {it}: {e}; the fit stops here", stacklevel=2)
+            break
         if folder and save_every and (it + 1) % save_every == 0:
             save(rows.sparkSession, p, folder, it + 1)
     return p, trace
 
 
 def save(spark, p: Params, folder: str, iteration: int) -> None:
-    row = [(p.pi.tolist(), p.ab.tolist(), p.q.tolist(), p.hyper.lags)]
-    spark.createDataFrame(row, "pi array<array<double>>, ab array<array<array<double>>>, q array<array<array<double>>>, lags int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/iter={iteration}")
+    row = [(p.pi.tolist(), p.ab.tolist(), p.q.tolist(), p.hyper.lags, None if p.betas is None else p.betas.tolist())]
+    spark.createDataFrame(row, "pi array<array<double>>, ab array<array<array<double>>>, q array<array<array<double>>>, lags int, betas array<double>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/iter={iteration}")
 
 
 def load(spark, folder: str, hyper: Hyper, iteration: int | None = None) -> Params:
@@ -287,7 +316,7 @@ def load(spark, folder: str, hyper: Hyper, iteration: int | None = None) -> Para
     r = df.where(F.col("iter") == it).first()
     if r is None:
         raise ValueError(f"no snapshot of iteration {it}")
-    return Params(np.array(r.pi), np.array(r.ab), np.array(r.q), replace(hyper, lags=r.lags, states=len(r.pi)))
+    return Params(np.array(r.pi), np.array(r.ab), np.array(r.q), replace(hyper, lags=r.lags, states=len(r.pi)), None if r.betas is None else np.array(r.betas))
 
 
 def apply(rows: DataFrame, p: Params, iterations: int = 1, seed: int = 0) -> DataFrame:
@@ -352,7 +381,7 @@ def cross_likelihoods(latents: list[DataFrame], models: list[Params]) -> DataFra
 def permute(p: Params, order: list[int]) -> Params:
     """The same model with its states renumbered: state ``order[i]`` becomes i."""
     o = np.asarray(order)
-    return Params(p.pi[np.ix_(o, o)], p.ab[o], p.q[o], p.hyper)
+    return Params(p.pi[np.ix_(o, o)], p.ab[o], p.q[o], p.hyper, None if p.betas is None else p.betas[o])
 
 
 def snapshots(spark, folder: str) -> list[int]:
