@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaitloom.session import spread
+from gaitloom.session import durable, spread
 
 
 def average_ranks(values: DataFrame) -> DataFrame:
@@ -65,6 +65,7 @@ def permutation_test(ranks: DataFrame, n_perm: int = 10_000, seed: int = 42, chu
     """
     spark = ranks.sparkSession
     schema = "syllable int, a string, b string, statistic double, p double"
+    ranks = durable(ranks)  # one row per recording and label, used four times
     real = ranks.groupBy("group", "syllable").agg(F.sum("rk").alias("r"), F.count(F.lit(1)).alias("m")).toPandas()  # groups x labels
     if real.empty:
         return spark.createDataFrame([], schema)
