@@ -11,9 +11,9 @@ Decided by, in this order, all of it counted over the whole corpus of different
 
 Plan. ``documents`` is read twice: for one narrow row per document (hashes and lengths, no text) and for
 the different texts, both written once. Texts are tokenised in Arrow batches; contexts are 64-bit
-rolling hashes. Only contexts whose last two tokens may end some suspect text are counted: a bitmap
-over hash buckets, of a size that follows the suspects up to a fixed bound, tells (what it lets
-through in excess costs work, not exactness). Counts are added inside a batch, then inside a task,
+rolling hashes. Only contexts that may end some suspect text are counted: bitmaps over hash buckets, one
+for each length of context and of a size that follows the suspects up to a fixed bound, tell (what
+they let through in excess costs work, not exactness). Counts are added inside a batch, then inside a task,
 before they are shuffled. The trie is a table of prefixes with the words below them.
 """
 
@@ -41,8 +41,8 @@ SEEN, SEEN_ONE = 3, 30
 ENDS, ENDS_ONE = 0.2, 0.03
 #: A length is a limit if so many texts have it, and so large a share of those up to WINDOW shorter.
 PILE, PILE_SHARE, WINDOW = 4, 0.4, 30
-#: Hash buckets of a bitmap (powers of two), at least and at most: at most 8 MB reach the driver and go out to the tasks.
-BUCKETS = 1 << 16, 1 << 26
+#: Hash buckets of a bitmap (powers of two), at least and at most: at most ORDER times 4 MB reach the driver and go out to the tasks.
+BUCKETS = 1 << 16, 1 << 25
 #: What sources put behind a cut, and beginnings of entities.
 LINKS = ["read more", "show all", "show more", "see more", "view more", "continue reading", "more", "mehr", "mehr lesen", "weiterlesen", "alles anzeigen", "lire la suite", "voir plus", "afficher plus", "plus", "leer más", "ver más", "mostrar más", "más", "続きを読む", "もっと見る", "すべて表示"]
 BARE_LINKS = [x for x in LINKS if " " in x or x in ("weiterlesen", "続きを読む", "もっと見る", "すべて表示")]
@@ -142,9 +142,8 @@ def _evidence(asked: list[np.ndarray]):
     """Kernel: counts of contexts and words in every batch of different texts.
 
     Rows (k, g, word, n, ends, closes). k 1 to ORDER: context g of k tokens, how often, before how many
-    sentence ends and how many ends of the text; only contexts whose last token (k 1) or last two
-    tokens (longer ones) are marked in ``asked``, bitmaps over hash buckets. k 0: in how many texts
-    ``word`` stands with something after it.
+    sentence ends and how many ends of the text; only contexts that are marked in ``asked``, a bitmap over
+    hash buckets for each k. k 0: in how many texts ``word`` stands with something after it.
     """
     schema = pa.schema([("k", pa.int32()), ("g", pa.int64()), ("word", pa.string()), ("n", pa.int64()), ("ends", pa.int64()), ("closes", pa.int64())])
 
@@ -167,8 +166,8 @@ def _evidence(asked: list[np.ndarray]):
             follows = np.r_[mark[1:], False] & ~final
             use = ~mark & ~first
             for k in range(ORDER):
-                bits = asked[min(k, 1)]
-                key = hashes[:, min(k, 1)] & np.uint64(8 * len(bits) - 1)
+                bits = asked[k]
+                key = hashes[:, k] & np.uint64(8 * len(bits) - 1)
                 at = np.flatnonzero(use & (bits[key >> np.uint64(3)] >> (key & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
                 if not len(at):
                     continue
@@ -179,20 +178,20 @@ def _evidence(asked: list[np.ndarray]):
     return run
 
 
-def _marked(suspects: DataFrame, order: int, buckets: int) -> np.ndarray:
-    """Bitmap, 8 buckets a byte, of the hash buckets of the suspects' last ``order`` tokens; packed by the tasks."""
+def _marked(suspects: DataFrame, buckets: int) -> list[np.ndarray]:
+    """Per context length a bitmap, 8 buckets a byte, of the hash buckets of the suspects' endings; packed by the tasks."""
 
-    def pack(g: pd.DataFrame) -> pd.DataFrame:
+    def pack(key, g: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros(BUCKETS[0], np.uint8)
         bits[g["low"].to_numpy()] = 1
-        return pd.DataFrame({"part": [g["part"].iloc[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+        return pd.DataFrame({"k": [key[0]], "part": [key[1]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    b = F.get("h", F.lit(order - 1)).bitwiseAND(F.lit(buckets - 1))
-    low = suspects.select(F.floor(b / BUCKETS[0]).cast("int").alias("part"), (b % BUCKETS[0]).cast("int").alias("low")).where("low is not null").distinct()
-    out = np.zeros(buckets // 8, np.uint8)
+    b = F.col("h").bitwiseAND(F.lit(buckets - 1))
+    low = suspects.select(F.posexplode("h").alias("k", "h")).select("k", F.floor(b / BUCKETS[0]).cast("int").alias("part"), (b % BUCKETS[0]).cast("int").alias("low")).where("low is not null").distinct()
+    out = [np.zeros(buckets // 8, np.uint8) for _ in range(ORDER)]
     width = BUCKETS[0] // 8
-    for r in low.groupBy("part").applyInPandas(pack, "part int, bits binary").collect():  # at most BUCKETS[1] / 8 bytes
-        out[r.part * width : (r.part + 1) * width] = np.frombuffer(bytes(r.bits), np.uint8)
+    for r in low.groupBy("k", "part").applyInPandas(pack, "k int, part int, bits binary").collect():  # at most ORDER * BUCKETS[1] / 8 bytes
+        out[r.k][r.part * width : (r.part + 1) * width] = np.frombuffer(bytes(r.bits), np.uint8)
     return out
 
 
@@ -229,7 +228,7 @@ def truncated(documents: DataFrame) -> DataFrame:
     texts = durable(documents.where("doc_id is not null and text <> ''").groupBy(F.xxhash64("text").alias("text_id")).agg(F.min("text").alias("text")))
     sus = durable(texts.mapInArrow(_suspects, "text_id bigint, broken boolean, link boolean, ellipsis boolean, ended boolean, word string, h array<bigint>"))
     buckets = min(max(1 << (16 * sus.count()).bit_length(), BUCKETS[0]), BUCKETS[1])
-    found = texts.select("text").mapInArrow(_evidence([_marked(sus, n, buckets) for n in (1, 2)]), "k int, g bigint, word string, n bigint, ends bigint, closes bigint")
+    found = texts.select("text").mapInArrow(_evidence(_marked(sus, buckets)), "k int, g bigint, word string, n bigint, ends bigint, closes bigint")
     counts = found.groupBy("k", "g", "word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.sum("closes").alias("closes"))
     counts = durable(counts.where((F.col("k") == 0) | (F.col("n") > 1)))  # a context seen once is the suspect's own
     wanted = sus.select("text_id", F.posexplode("h").alias("k", "g")).select("text_id", (F.col("k") + 1).alias("k"), "g")
