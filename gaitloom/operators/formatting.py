@@ -20,19 +20,19 @@ def uniform(level: float, seed: int, *key: Column | str) -> Column:
     return (F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / 2**32 * 2 - 1) * level
 
 
-def cleaned(frames: DataFrame, use: list[int]) -> DataFrame:
+def cleaned(frames: DataFrame, use: list[int], outliers: float | None = None) -> DataFrame:
     """Keypoints ``use``, missing ones interpolated over time: recording, block, frame, x, y, conf (arrays in the order of ``use``).
 
     Positions come from the nearest frames that have them; a keypoint that a recording never shows is 0.
+    With ``outliers``, positions so many deviations from their medoid are missing too, with confidence 0.
     """
-    points = signal.keypoints(frames).where(F.col("kp").isin(use))
-    full = signal.interpolate(points)
+    full = signal.interpolate(signal.keypoints(frames).where(F.col("kp").isin(use))) if outliers is None else signal.remove_outliers(signal.poses(frames), outliers)
     rows = full.groupBy("recording", "block", "frame").agg(F.map_from_entries(F.collect_list(F.struct("kp", F.struct("x", "y", "conf")))).alias("m"))  # one entry a keypoint
     at = lambda c: F.array(*[F.try_element_at("m", F.lit(k))[c] for k in use])
     return rows.select("recording", "block", "frame", at("x").alias("x"), at("y").alias("y"), at("conf").alias("conf"))
 
 
-def format_data(frames: DataFrame, use: list[int], size: int, lags: int = 3, pseudocount: float = 1e-3, noise: float = 0.1, seed: int = 42) -> DataFrame:
+def format_data(frames: DataFrame, use: list[int], size: int, lags: int = 3, pseudocount: float = 1e-3, noise: float = 0.1, seed: int = 42, outliers: float | None = None) -> DataFrame:
     """Model input: recording, seg, pos, frame, context, x, y, conf (arrays over the keypoints ``use``).
 
     Missing positions are interpolated, confidences made positive, positions get a little noise.
@@ -40,7 +40,7 @@ def format_data(frames: DataFrame, use: list[int], size: int, lags: int = 3, pse
     the one before (``context`` true), so that autoregression loses nothing at the cuts. Rows of
     repeated frames count once, the latest ``loaded_at`` deciding; null arrays are missing keypoints.
     """
-    rows = positions(cleaned(frames, use))
+    rows = positions(cleaned(frames, use, outliers))
     shake = lambda c: F.transform(c, lambda v, i: v + uniform(noise, seed, "recording", "frame", i, F.lit(c)))
     rows = rows.select("recording", "frame", "pos", "n", shake("x").alias("x"), shake("y").alias("y"), F.transform("conf", lambda v: F.greatest(F.coalesce(v, F.lit(0.0)), F.lit(0.0)) + pseudocount).alias("conf"))
     seg = F.floor(F.col("pos") / size)

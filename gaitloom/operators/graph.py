@@ -30,3 +30,12 @@ def difference(matrix: DataFrame, left: str, right: str, scale: float = 1000.0)
     b = matrix.where(F.col("group") == right).select("src", "dst", F.col("p").alias("pb"))
     d = (F.coalesce("pa", F.lit(0.0)) - F.coalesce("pb", F.lit(0.0))) * scale
     return a.join(b, ["src", "dst"], "full").withColumn("d", d).where("d <> 0").select("src", "dst", F.abs("d").alias("weight"), (F.col("d") > 0).alias("up"))
+
+
+def node_differences(usage: DataFrame, left: str, right: str, scale: float = 1000.0, base: float = 500.0) -> DataFrame:
+    """Nodes of left minus right: syllable, size, up. The size is the syllable's share of all absolute differences of usage; a
+    syllable that a group lacks counts as 0 there, without any difference all have the base size. ``usage``: group, syllable, frequency (shares)."""
+    of = lambda g: F.coalesce(F.max(F.when(F.col("group") == g, F.col("frequency"))), F.lit(0.0))
+    d = usage.groupBy("syllable").agg((of(left) - of(right)).alias("d"))
+    share = F.coalesce(F.try_divide(F.abs("d"), F.sum(F.abs("d")).over(Window.partitionBy())), F.lit(0.0))  # one row per label
+    return d.select("syllable", (share * scale + base).alias("size"), (F.col("d") > 0).alias("up"))

@@ -233,6 +233,7 @@ def draw_params(h: Hyper, stats: np.ndarray, dims: int, rng: np.random.Generator
         cnt, at = stats[at], at + 1
         prec = pp + np.eye(f) / h.k0
         lin = np_ + m0 / h.k0
+        root = np.linalg.cholesky((prec + prec.T) / 2)
         mean = np.linalg.solve(prec, lin.T).T
         scale = h.s0 * np.eye(d) + nn + m0 @ m0.T / h.k0 - mean @ lin.T
         scale = (scale + scale.T) / 2 + 1e-6 * np.eye(d)
@@ -241,7 +242,7 @@ def draw_params(h: Hyper, stats: np.ndarray, dims: int, rng: np.random.Generator
         tri = np.tril(rng.standard_normal((d, d)), -1) + np.diag(np.sqrt(rng.chisquare(df - np.arange(d))))
         w = c @ tri
         q[k] = np.linalg.inv(w @ w.T)
-        ab[k] = mean + np.linalg.cholesky(q[k]) @ rng.standard_normal((d, f)) @ np.linalg.cholesky(np.linalg.inv(prec)).T
+        ab[k] = mean + np.linalg.cholesky(q[k]) @ rng.standard_normal((d, f)) @ np.linalg.inv(root)
     if not all(np.isfinite(a).all() for a in (pi, ab, q)):
         raise FloatingPointError("the sampler met a value that is not finite")
     return Params(pi, ab, q, h, betas)
@@ -296,7 +297,7 @@ def fit(rows: DataFrame, hyper: Hyper, dims: int, iterations: int = 50, seed: in
         trace.append(float(sums[-1]))
         try:
             p = draw_params(hyper, sums[:-1], dims, np.random.default_rng([seed, it]), p.betas)
-        except FloatingPointError as e:
+        except (FloatingPointError, np.linalg.LinAlgError) as e:
             warnings.warn(f"iteration {it}: {e}; the fit stops here", stacklevel=2)
             break
         if folder and save_every and (it + 1) % save_every == 0:

@@ -263,7 +263,7 @@ def fit(p: PoseParams, state: DataFrame, iterations: int = 50, seed: int = 0) ->
             if not np.isfinite(sums).all():
                 raise FloatingPointError("a sum is not finite")
             ar = M.draw_params(p.ar.hyper, sums[: -k - 2], d, rng, p.ar.betas)
-        except FloatingPointError as e:
+        except (FloatingPointError, np.linalg.LinAlgError) as e:
             warnings.warn(f"iteration {it}: {e}; the fit stops here", stacklevel=2)
             return p, state
         sigmasq = (NU_SIGMA * SIGMASQ_0 + sums[-k - 2 : -2]) / rng.chisquare(NU_SIGMA + 2 * sums[-2], k)

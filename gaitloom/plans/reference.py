@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaitloom.operators import clustering, formatting, graph, hypothesis, instances, kinematics, model, sequence, signal
+from gaitloom.operators import clustering, formatting, graph, hypothesis, instances, kinematics, model, pose_model, sequence, signal
 from gaitloom.operators.timeline import run_numbers, runs, states
 from gaitloom.sources import sinks, videos
 from gaitloom.sources.loaders import missing_share, recording_name, reindex
@@ -347,6 +347,22 @@ def graph_node_sizes(s, d):
     return graph.node_sizes(u).select("group", "syllable", F.round("size", 6).alias("size"))
 
 
+_SHARES = "u as (select grp, syllable, count(*) / sum(count(*)) over (partition by grp) as f from gruns group by 1, 2)"
+
+
+@query(_W + ", " + _SHARES + """, d as (select syllable, coalesce(max(case when grp = 'saline' then f end), 0) - coalesce(max(case when grp = 'dose_low' then f end), 0) as d from u group by 1)
+select syllable, round(abs(d) / sum(abs(d)) over () * 1000 + 500, 6) as size, d > 0 as up from d""")
+def graph_node_differences(s, d):
+    n = _grouped_runs(s, d).groupBy("group", "syllable").agg(F.count(F.lit(1)).alias("n"))
+    u = n.withColumn("frequency", F.col("n") / F.sum("n").over(Window.partitionBy("group")))  # one row per label
+    return graph.node_differences(u, "saline", "dose_low").withColumn("size", F.round("size", 6))
+
+
+@query(_W + ", l as (select distinct syllable from runs), k as (select syllable, 2 * pi() * (row_number() over (order by syllable) - 1) / count(*) over () as t from l) select syllable, round(cos(t), 6) as x, round(sin(t), 6) as y from k")
+def graph_layout(s, d):
+    return graph.circle(_runs(s, d).select("syllable").distinct()).withColumns({c: F.round(c, 6) + F.lit(0.0) for c in "xy"})
+
+
 @query(_W + """, m as (select syllable as a, syllable % 10 as b, count(*) as n from r group by 1, 2) select a as first, b as second, n, round(n / sum(n) over (partition by a), 9) as p from m""")
 def confusion_matrix(s, d):
     a = states(read(s, d, "results")).select("recording", "frame", "syllable")
@@ -890,6 +906,17 @@ def kappa_scan_summary(s, d):
     return model.kappa_summary(snap)
 
 
+@query()
+def pose_model_results(s, d):
+    """Results of the whole model, of the configuration's size, fitted to all poses: state, latent state, centroid and heading of every frame."""
+    use = list(range(read(s, d, "bodyparts").count()))  # fixed table
+    frames = read(s, d, "frames")
+    v = formatting.aligned(formatting.cleaned(frames, use, 6.0), [0, 1], [6, 7])
+    segments = formatting.format_data(frames, use, 10_000, outliers=6.0)
+    p, state = pose_model.start(segments, len(use), [0, 1], [6, 7], formatting.pca_fit(v, "v", 2 * len(use)), _HYPER, 4)
+    return pose_model.extract(*pose_model.fit(p, state))
+
+
 # --- streams ---------------------------------------------------------------------------------
 
 
