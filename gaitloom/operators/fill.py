@@ -62,7 +62,7 @@ def _beyond(rows: DataFrame, known: DataFrame, cells: int) -> DataFrame:
     the first of later ones, and that of another recording."""
     ends = rows.groupBy("recording", "block").agg(*[f(f"v{i}").alias(f"{n}{i}") for i in range(cells) for n, f in (("f", F.min), ("l", F.max))])
     ends = ends.select("recording", "block", F.posexplode(F.array(*[F.struct(F.col(f"f{i}").alias("f"), F.col(f"l{i}").alias("l")) for i in range(cells)])).alias("cell", "e")).select("recording", "block", "cell", "e.f", "e.l")
-    ends = ends.repartition("recording")  # both users below read every column of this one exchange
+    ends = ends.repartition("recording", "cell")  # both users below read every column of this one exchange
     whole = ends.groupBy("recording", "cell").agg(F.max_by("l", F.when(F.col("l").isNotNull(), F.col("block"))).alias("top"), F.count("f").alias("seen"))
     other = _comparable(whole, known)
     back = Window.partitionBy("recording", "cell").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
