@@ -97,7 +97,9 @@ def whole_vectors(trajectories: DataFrame, pre: int, post: int, keypoints: int)
 def typical(trajectories: DataFrame) -> DataFrame:
     """Median trajectory per syllable: syllable, rel, kp, x, y. Exact, and no syllable is gathered in one task."""
     by = ["syllable", "rel", "kp"]
-    return grouped_median(trajectories, by, "x", "x").join(grouped_median(trajectories, by, "y", "y"), by, "full")
+    axes = F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).alias("v")) for c in "xy"])  # both axes in one pass
+    m = grouped_median(trajectories.select(*by, F.explode(axes).alias("z")).select(*by, "z.axis", "z.v"), [*by, "axis"], "v", "v")
+    return m.groupBy(*by).agg(*[F.max(F.when(F.col("axis") == c, F.col("v"))).alias(c) for c in "xy"])
 
 
 def similarity(typicals: DataFrame, metric: str = "cosine") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gaitloom.operators.signal import gaussian_angle
 from gaitloom.operators.timeline import chunked, course
+from gaitloom.session import durable
 
 STATS = ["mean", "std", "min", "max"]
 
@@ -73,7 +74,8 @@ def order_by_difference(stats: DataFrame, stat: str, control: str, experiment: s
 
 
 def dense_pivot(stats: DataFrame, stat: str) -> DataFrame:
-    """The (group, name) x syllable table of ``stat`` in long form, 0 where absent."""
+    """The (group, name) x syllable table of ``stat`` in long form, 0 where absent. ``stats``, a row per recording and label, is written once, as it is used three times."""
+    stats = durable(stats.select("group", "name", "syllable", stat))
     labels = stats.select("syllable").distinct()
     return stats.select("group", "name").distinct().join(F.broadcast(labels), how="cross").join(stats.select("group", "name", "syllable", F.col(stat).alias("value")), ["group", "name", "syllable"], "left").na.fill({"value": 0.0})  # labels: the model's fixed set
 

@@ -49,7 +49,7 @@ def change(project: str, **values: Any) -> None:
 
 def validate(c: dict[str, Any]) -> list[str]:
     """Problems that do not stop; names outside the body parts, or outside those in use, do."""
-    bad = [f"{b} is used but is no body part" for b in c.get("use_bodyparts", []) if b not in c.get("bodyparts", [])]
+    bad = [f"use_bodyparts {b} is no body part" for b in c.get("use_bodyparts", []) if b not in c.get("bodyparts", [])]
     bad += [f"{what} {b} is not among the body parts in use" for what in ("anterior_bodyparts", "posterior_bodyparts") for b in c.get(what, []) if b not in c.get("use_bodyparts", [])]
     bad += [f"skeleton names {b}, which is no body part" for e in c.get("skeleton") or [] for b in e if b not in c.get("bodyparts", [])]
     if bad:
