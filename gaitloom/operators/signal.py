@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaitloom.operators.timeline import chunked, course, mirrored, positions
+from gaitloom.session import durable
 
 
 def _framed(rows: DataFrame, radius: int, exprs: dict[str, Column]) -> DataFrame:
@@ -131,11 +132,15 @@ def poses(frames: DataFrame) -> DataFrame:
     return rows.select("recording", "block", "frame", axis(0).alias("x"), axis(1).alias("y"), F.coalesce(F.transform("conf", plain), blank("pose")).alias("conf"))
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it occurs: the planner would write it out at every place."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def middle_of(values: Column | str) -> Column:
     """Median of an array's values, nulls left out; null if there are none."""
-    s = F.array_sort(F.filter(values, lambda v: v.isNotNull()))
-    at = lambda shift: F.get(s, F.floor((F.size(s) + shift) / 2).cast("int"))
-    return (at(-1) + at(0)) / 2
+    at = lambda s, shift: F.get(s, F.floor((F.size(s) + shift) / 2).cast("int"))
+    return once(F.sort_array(F.filter(values, lambda v: v.isNotNull())), lambda s: (at(s, -1) + at(s, 0)) / 2)
 
 
 def centroid_heading(rows: DataFrame, anterior: list[int], posterior: list[int]) -> DataFrame:
@@ -179,9 +184,10 @@ def medoid_outliers(rows: DataFrame, scale: float = 6.0) -> DataFrame:
     Missing cells are no outliers and do not disturb the others'. Distances are taken inside the
     row; medians and bounds come back to the rows by (recording, block), so no recording is one key.
     """
-    far = F.transform(F.arrays_zip("x", "y"), lambda z: F.sqrt(F.pow(z["x"] - F.col("_mx"), 2) + F.pow(z["y"] - F.col("_my"), 2)))
-    d = rows.withColumns({"_mx": middle_of("x"), "_my": middle_of("y")}).withColumn("d", far).drop("_mx", "_my")
-    places = rows.select("recording", "block").distinct()
+    square = lambda v: v * v
+    far = once(F.struct(middle_of("x").alias("x"), middle_of("y").alias("y")), lambda m: F.zip_with("x", "y", lambda x, y: F.sqrt(square(x - m["x"]) + square(y - m["y"]))))
+    d = durable(rows.select("recording", "block", far.alias("d")))  # distances alone, as four passes read them
+    places = durable(d.select("recording", "block").distinct())
 
     def back(to: DataFrame, values: DataFrame, value: str) -> DataFrame:
         """``value`` per (recording, kp) as a map in every row of the recording."""
@@ -190,11 +196,12 @@ def medoid_outliers(rows: DataFrame, scale: float = 6.0) -> DataFrame:
         return to.join(per, (F.col("recording") == F.col("_r")) & (F.col("block") == F.col("_b")), "left").drop("_r", "_b")
 
     each = lambda t, c, name: t.select("recording", F.posexplode(c).alias("kp", name))
-    d = back(d, grouped_median(each(d, "d", "distance"), ["recording", "kp"], "distance", "_med"), "_med")
+    med = durable(grouped_median(each(d, "d", "distance"), ["recording", "kp"], "distance", "_med"))
     off = F.transform("d", lambda v, i: F.abs(v - F.try_element_at("_med", i)))
-    e = back(d, grouped_median(each(d, off, "off"), ["recording", "kp"], "off", "_mad"), "_mad")
-    z = e.select("recording", "block", "frame", "_med", "_mad", F.posexplode(F.arrays_zip("x", "y", "conf", "d")).alias("kp", "z"))
-    bound = F.try_element_at("_med", F.col("kp")) + scale * F.try_element_at("_mad", F.col("kp"))
+    mad = grouped_median(each(back(d, med, "_med"), off, "off"), ["recording", "kp"], "off", "_mad")
+    e = back(rows.withColumn("d", far), med.join(mad, ["recording", "kp"]).select("recording", "kp", F.struct("_med", "_mad").alias("_mm")), "_mm")
+    z = e.select("recording", "block", "frame", "_mm", F.posexplode(F.arrays_zip("x", "y", "conf", "d")).alias("kp", "z"))
+    bound = once(F.try_element_at("_mm", F.col("kp")), lambda b: b["_med"] + scale * b["_mad"])
     return z.select("recording", "block", "frame", "kp", "z.x", "z.y", "z.conf", F.col("z.d").alias("distance"), F.coalesce(F.col("z.d") > bound, F.lit(False)).alias("outlier"))
 
 

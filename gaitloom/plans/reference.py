@@ -968,9 +968,12 @@ def syllable_dendrogram(s, d):
     return clustering.dendrogram(instances.similarity(instances.typical(instances.per_keypoint(_ego_poses(s, d)))))
 
 
-@query()
+@query(_W + ", " + _FREQ + """, b as (select grp, name, syllable, value, rep, cast('0x' || substr(md5('0-' || rep || '-' || name), 1, 8) as bigint) / 4294967296.0 as u from dense, (select unnest(range(1, 201)) as rep)),
+w as (select *, (u >= 0.36787944117144233)::int + (u >= 0.7357588823428847)::int + (u >= 0.9196986029286058)::int + (u >= 0.9810118431238462)::int + (u >= 0.9963401531726563)::int + (u >= 0.9994058151824183)::int as k from b),
+m as (select grp, syllable, rep, sum(value * k) / nullif(sum(k), 0) as m from w group by all)
+select grp as "group", syllable, round(quantile_cont(m, 0.16), 9) as low, round(quantile_cont(m, 0.84), 9) as high from m group by 1, 2""")
 def bootstrap_intervals(s, d):
-    return kinematics.bootstrap_interval(_frequencies(s, d), "value")
+    return kinematics.bootstrap_interval(_frequencies(s, d), "value").withColumns({c: F.round(c, 9) for c in ("low", "high")})
 
 
 @query()

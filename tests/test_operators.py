@@ -162,6 +162,17 @@ def test_streams_do_not_depend_on_batches(spark, tmp_path):
         assert {tuple(r) for r in streams.with_state_store(spark, run).collect()} == want
 
 
+def test_idle_recordings_are_closed(spark, tmp_path):
+    import time
+
+    run = lambda: streams.run_to_table(streams.stream_runs(streams.state_stream(spark, str(tmp_path / "in")), late=100, idle=500), checkpoint=str(tmp_path / "c"))
+    results(spark, [("a", 0, 1), ("a", 1, 1), ("a", 2, 3)]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert streams.with_state_store(spark, run).count() == 0  # all rows still wait
+    time.sleep(1)
+    results(spark, [("b", 0, 2)]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert {tuple(r) for r in streams.with_state_store(spark, run).collect()} == {("a", 1, 0, 1, 2), ("a", 3, 2, 2, 1)}
+
+
 def test_stream_filter_over_batches_of_any_size(spark, tmp_path):
     h = model.Hyper(states=3, lags=3)
     p = model.initial(h, 1, 1)
