@@ -117,7 +117,8 @@ def stream_runs(stream: DataFrame, late: int = 1024, idle: int | None = None) ->
 
     ``stream``: recording, frame, syllable, loaded_at. Frames are final once ``late`` frames later
     ones have come (see :class:`_Ordered`); a recording's last run stays open until its label changes
-    or, with ``idle`` milliseconds, nothing more comes. Null syllables are left out.
+    or, with ``idle`` milliseconds, nothing more comes. Null syllables are left out. ``idle`` is for
+    queries that keep running: one over what is there now would wait for its timers without end.
     """
     rows = stream.where("recording is not null and frame is not null").select("recording", "frame", "syllable", _loaded())
     return _keyed(rows, _Runs("syllable", IntegerType(), late, idle), RUN_SCHEMA)

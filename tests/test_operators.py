@@ -165,12 +165,21 @@ def test_streams_do_not_depend_on_batches(spark, tmp_path):
 def test_idle_recordings_are_closed(spark, tmp_path):
     import time
 
-    run = lambda: streams.run_to_table(streams.stream_runs(streams.state_stream(spark, str(tmp_path / "in")), late=100, idle=500), checkpoint=str(tmp_path / "c"))
-    results(spark, [("a", 0, 1), ("a", 1, 1), ("a", 2, 3)]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    assert streams.with_state_store(spark, run).count() == 0  # all rows still wait
-    time.sleep(1)
-    results(spark, [("b", 0, 2)]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    assert {tuple(r) for r in streams.with_state_store(spark, run).collect()} == {("a", 1, 0, 1, 2), ("a", 3, 2, 2, 1)}
+    results(spark, [("a", 0, 1), ("a", 1, 1), ("a", 2, 3)]).coalesce(1).write.parquet(str(tmp_path / "in"))
+
+    def run():
+        runs = streams.stream_runs(streams.state_stream(spark, str(tmp_path / "in")), late=100, idle=500)
+        w = runs.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="200 milliseconds")
+        q, got, end = w.start(), [], time.time() + 60
+        try:
+            while not got and time.time() < end:
+                time.sleep(1)
+                got = spark.read.schema(streams.RUN_SCHEMA).parquet(str(tmp_path / "out")).collect() if (tmp_path / "out" / "_spark_metadata").exists() else []
+        finally:
+            q.stop()
+        return got
+
+    assert {tuple(r) for r in streams.with_state_store(spark, run)} == {("a", 1, 0, 1, 2), ("a", 3, 2, 2, 1)}
 
 
 def test_stream_filter_over_batches_of_any_size(spark, tmp_path):
