@@ -66,10 +66,10 @@ def aligned(rows: DataFrame, anterior: list[int], posterior: list[int]) -> DataF
     return j.select("recording", "frame", "cx", "cy", "heading", F.flatten(turned).alias("v"))
 
 
-def moments(vectors: DataFrame, column: str, dims: int) -> tuple[int, np.ndarray, np.ndarray]:
+def moments(vectors: DataFrame, column: str, dims: int, adders: int = 64) -> tuple[int, np.ndarray, np.ndarray]:
     """(number, sums, sums of products) of a column of vectors; null vectors are left out.
 
-    Every task reduces its Arrow batches to one dims x dims matrix, 64 tasks add those up.
+    Every task reduces its Arrow batches to one dims x dims matrix, ``adders`` tasks add those up.
     """
     width = 1 + dims + dims * dims
 
@@ -78,7 +78,7 @@ def moments(vectors: DataFrame, column: str, dims: int) -> tuple[int, np.ndarray
         for b in batches:
             x = np.array(b["v"].tolist(), float).reshape(len(b), -1)[:, :dims]
             total += np.r_[len(x), x.sum(0), (x.T @ x).ravel()]
-        yield pd.DataFrame({"k": [TaskContext.get().partitionId() % 64], "s": [total.tobytes()]})
+        yield pd.DataFrame({"k": [TaskContext.get().partitionId() % adders], "s": [total.tobytes()]})
 
     def add(g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"s": [sum(np.frombuffer(bytes(v)) for v in g["s"]).tobytes()]})
@@ -101,9 +101,9 @@ class Pca:
         return self.variance / total if total > 0 else self.variance
 
 
-def pca_fit(vectors: DataFrame, column: str, dims: int) -> Pca:
+def pca_fit(vectors: DataFrame, column: str, dims: int, adders: int = 64) -> Pca:
     """Exact components over all vectors. Each component's largest loading is positive, which fixes its sign."""
-    n, s, ss = moments(vectors, column, dims)
+    n, s, ss = moments(vectors, column, dims, adders)
     mean = s / max(n, 1)
     value, vector = np.linalg.eigh(ss / max(n, 1) - np.outer(mean, mean))
     comp = vector.T[::-1]

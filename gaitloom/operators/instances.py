@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaitloom.operators.formatting import pca_fit
 from gaitloom.operators.signal import body_frame, grouped_median
 from gaitloom.session import durable
 
@@ -80,18 +83,31 @@ def whole_vectors(trajectories: DataFrame, pre: int, post: int, keypoints: int)
     earlier value of that keypoint, else the nearest later one; an instance that lacks a keypoint
     throughout has 0 there, the place of the centroid.
     """
-    per = trajectories.groupBy("recording", "syllable", "start").agg(F.map_from_entries(F.collect_list(F.struct("rel", F.struct("x", "y")))).alias("m"))  # pre + post entries
-    rel, ids = F.sequence(F.lit(-pre), F.lit(post - 1)), F.sequence(F.lit(0), F.lit(keypoints - 1))
-
-    def line(k, axis):
-        raw = F.transform(rel, lambda t: F.get(F.try_element_at("m", t)[axis], k))
-        none = F.lit(None).cast("double")
-        ahead = F.aggregate(raw, F.array().cast("array<double>"), lambda s, v: F.concat(s, F.array(F.coalesce(v, F.when(F.size(s) > 0, F.element_at(s, -1)).otherwise(none)))))
-        first = F.coalesce(F.get(F.filter(raw, lambda v: v.isNotNull()), F.lit(0)), F.lit(0.0))
-        return F.transform(ahead, lambda v: F.coalesce(v, first))
+    per = trajectories.groupBy("recording", "syllable", "start").agg(F.collect_list(F.struct("rel", "x", "y")).alias("m"))  # pre + post entries
+    span = pre + post
 
-    v = F.flatten(F.transform(ids, lambda k: F.concat(line(k, "x"), line(k, "y"))))
-    return per.select(F.xxhash64("recording", "start").alias("id"), F.col("syllable").alias("label"), "recording", "start", v.alias("v"))
+    def fill(batches):
+        for b in batches:
+            m = b.column("m")
+            at, each = np.repeat(np.arange(len(m)), np.diff(m.offsets.to_numpy())), m.flatten()
+            rel = each.field("rel").to_numpy(zero_copy_only=False) + pre
+            v = np.zeros((len(m), keypoints, 2, span))
+            for axis, c in enumerate("xy"):
+                lists = pc.list_parent_indices(each.field(c)).to_numpy()
+                cells, first = each.field(c).flatten(), np.searchsorted(lists, np.arange(len(rel)))
+                kp, there = np.arange(len(lists)) - first[lists], cells.is_valid().to_numpy(zero_copy_only=False)
+                there &= kp < keypoints
+                key = at[lists[there]], kp[there], rel[lists[there]]
+                raw, seen = np.zeros((len(m), keypoints, span)), np.zeros((len(m), keypoints, span), bool)
+                raw[key], seen[key] = cells.to_numpy(zero_copy_only=False)[there], True
+                last = np.maximum.accumulate(np.where(seen, np.arange(span), -1), 2)
+                v[:, :, axis] = np.take_along_axis(raw, np.where(last < 0, seen.argmax(2)[..., None], last), 2)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * (keypoints * 2 * span)), pa.array(v.ravel()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "label", "recording", "start")), flat], ["id", "label", "recording", "start", "v"])
+
+    keyed = per.select(F.xxhash64("recording", "start").alias("id"), F.col("syllable").alias("label"), "recording", "start", "m")
+    kinds = dict(keyed.dtypes)
+    return keyed.mapInArrow(fill, ", ".join(f"{c} {kinds[c]}" for c in ("id", "label", "recording", "start")) + ", v array<double>")
 
 
 def typical(trajectories: DataFrame) -> DataFrame:
@@ -118,46 +134,115 @@ def draw(rows: DataFrame, by: list[str], key: list[str], n: int, seed: int) -> D
     return rows.withColumn("_h", h).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_h", "_k")
 
 
+def _leaves(x: np.ndarray, size: int) -> list[np.ndarray]:
+    """Row numbers in parts of at most ``size`` that lie together: halves along the widest side, again and again."""
+    done, todo = [], [np.arange(len(x))]
+    while todo:
+        i = todo.pop()
+        if len(i) <= size:
+            done.append(i)
+            continue
+        side = x[i, np.ptp(x[i], 0).argmax()]
+        o = side.argpartition(len(i) // 2)
+        todo += [i[o[: len(i) // 2]], i[o[len(i) // 2 :]]]
+    return done
+
+
+class _Near:
+    """The rows of ``b`` in leaves with their bounds, so that few of them are met by :meth:`nearest`."""
+
+    def __init__(self, b: np.ndarray, size: int = 64):
+        leaves = _leaves(b, size) if len(b) else []
+        self.b, self.size, self.parts = b, size, [b[i] for i in leaves]
+        self.n = np.array([len(i) for i in leaves])
+        self.low, self.high = (np.array([f(x, 0) for x in self.parts]) for f in (np.min, np.max))
+
+    def nearest(self, a: np.ndarray, k: int) -> np.ndarray:
+        """For every row of ``a`` its ``k`` smallest distances to the rows, rising; fewer if there are fewer.
+
+        Exact: a leaf is left out only if it lies farther from all rows of a part of ``a`` than ``k`` rows that were met.
+        """
+        k = min(k, len(self.b))
+        out = np.zeros((len(a), k))
+        if not len(a) or not k:
+            return out
+        centre = (self.low + self.high) / 2
+        for i in _leaves(a, self.size):
+            q = a[i]
+            low, high = q.min(0), q.max(0)
+            away = (np.maximum(np.maximum(self.low - high, low - self.high), 0) ** 2).sum(1)
+            order = ((centre - (low + high) / 2) ** 2).sum(1).argsort(kind="stable")
+            some = order[: np.searchsorted(np.cumsum(self.n[order]), 2 * k) + 1]
+            reach = np.partition(self._squares(q, some), k - 1, 1)[:, k - 1].max()
+            d = self._squares(q, np.flatnonzero(away <= reach * (1 + 1e-9)))
+            out[i] = np.sqrt(np.sort(np.partition(d, k - 1, 1)[:, :k], 1))
+        return out
+
+    def _squares(self, q: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        b = np.concatenate([self.parts[j] for j in leaves])
+        return sum((q[:, j, None] - b[None, :, j]) ** 2 for j in range(b.shape[1]))
+
+
 def _nearest(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
     """For every row of ``a`` its ``k`` smallest distances to rows of ``b``, rising; fewer if ``b`` has fewer."""
-    k, parts = min(k, len(b)), [np.zeros((0, min(k, len(b))))]
-    for i in range(0, len(a), 64):
-        d = sum((a[i : i + 64, j, None] - b[None, :, j]) ** 2 for j in range(a.shape[1]))
-        parts.append(np.sqrt(np.sort(np.partition(d, k - 1, 1)[:, :k], 1)))
-    return np.concatenate(parts)
+    return _Near(b).nearest(a, k)
+
+
+def _first_by_hash(rows: DataFrame, sample: int, seed: int) -> Column:
+    """Whether a row's id is among the ``sample`` first in the order of a hash of seed and id.
+
+    Counts per beginning of the hash and the last key drawn reach the driver, never the rows.
+    """
+    h, cut = F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string"))), F.substring("h", 1, 3)
+    keys, total = rows.select("id", h.alias("h")), 0
+    for part, n in sorted(map(tuple, keys.groupBy(cut).count().collect())):  # at most 4096 rows
+        total += n
+        if total > sample:
+            last = keys.where(cut <= part).orderBy("h", "id").limit(sample).agg(F.max(F.struct("h", "id")).alias("t")).first().t
+            return F.struct(h.alias("h"), "id") <= F.struct(F.lit(last.h).alias("h"), F.lit(last.id).alias("id")) if last else F.lit(False)
+    return F.lit(True)
 
 
 def _densities(vectors: DataFrame, neighbours: int, dims: int, sample: int, seed: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """(points: id, label, q, overall; scored: label, id, local, overall of every vector).
+    """(points: id, label, q; scored: label, id, local, overall of every vector).
 
     ``vectors``: id (unique), label, v. Directions and the neighbours among all come from at most
     ``sample`` vectors drawn by hash, as in the reference; the neighbours among its own from every
-    vector of the label, the vector itself included. Labels are cut by hash into blocks of about
+    vector of the label, the vector itself included. The driver gets sums of products of the drawn
+    vectors and their projections, ``dims`` numbers each. Labels are cut by hash into blocks of about
     ``block`` vectors: a task meets one pair of blocks, and a vector's nearest over the pairs are merged.
     """
-    drawn = vectors.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string")))).orderBy("_h", "id").limit(sample).select("id", "v").toPandas().sort_values("id")
-    x = np.array(drawn["v"].tolist(), float).reshape(len(drawn), -1) if len(drawn) else np.zeros((0, 0))
-    mean = x.mean(0) if len(x) else 0.0
-    axes = np.linalg.svd(x - mean, full_matrices=False)[2][:dims].T if len(x) else np.zeros((0, 0))
-    ref = (x - mean) @ axes if len(x) else x
+    drawn = _first_by_hash(vectors, sample, seed)
+    width = vectors.agg(F.max(F.size("v"))).first()[0] or 0
+    p = pca_fit(vectors.where(drawn), "v", width, 8) if width else None
+    mean, axes = (p.mean, p.components[:dims].T) if p else (np.zeros(0), np.zeros((0, 0)))
 
     def project(batches):
         for b in batches:
             if not len(b):
                 continue
             q = (np.array(b["v"].tolist(), float).reshape(len(b), -1) - mean) @ axes
-            yield pd.DataFrame({"id": b["id"], "label": b["label"], "q": list(q), "overall": 1 / np.maximum(_nearest(q, ref, neighbours).mean(1), 1e-12)})
+            yield pd.DataFrame({"id": b["id"], "label": b["label"], "q": list(q)})
+
+    points = durable(vectors.select("id", "label", "v").mapInPandas(project, "id bigint, label int, q array<double>"))
+    ref = np.array([r.q for r in points.where(drawn).select("q").collect()], float)  # sample x dims numbers
+
+    def against(batches):
+        near = _Near(ref)
+        for b in batches:
+            if len(b):
+                yield b.assign(overall=1 / np.maximum(near.nearest(np.array(b["q"].tolist(), float), neighbours).mean(1), 1e-12))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         near = _nearest(np.array(a["q"].tolist(), float), np.array(b["_oq"].tolist(), float), neighbours) if len(a) and len(b) else []
         return pd.DataFrame({"id": a["id"], "label": a["label"], "overall": a["overall"], "near": list(near)}) if len(near) else pd.DataFrame({"id": [], "label": [], "overall": [], "near": []})
 
-    points = durable(vectors.select("id", "label", "v").mapInPandas(project, "id bigint, label int, q array<double>, overall double"))
-    sizes = points.groupBy(F.col("label").alias("_l")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
-    cut = points.join(F.broadcast(sizes), F.col("label").eqNullSafe(F.col("_l"))).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))  # one row per label
+    sizes = durable(points.groupBy(F.col("label").alias("_l")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n")))
+    cut = lambda rows: rows.join(F.broadcast(sizes), F.col("label").eqNullSafe(F.col("_l"))).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))  # noqa: E731  one row per label
     every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
-    ask = cut.select("id", "label", "q", "overall", F.col("_b").alias("i"), every.alias("j")).groupBy("label", "i", "j")
-    own = cut.select(F.col("label").alias("_ol"), F.col("q").alias("_oq"), F.col("_b").alias("_oj"), every.alias("_oi")).groupBy("_ol", "_oi", "_oj")
+    scored = points.mapInPandas(against, "id bigint, label int, q array<double>, overall double")
+    ask = cut(scored).select("id", "label", "q", "overall", F.col("_b").alias("i"), every.alias("j")).groupBy("label", "i", "j")
+    own = cut(points).select(F.col("label").alias("_ol"), F.col("q").alias("_oq"), F.col("_b").alias("_oj"), every.alias("_oi")).groupBy("_ol", "_oi", "_oj")
     met = ask.cogroup(own).applyInPandas(meet, "id bigint, label int, overall double, near array<double>")
     merged = met.groupBy("id", "label").agg(F.first("overall").alias("overall"), F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, neighbours).alias("near"))
     mean_near = F.aggregate("near", F.lit(0.0), lambda s, v: s + v) / F.size("near")
@@ -193,10 +278,11 @@ def typical_dense(trajectories: DataFrame, pre: int, post: int, keypoints: int,
 
     Syllables with fewer than ``n`` instances are left out.
     """
-    vectors = whole_vectors(trajectories, pre, post, keypoints)
+    vectors = durable(whole_vectors(trajectories, pre, post, keypoints))
     many = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n).select("label")
-    vectors = durable(vectors.join(many, "label", "left_semi"))
-    chosen = vectors.join(density_sample(vectors.select("id", "label", "v"), n, n, **options).select("id"), "id", "left_semi")
+    vectors = vectors.join(F.broadcast(durable(many)), "label", "left_semi")  # one row per label
+    ids = density_sample(vectors.select("id", "label", "v"), n, n, **options).select("id")
+    chosen = vectors.join(F.broadcast(ids), "id", "left_semi")  # n rows per label
     long = chosen.select(F.col("label").alias("syllable"), F.posexplode("v").alias("at", "value"))
     span = pre + post
     kp, axis, rel = F.floor(F.col("at") / (2 * span)).cast("int"), F.floor(F.col("at") / span) % 2, (F.col("at") % span - pre).cast("int")

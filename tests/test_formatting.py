@@ -133,3 +133,34 @@ def test_sinks_again(spark, tmp_path):
     new = model.relabel_snapshots(spark, str(tmp_path / "snap"), p.hyper, [2, 0, 1], z)
     assert [r.syllable for r in new.orderBy("pos").collect()] == [0, 1]
     assert np.allclose(model.load(spark, str(tmp_path / "snap"), p.hyper).ab, p.ab[[2, 0, 1]])
+
+
+def test_density_draws_no_vectors_to_the_driver(spark, monkeypatch):
+    """The drawn vectors stay with the tasks: the driver sees sums and projections, and the result is the one of all pairs."""
+    import hashlib
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 6)) * [9, 7, 5, 1, 1, 1] + np.repeat(rng.normal(size=(3, 6)) * 4, 100, 0)
+    df, got = spark.createDataFrame([(i, i // 100, [float(a) for a in v]) for i, v in enumerate(x)], "id bigint, label int, v array<double>"), []
+    for name in ("collect", "toPandas"):
+        whole = getattr(type(df), name)
+        monkeypatch.setattr(type(df), name, lambda d, w=whole: got.append(d.columns) or w(d))
+    best = instances.density_exemplars(df, neighbours=10, dims=3, sample=120, seed=4, block=40)
+    assert got and not any("v" in c for c in got)
+    drawn = sorted(range(300), key=lambda i: hashlib.md5(f"4-{i}".encode()).hexdigest())[:120]
+    mean = x[drawn].mean(0)
+    q = (x - mean) @ np.linalg.svd(x[drawn] - mean)[2][:3].T
+    near = lambda a, b: np.sort(np.linalg.norm(a[:, None] - b[None], axis=2), 1)[:, :10].mean(1)
+    for r in best.collect():
+        own = slice(r.label * 100, r.label * 100 + 100)
+        local, overall = 1 / near(q[own], q[own]), 1 / near(q[own], q[drawn])
+        i = (local / overall).argmax()
+        assert r.id == r.label * 100 + i and r.local == pytest.approx(local[i]) and r.overall == pytest.approx(overall[i])
+
+
+def test_nearest_by_leaves_is_exact():
+    rng = np.random.default_rng(6)
+    for n, m, k in ((700, 900, 10), (5, 3, 10), (0, 3, 2), (300, 400, 50)):
+        a, b = np.round(rng.normal(size=(n, 3)), 1), np.round(rng.normal(size=(m, 3)), 1)
+        want = np.sort(np.sqrt(sum((a[:, j, None] - b[None, :, j]) ** 2 for j in range(3))), 1)[:, :k]
+        assert np.array_equal(instances._nearest(a, b, k), want)
