@@ -154,10 +154,11 @@ def marginals(p: Params, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sweep(p: Params, xs: list[np.ndarray], draws: list[np.random.Generator]) -> np.ndarray:
-    """Sufficient statistics of one draw of the states of several segments, and last their log likelihood.
+def draw_states(p: Params, xs: list[np.ndarray], draws: list[np.random.Generator]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """One draw of the states of several segments: (order of the segments, past, now, states, first rows, log likelihood).
 
-    Step t is one matrix product over all segments that are that long; the draws are those of :func:`sample_states`.
+    Segments come one after another, long ones first. Step t is one matrix product over all segments
+    that are that long; the draws are those of :func:`sample_states`.
     """
     order = sorted(range(len(xs)), key=lambda i: -len(xs[i]))
     parts = [_design(xs[i], p.hyper.lags) for i in order]
@@ -184,6 +185,11 @@ def _sweep(p: Params, xs: list[np.ndarray], draws: list[np.random.Generator]) ->
         v[:on] *= to[z[at[:on] + t + 1]]
         v = np.cumsum(v, 1)
         z[at[:k] + t] = np.minimum((v < (u[at[:k] + t] * v[:, -1])[:, None]).sum(1), n - 1)
+    return order, past, now, z, at, total
+
+
+def sums(past: np.ndarray, now: np.ndarray, z: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Sufficient statistics of segments with first rows ``at``, laid out as :func:`draw_params` reads them."""
     trans, step = np.zeros((n, n)), np.ones(len(z), bool)
     step[at] = False
     np.add.at(trans, (z[:-1][step[1:]], z[1:][step[1:]]), 1)
@@ -191,7 +197,13 @@ def _sweep(p: Params, xs: list[np.ndarray], draws: list[np.random.Generator]) ->
     for k in range(n):
         f, g = past[z == k], now[z == k]
         out += [(f.T @ f).ravel(), (g.T @ f).ravel(), (g.T @ g).ravel(), [len(g)]]
-    return np.concatenate([*out, [total]])
+    return np.concatenate(out)
+
+
+def _sweep(p: Params, xs: list[np.ndarray], draws: list[np.random.Generator]) -> np.ndarray:
+    """Sufficient statistics of one draw of the states of several segments, and last their log likelihood."""
+    _, past, now, z, at, total = draw_states(p, xs, draws)
+    return np.r_[sums(past, now, z, at, p.hyper.states), total]
 
 
 def draw_weights(h: Hyper, trans: np.ndarray, betas: np.ndarray, rng: np.random.Generator) -> np.ndarray:

@@ -5,14 +5,14 @@ centroid, with noise per keypoint and frame. Gibbs sampling draws, in turn: beha
 model of latents does), latent trajectories (Kalman filter forwards, sampling backwards), centroids
 (a random walk), headings, noise scales, and, from sums over all segments, the parameters.
 
-Plan. A segment is one row with its arrays, a few hundred kilobytes at most. An iteration is one narrow
-pass over the segments, written once; parameters come from sums that tasks add up.
+Plan. A segment is one row with its arrays, a few megabytes at most. An iteration is one narrow pass
+over the segments, written once, with the sums that the parameters come from. A task joins segments of any
+lengths end to end; trajectories are drawn from their precision by cyclic reduction, without a loop over time.
 """
 
 from __future__ import annotations
 
 import warnings
-from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 
 from gaitloom.operators import model as M
 from gaitloom.operators.formatting import Pca
-from gaitloom.session import durable, spread
+from gaitloom.session import durable, release, spread
 
 #: Degrees of freedom and scale of the noise priors, variance of the centroid's steps, prior variance of a first latent state.
 NU_S, NU_SIGMA, SIGMASQ_0, FIRST = 5.0, 1e5, 0.1, 10.0
-#: Bytes of filtered covariances held at once.
-HELD = 100_000_000
-ROW = "recording string, seg bigint, skip int, frames array<int>, y binary, s0 binary, x binary, v binary, h binary, s binary, z binary"
+#: Rows that are drawn at once, if a segment has no more.
+HELD = 40_000
+ROW = "recording string, seg bigint, skip int, frames array<int>, y binary, s0 binary, x binary, v binary, h binary, s binary, z binary, sums binary"
 
 
 @dataclass
@@ -58,71 +58,88 @@ def shapes(p: PoseParams, x: np.ndarray) -> np.ndarray:
     return y.reshape(*x.shape[:-1], -1, 2)
 
 
-def draw_latents(p: PoseParams, y: np.ndarray, v: np.ndarray, h: np.ndarray, s: np.ndarray, z: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Latent trajectories (b, t, d) of equally long segments given everything else, by filtering and backward sampling."""
-    b, t, k = s.shape
-    lags, c, d = p.ar.hyper.lags, p.loadings[:, :-1], p.loadings.shape[1] - 1
-    seen = _turn(y - v[:, :, None], -h).reshape(b, t, 2 * k) - p.loadings[:, -1]
-    w = np.repeat(1 / (s * p.sigmasq), 2, -1)
-    jj, hh = np.einsum("im,bti,in->btmn", c, w, c), np.einsum("im,bti,bti->btm", c, w, seen)
-    n, ld = len(p.ar.ab), lags * d
-    f, g, add = np.zeros((n, ld, ld)), np.zeros((n, ld, ld)), np.zeros((n, ld))
-    f[:, : ld - d, d:] = np.eye(ld - d)
-    f[:, ld - d :] = p.ar.ab[:, :, :-1]
-    add[:, ld - d :], g[:, ld - d :, ld - d :] = p.ar.ab[:, :, -1], p.ar.q
-    ms, ps = np.empty((t, b, ld)), np.empty((t, b, ld, ld))
-    info, lin = np.tile(np.eye(ld) / FIRST, (b, 1, 1)), np.zeros((b, ld))
-    for i in range(lags):
-        a = slice(i * d, (i + 1) * d)
-        info[:, a, a] += jj[:, i]
-        lin[:, a] += hh[:, i]
-    ps[lags - 1] = np.linalg.inv(info)
-    ms[lags - 1] = np.einsum("bij,bj->bi", ps[lags - 1], lin)
-    eye = np.eye(d)
-    for i in range(lags, t):
-        fz = f[z[:, i - lags]]
-        m = np.einsum("bij,bj->bi", fz, ms[i - 1]) + add[z[:, i - lags]]
-        q = fz @ ps[i - 1] @ fz.transpose(0, 2, 1) + g[z[:, i - lags]]
-        last, j = q[:, :, ld - d :], jj[:, i]
-        gain = last @ np.linalg.inv(eye + j @ q[:, ld - d :, ld - d :])
-        ms[i] = m + np.einsum("bij,bj->bi", gain, hh[:, i] - np.einsum("bij,bj->bi", j, m[:, ld - d :]))
-        q = q - gain @ j @ last.transpose(0, 2, 1)
-        ps[i] = (q + q.transpose(0, 2, 1)) / 2
-    x = np.empty((b, t, d))
-    jitter = 1e-9
-    top = ms[t - 1] + np.einsum("bij,bj->bi", np.linalg.cholesky(ps[t - 1] + jitter * np.eye(ld)), rng.standard_normal((b, ld)))
-    x[:, t - lags :] = top.reshape(b, lags, d)
-    for i in range(t - 2, lags - 2, -1):  # the state at i shares all but its first entry with the one after it
-        zi = z[:, i + 1 - lags]
-        fz, cov = f[zi], ps[i] @ f[zi].transpose(0, 2, 1)
-        k_ = cov @ np.linalg.inv(fz @ cov + g[zi] + jitter * np.eye(ld))
-        nxt = x[:, i + 2 - lags : i + 2].reshape(b, ld)
-        m = ms[i] + np.einsum("bij,bj->bi", k_, nxt - np.einsum("bij,bj->bi", fz, ms[i]) - add[zi])
-        r = (ps[i] - k_ @ cov.transpose(0, 2, 1))[:, :d, :d]
-        r = (r + r.transpose(0, 2, 1)) / 2 + jitter * eye
-        x[:, i + 1 - lags] = m[:, :d] + np.einsum("bij,bj->bi", np.linalg.cholesky(r), rng.standard_normal((b, d)))
+def draw_chain(d: np.ndarray, e: np.ndarray, h: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A draw (n, m, r) from the Gaussian of n blocks whose precision has the blocks d (n, m, m) and, between each and the next, e (n - 1, m, m).
+
+    ``h`` (n, m, r) are the linear terms; columns are independent. Cyclic reduction: every second block
+    depends on its two neighbours alone, and without it these are such a chain again.
+    """
+    odd, even = h[1::2], h[::2].copy()
+    root = np.linalg.inv(np.linalg.cholesky(d[1::2] if len(h) > 1 else d))
+    if len(h) == 1:
+        return root.transpose(0, 2, 1) @ (root @ h + rng.standard_normal(h.shape))
+    a, b = root @ e[::2].transpose(0, 2, 1), root[: len(even) - 1] @ e[1::2]
+    at, bt, g = a.transpose(0, 2, 1), b.transpose(0, 2, 1), root @ odd
+    rest, k = d[::2].copy(), len(b)
+    rest[: len(a)] -= at @ a
+    rest[1:] -= bt @ b
+    even[: len(a)] -= at @ g
+    even[1:] -= bt @ g[:k]
+    x = np.empty_like(h)
+    x[::2] = near = draw_chain(rest, -at[:k] @ b, even, rng)
+    g = g - a @ near[: len(a)] + rng.standard_normal(odd.shape)
+    g[:k] -= b @ near[1:]
+    x[1::2] = root.transpose(0, 2, 1) @ g
     return x
 
 
-def draw_centroids(p: PoseParams, y: np.ndarray, x: np.ndarray, h: np.ndarray, s: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Centroids (b, t, 2): a random walk seen through every keypoint."""
+def _latents(p: PoseParams, y: np.ndarray, v: np.ndarray, h: np.ndarray, s: np.ndarray, z: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Latent trajectories (rows, d) of segments with ``size`` rows, joined end to end; ``z`` has a state for every row, the first ``lags`` of a segment unread.
+
+    Blocks of the chain are ``lags`` rows, so that a row reaches back to the block before at most.
+    """
+    lags, c, d, k = p.ar.hyper.lags, p.loadings[:, :-1], p.loadings.shape[1] - 1, s.shape[1]
+    seen, w = _turn(y - v[:, None], -h).reshape(len(y), 2 * k) - p.loadings[:, -1], 1 / (s * p.sigmasq)
+    pairs = (c[:, :, None] * c[:, None]).reshape(k, 2, d * d).sum(1)
+    blocks = -(-size // lags)
+    n, ld, t = int(blocks.sum()), lags * d, np.arange(len(y)) - np.repeat(np.cumsum(size) - size, size)
+    place = t + np.repeat((np.cumsum(blocks) - blocks) * lags, size)
+    own, lin = np.tile(np.eye(d), (n * lags, 1, 1)), np.zeros((n * lags, d))  # places behind a segment's end stand alone
+    own[place], lin[place] = (w @ pairs).reshape(-1, d, d), (np.repeat(w, 2, 1) * seen) @ c
+    own[place[t < lags]] += np.eye(d) / FIRST
+    step = np.concatenate([-p.ar.ab[:, :, :-1], np.tile(np.eye(d), (len(p.ar.ab), 1, 1))], 2)
+    back = step.transpose(0, 2, 1) @ np.linalg.inv(p.ar.q)
+    quad, off = back @ step, (back @ p.ar.ab[:, :, -1:])[..., 0]
+    both, shift = np.zeros((n, 2 * ld, 2 * ld)), np.zeros((n, 2 * ld))
+    for r in range(lags):
+        rows = (t >= lags) & (t % lags == r)
+        i, a = place[rows] // lags, slice(r * d, r * d + ld + d)
+        both[i, a, a] += quad[z[rows]]
+        shift[i, a] += off[z[rows]]
+        a = slice(ld + r * d, ld + r * d + d)
+        both[:, a, a] += own[r::lags]
+    both[:-1, ld:, ld:] += both[1:, :ld, :ld]
+    lin = lin.reshape(n, ld) + shift[:, ld:]
+    lin[:-1] += shift[1:, :ld]
+    return draw_chain(both[:, ld:, ld:], both[1:, :ld, ld:], lin[..., None], rng).reshape(n * lags, d)[place]
+
+
+def _joined(a: np.ndarray) -> np.ndarray:
+    return a.reshape(-1, *a.shape[2:])
+
+
+def draw_latents(p: PoseParams, y: np.ndarray, v: np.ndarray, h: np.ndarray, s: np.ndarray, z: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Latent trajectories (b, t, d) of equally long segments given everything else."""
+    b, t = s.shape[:2]
+    z = np.concatenate([np.zeros((b, p.ar.hyper.lags), np.int64), z], 1)
+    return _latents(p, *map(_joined, (y, v, h, s, z)), np.full(b, t), rng).reshape(b, t, -1)
+
+
+def _centroids(p: PoseParams, y: np.ndarray, x: np.ndarray, h: np.ndarray, s: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Centroids (rows, 2) of segments with ``size`` rows, joined end to end: a random walk seen through every keypoint."""
     w = 1 / (s * p.sigmasq)
-    prec = w.sum(-1)
-    mean = (w[..., None] * (y - _turn(shapes(p, x), h))).sum(2) / prec[..., None]
-    b, t = prec.shape
-    m, var = np.empty((t, b, 2)), np.empty((t, b))
-    m[0], var[0] = mean[:, 0], 1 / prec[:, 0]
-    for i in range(1, t):
-        ahead = var[i - 1] + p.sigmasq_loc
-        gain = ahead / (ahead + 1 / prec[:, i])
-        m[i] = m[i - 1] + gain[:, None] * (mean[:, i] - m[i - 1])
-        var[i] = (1 - gain) * ahead
-    out = np.empty((b, t, 2))
-    out[:, -1] = m[-1] + np.sqrt(var[-1])[:, None] * rng.standard_normal((b, 2))
-    for i in range(t - 2, -1, -1):
-        gain = var[i] / (var[i] + p.sigmasq_loc)
-        out[:, i] = m[i] + gain[:, None] * (out[:, i + 1] - m[i]) + np.sqrt((1 - gain) * var[i])[:, None] * rng.standard_normal((b, 2))
-    return out
+    lin = (w[..., None] * (y - _turn(shapes(p, x), h))).sum(1)
+    link = np.ones(len(y) + 1)  # between a row and the one before
+    link[np.r_[0, np.cumsum(size)]] = 0
+    link /= p.sigmasq_loc
+    prec = w.sum(1) + link[:-1] + link[1:]
+    return draw_chain(prec[:, None, None], -link[1:-1, None, None], lin[:, None], rng)[:, 0]
+
+
+def draw_centroids(p: PoseParams, y: np.ndarray, x: np.ndarray, h: np.ndarray, s: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Centroids (b, t, 2) of equally long segments."""
+    b, t = s.shape[:2]
+    return _centroids(p, *map(_joined, (y, x, h, s)), np.full(b, t), rng).reshape(b, t, 2)
 
 
 def draw_headings(p: PoseParams, y: np.ndarray, x: np.ndarray, v: np.ndarray, s: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -141,19 +158,6 @@ def draw_scales(r: np.ndarray, sigmasq: np.ndarray, s0: np.ndarray, rng: np.rand
     return (NU_S * s0 + r / sigmasq) / rng.chisquare(NU_S + 2, r.shape)
 
 
-def ar_statistics(x: np.ndarray, z: np.ndarray, n: int, lags: int) -> np.ndarray:
-    """Sufficient statistics of equally long segments, laid out as ``model.draw_params`` reads them."""
-    trans = np.zeros((n, n))
-    np.add.at(trans, (z[:, :-1].ravel(), z[:, 1:].ravel()), 1)
-    parts = [M._design(seg, lags) for seg in x]
-    past, now, zz = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts]), z.ravel()
-    out = [trans.ravel()]
-    for k in range(n):
-        f, g = past[zz == k], now[zz == k]
-        out += [(f.T @ f).ravel(), (g.T @ f).ravel(), (g.T @ g).ravel(), [len(g)]]
-    return np.concatenate(out)
-
-
 def _pack(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
@@ -174,7 +178,7 @@ def start(segments: DataFrame, keypoints: int, anterior: list[int], posterior: l
         h = np.arctan2(d[:, 1], d[:, 0])
         x = (_turn(y - v[:, None], -h).reshape(len(g), -1) - pca.mean) @ pca.components[:dims].T
         s0 = noise_prior(np.array(g["conf"].tolist(), float), slope, intercept)
-        return {"skip": int(g["context"].sum()), "frames": g["frame"].to_numpy(np.int32), "y": _pack(y), "s0": _pack(s0), "x": _pack(x), "v": _pack(v), "h": _pack(h), "s": _pack(s0), "z": _pack(np.zeros(len(g) - hyper.lags, np.int64))}
+        return {"skip": int(g["context"].sum()), "frames": g["frame"].to_numpy(np.int32), "y": _pack(y), "s0": _pack(s0), "x": _pack(x), "v": _pack(v), "h": _pack(h), "s": _pack(s0), "z": _pack(np.zeros(len(g) - hyper.lags, np.int64)), "sums": None}
 
     def run(key, g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{"recording": key[0], "seg": key[1], **make(g)}] if len(g) > hyper.lags + 1 else [], columns=[c.split()[0] for c in ROW.split(", ")])
@@ -182,71 +186,74 @@ def start(segments: DataFrame, keypoints: int, anterior: list[int], posterior: l
     return p, durable(spread(segments, "recording", "seg").groupBy("recording", "seg").applyInPandas(run, ROW))
 
 
-def sweep(p: PoseParams, rows: list[dict], rng: np.random.Generator, fixed: bool = False) -> None:
-    """One Gibbs pass over equally long segments, whose arrays are replaced in place."""
-    k, d = len(p.sigmasq), p.loadings.shape[1] - 1
-    get = lambda c, *shape: np.stack([np.frombuffer(r[c]).reshape(-1, *shape) for r in rows])
-    y, s0, x, v, s = get("y", k, 2), get("s0", k), get("x", d), get("v", 2), get("s", k)
-    h = np.stack([np.frombuffer(r["h"]) for r in rows])
-    z = np.stack([M.sample_states(p.ar, seg, rng) for seg in x])
-    x = draw_latents(p, y, v, h, s, z, rng)
-    v = draw_centroids(p, y, x, h, s, rng)
-    h = draw_headings(p, y, x, v, s, rng)
-    r = residuals(p, y, x, v, h)
-    s = draw_scales(r, p.sigmasq, s0, rng)
-    for i, row in enumerate(rows):
-        row |= {"x": _pack(x[i]), "v": _pack(v[i]), "h": _pack(h[i]), "s": _pack(s[i]), "z": _pack(z[i])}
-
+def sweep(p: PoseParams, rows: list[dict], rng: np.random.Generator) -> np.ndarray:
+    """One Gibbs pass over segments, longest first, whose arrays are replaced in place.
 
-def _batches(rows: list[dict], ld: int):
-    by: dict[int, list[dict]] = defaultdict(list)
-    for r in rows:
-        by[len(r["frames"])].append(r)
-    for t, same in by.items():
-        step = max(1, HELD // (t * ld * ld * 8))
-        for i in range(0, len(same), step):
-            yield same[i : i + step]
+    Returns their sums: those of the autoregression, noise per keypoint, rows, log density of the observations.
+    """
+    k, d, lags = len(p.sigmasq), p.loadings.shape[1] - 1, p.ar.hyper.lags
+    get = lambda c, *shape: np.concatenate([np.frombuffer(r[c]) for r in rows]).reshape(-1, *shape)
+    y, s0, v, h, s = get("y", k, 2), get("s0", k), get("v", 2), get("h"), get("s", k)
+    size = np.array([len(r["frames"]) for r in rows])
+    cuts, ahead = np.cumsum(size)[:-1], np.cumsum(size - lags)[:-1]
+    z = M.draw_states(p.ar, [np.frombuffer(r["x"]).reshape(-1, d) for r in rows], [rng] * len(rows))[3]
+    later = np.arange(size.sum()) - np.repeat(np.r_[0, cuts], size) >= lags
+    full = np.zeros(len(later), np.int64)
+    full[later] = z
+    x = _latents(p, y, v, h, s, full, size, rng)
+    v = _centroids(p, y, x, h, s, size, rng)
+    h = draw_headings(p, y[None], x[None], v[None], s[None], rng)[0]
+    r = residuals(p, y[None], x[None], v[None], h[None])[0]
+    s = draw_scales(r, p.sigmasq, s0, rng)
+    parts = [np.split(a, at) for a, at in ((x, cuts), (v, cuts), (h, cuts), (s, cuts), (z, ahead))]
+    for row, *own in zip(rows, *parts):
+        row |= dict(zip("xvhsz", map(_pack, own)))
+    past, now = (np.concatenate(a) for a in zip(*(M._design(a, lags) for a in parts[0])))
+    var = s * p.sigmasq
+    return np.r_[M.sums(past, now, z, np.r_[0, ahead], p.ar.hyper.states), (r / s).sum(0), len(r), -(r / var / 2 + np.log(2 * np.pi * var)).sum()]
+
+
+def _batches(rows: list[dict]):
+    """The segments, longest first, in lists of about ``HELD`` rows."""
+    some, held = [], 0
+    for r in sorted(rows, key=lambda r: (-len(r["frames"]), r["recording"], r["seg"])):
+        if some and held + len(r["frames"]) > HELD:
+            yield some
+            some, held = [], 0
+        some.append(r)
+        held += len(r["frames"])
+    if some:
+        yield some
 
 
 def iterate(p: PoseParams, state: DataFrame, seed: int, it: int) -> DataFrame:
-    """The segments after one pass under the parameters ``p``, written once."""
-    ld = p.ar.hyper.lags * (p.loadings.shape[1] - 1)
+    """The segments after one pass under the parameters ``p``, written once; one row of a batch has its sums."""
 
     def work(batches):
         for b in batches:
             rows = b.to_dict("records")
-            for same in _batches(rows, ld):
-                first = same[0]
-                sweep(p, same, np.random.default_rng([seed, it, int(first["seg"]), *first["recording"].encode()[-8:]]))
+            for row in rows:
+                row["sums"] = None
+            total = 0
+            for some in _batches(rows):
+                first = some[0]
+                total = total + sweep(p, some, np.random.default_rng([seed, it, len(some), int(first["seg"]), *first["recording"].encode()[-8:]]))
+            if rows:
+                rows[0]["sums"] = _pack(total)
             yield pd.DataFrame(rows, columns=list(b.columns))
 
     return durable(state.mapInPandas(work, ROW))
 
 
-def statistics(p: PoseParams, state: DataFrame) -> np.ndarray:
-    """Sums over all segments: those of the autoregression, noise per keypoint, rows, log density of the observations."""
-    k, d = len(p.sigmasq), p.loadings.shape[1] - 1
-    n, lags = p.ar.hyper.states, p.ar.hyper.lags
-    f = d * lags + 1
-    width = n * n + n * (f * f + d * f + d * d + 1) + k + 2
-
-    def work(batches):
-        total = np.zeros(width)
-        for b in batches:
-            for same in _batches(b.to_dict("records"), d):
-                get = lambda c, *shape: np.stack([np.frombuffer(r[c]).reshape(-1, *shape) for r in same])  # noqa: B023, E731
-                y, x, v, s, h = get("y", k, 2), get("x", d), get("v", 2), get("s", k), np.stack([np.frombuffer(r["h"]) for r in same])
-                z = np.stack([np.frombuffer(r["z"], np.int64) for r in same])
-                r = residuals(p, y, x, v, h)
-                var = s * p.sigmasq
-                total += np.r_[ar_statistics(x, z, n, lags), (r / s).sum((0, 1)), r.shape[0] * r.shape[1], -(r / var / 2 + np.log(2 * np.pi * var)).sum()]
-        yield pd.DataFrame({"k": [TaskContext.get().partitionId() % 8], "s": [total.tobytes()]})
+def statistics(state: DataFrame) -> np.ndarray:
+    """The sums of :func:`sweep` over all segments; at most 8 rows reach the driver."""
 
     def add(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"s": [sum(np.frombuffer(bytes(v)) for v in g["s"]).tobytes()]})
+        return pd.DataFrame({"k": [g["k"].min()], "s": [sum(np.frombuffer(bytes(v)) for v in g.sort_values(["k", "recording", "seg"])["s"]).tobytes()]})
 
-    parts = state.mapInPandas(work, "k int, s binary").groupBy("k").applyInPandas(add, "s binary").collect()  # at most 8 rows
-    return sum((np.frombuffer(bytes(r.s)) for r in parts), np.zeros(width))
+    some = state.where("sums is not null").select(F.spark_partition_id().alias("k"), "recording", "seg", F.col("sums").alias("s"))
+    parts = some.groupBy(F.pmod("k", F.lit(8))).applyInPandas(add, "k int, s binary").collect()
+    return sum(np.frombuffer(bytes(r.s)) for r in sorted(parts, key=lambda r: r.k))
 
 
 def fit(p: PoseParams, state: DataFrame, iterations: int = 50, seed: int = 0) -> tuple[PoseParams, DataFrame]:
@@ -254,10 +261,12 @@ def fit(p: PoseParams, state: DataFrame, iterations: int = 50, seed: int = 0) ->
 
     A value that is not finite ends the sampling with a warning; the parameters before it are returned.
     """
-    d, k = p.loadings.shape[1] - 1, len(p.sigmasq)
+    d, k, given = p.loadings.shape[1] - 1, len(p.sigmasq), state
+    if state.isEmpty():
+        return p, state
     for it in range(iterations):
         new = iterate(p, state, seed, it)
-        sums = statistics(p, new)
+        sums = statistics(new)
         rng = np.random.default_rng([seed, it])
         try:
             if not np.isfinite(sums).all():
@@ -266,6 +275,8 @@ def fit(p: PoseParams, state: DataFrame, iterations: int = 50, seed: int = 0) ->
         except (FloatingPointError, np.linalg.LinAlgError) as e:
             warnings.warn(f"iteration {it}: {e}; the fit stops here", stacklevel=2)
             return p, state
+        if state is not given:
+            release(state)
         sigmasq = (NU_SIGMA * SIGMASQ_0 + sums[-k - 2 : -2]) / rng.chisquare(NU_SIGMA + 2 * sums[-2], k)
         p, state = PoseParams(ar, p.loadings, sigmasq, p.sigmasq_loc, [*p.trace, float(sums[-1])]), new
     return p, state
@@ -273,8 +284,11 @@ def fit(p: PoseParams, state: DataFrame, iterations: int = 50, seed: int = 0) ->
 
 def apply(p: PoseParams, state: DataFrame, iterations: int = 10, seed: int = 0) -> DataFrame:
     """The segments after ``iterations`` passes under fixed parameters."""
+    given = state
     for it in range(iterations):
-        state = iterate(p, state, seed, it)
+        state, old = iterate(p, state, seed, it), state
+        if old is not given:
+            release(old)
     return state
 
 

@@ -45,6 +45,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Delete what :func:`durable` wrote for ``df``, which nothing may read from then on."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Hash ``df`` by the columns into enough partitions for work that is large for its bytes.
 

@@ -114,3 +114,39 @@ def test_chain_from_frames_to_results(spark):
     # the outlier keypoint does not pull its centroid along
     hit = np.arange(360) % 60 == 30
     assert np.abs(v - obs)[hit].max() < 15
+
+
+def test_segments_of_any_lengths_are_drawn_together():
+    """Joined end to end, segments of different lengths have the moments of each alone, and a pass costs no loop per segment."""
+    rng = np.random.default_rng(8)
+    p, (y, v, ang, s, z), _ = toy(rng, t=9, b=1)
+    cut, many = [9, 4, 6], 5000
+    rows = np.tile(np.concatenate([np.arange(n) for n in cut]), many)
+    size, full = np.tile(cut, many), np.r_[0, 0, z][rows]
+    joined = P._latents(p, y[rows], v[rows], ang[rows], s[rows], full, size, np.random.default_rng(9)).reshape(many, sum(cut), 2)
+    walk = P._centroids(p, y[rows], np.zeros((len(rows), 2)), ang[rows], s[rows], size, np.random.default_rng(10)).reshape(many, sum(cut), 2)
+    for n, to in zip(cut, np.cumsum(cut)):
+        own = [np.tile(a[:n], (many, *([1] * a.ndim))) for a in (y, v, ang, s)]
+        alone = P.draw_latents(p, *own, np.tile(z[: n - 2], (many, 1)), np.random.default_rng(11))
+        assert np.abs(alone.mean(0) - joined[:, to - n : to].mean(0)).max() < 0.12 and np.abs(alone.std(0) - joined[:, to - n : to].std(0)).max() < 0.12
+        alone = P.draw_centroids(p, own[0], np.zeros((many, n, 2)), own[2], own[3], np.random.default_rng(12))
+        assert np.abs(alone.mean(0) - walk[:, to - n : to].mean(0)).max() < 0.05 and np.abs(alone.std(0) - walk[:, to - n : to].std(0)).max() < 0.05
+    assert np.abs(np.corrcoef(joined[:, 8, 0], joined[:, 9, 0])[0, 1]) < 0.06  # nothing passes from one segment to the next
+
+
+def test_a_pass_joins_segments_and_returns_its_sums(spark):
+    rng = np.random.default_rng(13)
+    p, (y, v, ang, s, _), _ = toy(rng, t=30, b=1)
+    row = lambda rec, n: (rec, 0, 0, list(range(n)), *(bytearray(P._pack(a[:n])) for a in (y, s, np.zeros((30, 2)), v, ang, s)), bytearray(P._pack(np.zeros(n - 2, np.int64))), None)
+    state = spark.createDataFrame([row("a", 30), row("b", 11), row("c", 20)], P.ROW).coalesce(1)
+    new = P.iterate(p, state, 1, 0)
+    got = {r.recording: r for r in new.collect()}
+    assert {k: len(np.frombuffer(bytes(r.x))) // 2 for k, r in got.items()} == {"a": 30, "b": 11, "c": 20}
+    assert sum(r.sums is not None for r in got.values()) == 1
+    total, x, z = P.statistics(new), [np.frombuffer(bytes(got[k].x)).reshape(-1, 2) for k in "acb"], [np.frombuffer(bytes(got[k].z), np.int64) for k in "acb"]
+    trans = np.zeros((2, 2))
+    for q in z:
+        np.add.at(trans, (q[:-1], q[1:]), 1)
+    assert np.array_equal(total[:4].reshape(2, 2), trans) and total[-2] == 61
+    now = np.concatenate([a[2:] for a in x])[np.concatenate(z) == 0]
+    assert np.allclose(total[4 + 25 + 10 : 4 + 25 + 10 + 4].reshape(2, 2), now.T @ now)
