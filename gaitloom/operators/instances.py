@@ -49,8 +49,8 @@ def egocentric_poses(instances: DataFrame, states: DataFrame, rows: DataFrame, p
     """
     smooth = body_frame(states, filter_size)
     onsets = smooth.select("recording", F.col("pos").alias("start"), "fx", "fy", "fh")
-    placed = states.select("recording", "frame", "pos").join(rows.select("recording", "frame", "x", "y"), ["recording", "frame"]).drop("frame")
-    j = windows(instances, pre, post).join(onsets, ["recording", "start"]).join(placed, ["recording", "pos"])
+    placed = windows(instances, pre, post).join(onsets, ["recording", "start"]).join(states.select("recording", "frame", "pos"), ["recording", "pos"])
+    j = placed.join(rows.select("recording", "frame", "x", "y"), ["recording", "frame"])  # poses, the wide rows, move once
     cos, sin = F.cos("fh"), F.sin("fh")
     turn = lambda a, b: F.transform(F.arrays_zip("x", "y"), lambda z: a(z["x"] - F.col("fx"), z["y"] - F.col("fy")) + b(z["x"] - F.col("fx"), z["y"] - F.col("fy")))
     return j.select(

@@ -727,7 +727,8 @@ def trajectory_similarity(s, d):
 
 
 def _ego_poses(s, d) -> DataFrame:
-    return instances.egocentric_poses(_eligible(s, d), _states(s, d), _poses(s, d), 5, 15)
+    frames = read(s, d, "frames").withColumn("conf", F.when(F.col("pose").isNull(), F.col("conf")))  # else confidences only add to what moves
+    return instances.egocentric_poses(_eligible(s, d), _states(s, d), signal.poses(frames), 5, 15)
 
 
 _EGO_KP = _ELIG.replace("elig as (", "elig as materialized (") + ", " + _taps(-4, 4, "b.cx as x, b.cy as y, coalesce(b.heading, 0) as h") + f""", fil as materialized (select recording, pos, median(x) as fx, median(y) as fy, atan2(median(sin(h)), median(cos(h))) as fh from taps group by 1, 2),
