@@ -40,7 +40,12 @@ def format_data(frames: DataFrame, use: list[int], size: int, lags: int = 3, pse
     the one before (``context`` true), so that autoregression loses nothing at the cuts. Rows of
     repeated frames count once, the latest ``loaded_at`` deciding; null arrays are missing keypoints.
     """
-    rows = positions(cleaned(frames, use, outliers))
+    return segmented(cleaned(frames, use, outliers), size, lags, pseudocount, noise, seed)
+
+
+def segmented(rows: DataFrame, size: int, lags: int = 3, pseudocount: float = 1e-3, noise: float = 0.1, seed: int = 42) -> DataFrame:
+    """:func:`format_data` from the rows of :func:`cleaned`."""
+    rows = positions(rows)
     shake = lambda c: F.transform(c, lambda v, i: v + uniform(noise, seed, "recording", "frame", i, F.lit(c)))
     rows = rows.select("recording", "frame", "pos", "n", shake("x").alias("x"), shake("y").alias("y"), F.transform("conf", lambda v: F.greatest(F.coalesce(v, F.lit(0.0)), F.lit(0.0)) + pseudocount).alias("conf"))
     seg = F.floor(F.col("pos") / size)
