@@ -108,7 +108,12 @@ class Pca:
 
 def pca_fit(vectors: DataFrame, column: str, dims: int, adders: int = 64) -> Pca:
     """Exact components over all vectors. Each component's largest loading is positive, which fixes its sign."""
-    n, s, ss = moments(vectors, column, dims, adders)
+    return pca_of(*moments(vectors, column, dims, adders))
+
+
+def pca_of(n: int, s: np.ndarray, ss: np.ndarray) -> Pca:
+    """:func:`pca_fit` from the result of :func:`moments`."""
+    dims = len(s)
     mean = s / max(n, 1)
     value, vector = np.linalg.eigh(ss / max(n, 1) - np.outer(mean, mean))
     comp = vector.T[::-1]

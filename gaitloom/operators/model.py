@@ -188,6 +188,81 @@ def draw_states(p: Params, xs: list[np.ndarray], draws: list[np.random.Generator
     return order, past, now, z, at, total
 
 
+def side_by_side(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments with ``size`` rows, joined end to end, by step instead: (order of the segments, long ones first; how many have a step; first place of each step; row at every place)."""
+    order = np.argsort(-size, kind="stable")
+    start, long = (np.cumsum(size) - size)[order], size[order]
+    live = np.searchsorted(-long, -np.arange(long[0]), "left")
+    base = np.cumsum(live) - live
+    rows = start[np.arange(live.sum()) - np.repeat(base, live)] + np.repeat(np.arange(len(live)), live)
+    return order, live, base, rows
+
+
+def designs(x: np.ndarray, size: np.ndarray, lags: int) -> np.ndarray:
+    """The ``lags`` rows before a row, a one and the row itself, of segments joined end to end; a segment's first ``lags`` rows are left out."""
+    t = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
+    at = np.flatnonzero(t >= lags)
+    return np.concatenate([x[at - lags + i] for i in range(lags)] + [np.ones((len(at), 1)), x[at]], 1)
+
+
+def draw_joined(p: Params, x: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """One draw of the states of segments with ``size`` rows, joined end to end, without the first ``lags`` of each.
+
+    Rows stand by step, so that a step is one product of neighbouring rows. Probabilities are held in
+    single precision, the least ones as 0; if a step's sum comes near them, all are drawn in double precision.
+    """
+    n, d, ahead = p.hyper.states, x.shape[1], size - p.hyper.lags
+    _, live, base, rows = side_by_side(ahead)
+    both, u = designs(x, size, p.hyper.lags)[rows], rng.random(len(rows))[rows]
+    c = np.linalg.inv(np.linalg.cholesky(p.q))
+    w = np.concatenate([-c @ p.ab, c], 2).transpose(1, 2, 0) * np.sqrt(0.5)  # whitened residuals: (d, features, states)
+    level = np.log(np.diagonal(c, axis1=1, axis2=2)).sum(1)
+    for kind, least in ((np.float32, 1e-30), (np.float64, 0)):
+        a, pi, one = np.empty((len(rows), n), kind), np.where(p.pi > least * 1e-6, p.pi, 0).astype(kind), np.ones((n, 1), kind)
+        for i in range(0, len(rows), 512):
+            part, ll = both[i : i + 512], level
+            for j in range(d):
+                r = part @ w[j]
+                r *= r
+                ll = np.subtract(ll, r, out=r)
+            ll -= ll.max(1, keepdims=True)
+            e = np.exp(ll.astype(kind, copy=False))
+            a[i : i + 512] = np.where(e > least * 1e-6, e, 0) if least else e  # numbers too small for their kind are slow
+        norm, prev = np.empty((len(rows), 1), kind), np.full((len(size), n), 1 / n, kind)
+        for o, k in zip(base, live):
+            v = a[o : o + k]
+            v *= prev[:k] @ pi if o else prev
+            v /= np.matmul(v, one, out=norm[o : o + k])
+            prev = v
+        if norm.min() > least:
+            break
+    u = u.astype(kind)
+    z, to, on = np.empty(len(rows), np.int64), np.ascontiguousarray(pi.T), 0
+    for o, k in zip(base[::-1], live[::-1]):
+        v = a[o : o + k]
+        if on:
+            v[:on] *= to[near]
+        v = v.cumsum(1)
+        near = z[o : o + k] = (v[:, :-1] < (u[o : o + k, None] * v[:, -1:])).sum(1)
+        on = k
+    out = np.empty_like(z)
+    out[rows] = z
+    return out
+
+
+def joined_sums(both: np.ndarray, dims: int, z: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """:func:`sums` from :func:`designs` of ``dims`` columns; rows are sorted by state once."""
+    step = np.ones(len(z), bool)
+    step[at] = False
+    trans = np.bincount(z[:-1][step[1:]] * n + z[1:][step[1:]], minlength=n * n)
+    own, ends = both[np.argsort(z, kind="stable")], np.r_[0, np.cumsum(np.bincount(z, minlength=n))]
+    out, f = [trans], both.shape[1] - dims
+    for i, j in zip(ends[:-1], ends[1:]):
+        g = own[i:j].T @ own[i:j]
+        out += [g[:f, :f].ravel(), g[f:, :f].ravel(), g[f:, f:].ravel(), [j - i]]
+    return np.concatenate(out)
+
+
 def sums(past: np.ndarray, now: np.ndarray, z: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Sufficient statistics of segments with first rows ``at``, laid out as :func:`draw_params` reads them."""
     trans, step = np.zeros((n, n)), np.ones(len(z), bool)

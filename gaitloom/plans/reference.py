@@ -8,11 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaitloom.operators import clustering, formatting, graph, hypothesis, instances, kinematics, model, pose_model, sequence, signal
+from gaitloom.operators import clustering, formatting, graph, hypothesis, instances, kinematics, model, pose_model, pose_store, sequence, signal
 from gaitloom.operators.timeline import run_numbers, runs, states
 from gaitloom.sources import sinks, videos
 from gaitloom.sources.loaders import missing_share, recording_name, reindex
-from gaitloom.session import durable
 from gaitloom.streaming import streams
 from gaitloom.tables import by_block, in_force, read, recording_index
 
@@ -912,11 +911,9 @@ def kappa_scan_summary(s, d):
 def pose_model_results(s, d):
     """Results of the whole model, of the configuration's size, fitted to all poses: state, latent state, centroid and heading of every frame."""
     use = list(range(read(s, d, "bodyparts").count()))  # fixed table
-    rows = durable(formatting.cleaned(read(s, d, "frames"), use, 6.0))  # read for the components and for the segments
-    v = formatting.aligned(rows, [0, 1], [6, 7])
-    segments = formatting.segmented(rows, 10_000)
-    p, state = pose_model.start(segments, len(use), [0, 1], [6, 7], formatting.pca_fit(v, "v", 2 * len(use)), _HYPER, 4)
-    return pose_model.extract(*pose_model.fit(p, state))
+    store = pose_store.build(read(s, d, "frames"), use, [0, 1], [6, 7], lags=_HYPER.lags)
+    p, last = pose_model.fit(pose_store.start(store, _HYPER, 4), store)
+    return pose_store.extract(p, store, last)
 
 
 # --- streams ---------------------------------------------------------------------------------
